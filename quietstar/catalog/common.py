@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aspects, sentiment, silent_killers
+from ..session import read_back
 from ..sources import adapters as A
 
 
@@ -40,3 +41,20 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def lines_flagged(spark: SparkSession, sf: str) -> DataFrame:
     return silent_killers.diagnose(lines(spark, sf))
+
+
+STAGE = (
+    "review_id", "product_id", "star_rating", "review_date", "sentiment_score", "is_silent_killer", "revenue_at_risk",
+    "star_gap", "helpful_votes", "verified_purchase", "review_length", "topic_id", "topic_label", "emo_anger", "emo_sadness",
+    "emo_joy", "dominant_emotion", "dominant_emotion_display",
+)
+
+
+def labelled_stage(spark: SparkSession, sf: str) -> DataFrame:
+    """``labelled`` without text, written once: for queries that read it several times."""
+    full = labelled(spark, sf).withColumn("review_length", F.length("review_text").cast("bigint"))
+    return read_back(spark, full.select(*STAGE), "labelled")
+
+
+def topical_stage(spark: SparkSession, sf: str) -> DataFrame:
+    return aspects.drop_outliers(labelled_stage(spark, sf))

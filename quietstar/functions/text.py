@@ -77,8 +77,8 @@ def quote(text: Column, limit: int = 300) -> Column:
 
 
 def flat_text(text: Column) -> Column:
-    """Trimmed, with newlines turned to spaces."""
-    return F.replace(F.trim(text), F.lit("\n"), F.lit(" "))
+    """Stripped of outer white space, with newlines turned to spaces."""
+    return F.replace(F.regexp_replace(text, r"\A\s+|\s+\z", ""), F.lit("\n"), F.lit(" "))
 
 
 def money(amount: Column) -> Column:
