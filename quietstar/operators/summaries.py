@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, maths, text
+from ..session import read_back
 from . import ranking
 
 
@@ -77,12 +78,13 @@ def summarize(
     """Extractive summary: the sentences of each corpus with the most typical words.
 
     A word weighs its frequency in the group's corpus times ln(1 + N/df) over all corpora; a sentence
-    scores the mean weight of its words. Work after the corpus is bounded by the character budget per
-    group.
+    scores the mean weight of its words. The corpora, bounded by the character budget per group, are
+    written once because the weights and the sentences both read them.
     """
-    corpus = build_corpus(df, by, max_reviews, max_chars, seed, min_reviews).filter(
+    packed = build_corpus(df, by, max_reviews, max_chars, seed, min_reviews).filter(
         text.word_count(F.col("corpus")) >= fixed.SUMMARY_MIN_CORPUS_WORDS
     )
+    corpus = read_back(df.sparkSession, packed, "corpora")
     n_groups = ranking.one_value(corpus.agg(F.count(F.lit(1)).alias("n")), "n")
     parts = F.filter(
         F.transform(F.split("corpus", r"[.!?]+"), lambda s: F.trim(s)), lambda s: s != ""

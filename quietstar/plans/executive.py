@@ -9,15 +9,26 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import aspects, strategy
+from ..session import read_back
 from ..sources import sinks
 
+COLUMNS = (
+    "product_id", "topic_id", "topic_label", "emo_anger", "emo_sadness", "emo_joy", "sentiment_score", "is_silent_killer",
+    "revenue_at_risk",
+)
+
 
 def executive_summary(
     labelled: DataFrame, technical: Sequence[str] = fixed.TECHNICAL_ASPECTS,
     instructional: Sequence[str] = fixed.INSTRUCTIONAL_ASPECTS,
 ) -> DataFrame:
-    """One nested row per product. Arrays hold a product's aspects, a handful of entries."""
-    rows = aspects.drop_outliers(labelled.filter(F.col("review_date").isNotNull()))
+    """One nested row per product. Arrays hold a product's aspects, a handful of entries.
+
+    The labelled rows feed four aggregations, so their few numeric columns are written once and the
+    text is scored once.
+    """
+    needed = labelled.filter(F.col("review_date").isNotNull()).select(*COLUMNS)
+    rows = read_back(labelled.sparkSession, aspects.drop_outliers(needed), "aspects")
     stats = aspects.aspect_stats(rows)
     matrix = strategy.priority_matrix(stats)
     plan = strategy.roadmap(matrix, technical=technical, instructional=instructional)
