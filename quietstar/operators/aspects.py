@@ -8,7 +8,6 @@ from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, NGram, Normalizer, SQLTransformer, StopWordsRemover, Tokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -201,8 +200,8 @@ def project_2d(df: DataFrame, text_col: str = "clean_text", vocabulary: int = 50
     The right singular vectors come from the ``vocabulary``-square Gram matrix, which Spark sums over
     all rows; rows are then projected where they lie.
     """
-    from pyspark.mllib.linalg import Vectors as OldVectors
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
     model = Pipeline(stages=[
         Tokenizer(inputCol=text_col, outputCol="_words"),
@@ -212,8 +211,8 @@ def project_2d(df: DataFrame, text_col: str = "clean_text", vocabulary: int = 50
         Normalizer(inputCol="_tfidf", outputCol="_row"),
     ]).fit(df)
     rows = model.transform(df).select(*df.columns, "_row")
-    gram = RowMatrix(rows.select("_row").rdd.map(lambda r: OldVectors.fromML(r[0]))).computeSVD(2)
-    axes = gram.V.toArray()
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows.select("_row"), "_row"))
+    axes = matrix.computeSVD(2).V.toArray()
     dense = F.col("_dense")
     out = rows.withColumn("_dense", vector_to_array("_row"))
     for i, name in enumerate(("x", "y")):

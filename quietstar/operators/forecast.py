@@ -60,8 +60,6 @@ def forecast(
     columns = schema.fieldNames()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) < min_months:
-            return pd.DataFrame({c: [] for c in columns})
         frame = frame.sort_values("month")
         months = pd.to_datetime(frame["month"])
         t = (months - months.iloc[0]).dt.days.to_numpy(dtype=float)
@@ -87,7 +85,9 @@ def forecast(
             out[k] = frame[k].iloc[0]
         return out[columns]
 
-    done = monthly.select(*keys, "month", "mean_sentiment").groupBy(*keys).applyInPandas(run, schema)
+    enough = F.count(F.lit(1)).over(W.partitionBy(*keys)) >= min_months
+    long = monthly.select(*keys, "month", "mean_sentiment", enough.alias("_enough")).filter("_enough").drop("_enough")
+    done = long.groupBy(*keys).applyInPandas(run, schema)
     return done.select(*[F.nanvl(c, F.lit(None)).alias(c) if c in ("actual", "ci_lo", "ci_hi") else F.col(c) for c in columns])
 
 
