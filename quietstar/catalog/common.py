@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aspects, sentiment, silent_killers
+from ..operators import aspects, columns, sentiment, silent_killers
 from ..session import read_back
 from ..sources import adapters as A
 
@@ -24,7 +24,16 @@ def flagged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return sentiment.score_emotions(aspects.keyword_aspects(flagged(spark, sf), A.ASPECTS), A.EMOTIONS)
+    """Sentiment, aspects, emotions and flags from one tokenisation of each text."""
+    classes = {
+        **sentiment.sentiment_columns(A.LEXICON), **aspects.aspect_columns(A.ASPECTS), **sentiment.emotion_columns(A.EMOTIONS),
+    }
+    counted = columns.lexicon_hits(A.reviews(spark, sf), "review_text", classes)
+    rows = sentiment.emotions_from_hits(
+        aspects.aspects_from_hits(sentiment.sentiment_from_hits(counted), A.ASPECTS), A.EMOTIONS
+    )
+    # The bar needs star and sentiment only: counted apart so that it skips the other lexicons.
+    return silent_killers.diagnose(rows, silent_killers.threshold_value(scored(spark, sf)))
 
 
 def topical(spark: SparkSession, sf: str) -> DataFrame:

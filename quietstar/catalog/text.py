@@ -45,14 +45,17 @@ def _emotions(spark, sf):
 
 
 def _corpus(spark, sf):
-    return summaries.build_corpus(summaries.complaints(flagged(spark, sf)), ["product_id"], fixed.SUMMARY_OVERALL_REVIEWS).select(
+    """Complaints are stored once: their count and their sample both read them."""
+    rows = summaries.complaints(flagged(spark, sf)).select("product_id", "review_id", "review_text")
+    return summaries.build_corpus(read_back(spark, rows, "complaints"), ["product_id"], fixed.SUMMARY_OVERALL_REVIEWS).select(
         "product_id", "n_complaints", "n_used", F.md5("corpus").alias("corpus_md5"), F.length("corpus").cast("bigint").alias("chars")
     )
 
 
 def _summary(spark, sf):
     rows = summaries.complaints(aspects.drop_outliers(labelled(spark, sf)))
-    return summaries.summarize(rows)
+    rows = rows.select("product_id", "topic_label", "review_id", "review_text")
+    return summaries.summarize(read_back(spark, rows, "complaints"))
 
 
 QUERIES = {

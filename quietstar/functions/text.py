@@ -21,8 +21,8 @@ def clean_text(text: Column) -> Column:
 
 
 def letter_tokens(text: Column) -> Column:
-    """Lower-case runs of letters in any script; ``['']`` when there are none."""
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), " ")
+    """Lower-case runs of letters in any script; the first or last entry may be empty."""
+    return F.split(F.lower(text), r"[^\p{L}]+")
 
 
 def clean_tokens(text: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, maths, text
-from . import ranking
+from . import columns, ranking
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 
@@ -24,19 +24,24 @@ def min_words(df: DataFrame, n: int = 5, column: str = "clean_text") -> DataFram
 
 
 def with_clean_text(df: DataFrame, n: int = 5) -> DataFrame:
-    return min_words(df.withColumn("clean_text", text.clean_text(F.col("review_text"))), n)
+    return min_words(columns.compute_once(df, {"clean_text": text.clean_text(F.col("review_text"))}), n)
 
 
 def drop_outliers(df: DataFrame) -> DataFrame:
     return df.filter(F.col("topic_id") != fixed.OUTLIER_TOPIC)
 
 
+def aspect_columns(rules: Rules = fixed.ASPECT_RULES) -> dict[str, Sequence[str]]:
+    return {f"_rule_{i}": words for i, (_, words) in enumerate(rules)}
+
+
 def keyword_aspects(df: DataFrame, rules: Rules = fixed.ASPECT_RULES, text_col: str = "review_text") -> DataFrame:
     """The rule with most word hits, the earlier one on ties, outlier when nothing hits."""
-    counted = df.withColumn("_tokens", text.letter_tokens(F.col(text_col)))
-    for i, (_, words) in enumerate(rules):
-        counted = counted.withColumn(f"_rule_{i}", text.token_hits(F.col("_tokens"), words))
-    hits = [F.col(f"_rule_{i}") for i in range(len(rules))]
+    return aspects_from_hits(columns.lexicon_hits(df, text_col, aspect_columns(rules)), rules)
+
+
+def aspects_from_hits(counted: DataFrame, rules: Rules = fixed.ASPECT_RULES) -> DataFrame:
+    hits = [F.col(c) for c in aspect_columns(rules)]
     top = F.greatest(*hits) if len(hits) > 1 else hits[0]
     number = F.coalesce(*[F.when((h == top) & (h > 0), F.lit(i)) for i, h in enumerate(hits)], F.lit(fixed.OUTLIER_TOPIC))
     label = F.coalesce(
@@ -45,7 +50,7 @@ def keyword_aspects(df: DataFrame, rules: Rules = fixed.ASPECT_RULES, text_col:
     return (
         counted.withColumn("topic_id", number.cast("bigint"))
         .withColumn("topic_label", label)
-        .drop("_tokens", *[f"_rule_{i}" for i in range(len(rules))])
+        .drop(*aspect_columns(rules))
     )
 
 
@@ -241,10 +246,10 @@ def aspect_stats(df: DataFrame, by: Sequence[str] = ("product_id",)) -> DataFram
 
 def emotion_heatmap(df: DataFrame, by: Sequence[str] = ("product_id",)) -> DataFrame:
     """Aspect by dominant emotion, each row in percent, columns in fixed order."""
-    columns = [fixed.EMOTION_DISPLAY[e] for e in fixed.ACTIVE_EMOTIONS]
-    counts = df.groupBy(*by, "topic_label").pivot("dominant_emotion_display", columns).count().na.fill(0)
-    total = sum((F.col(c) for c in columns), F.lit(0))
-    return counts.select(*by, "topic_label", *[(F.col(c) / total * 100).alias(c.lower()) for c in columns])
+    names = [fixed.EMOTION_DISPLAY[e] for e in fixed.ACTIVE_EMOTIONS]
+    counts = df.groupBy(*by, "topic_label").pivot("dominant_emotion_display", names).count().na.fill(0)
+    total = sum((F.col(c) for c in names), F.lit(0))
+    return counts.select(*by, "topic_label", *[(F.col(c) / total * 100).alias(c.lower()) for c in names])
 
 
 def urgency_heatmap(df: DataFrame, by: Sequence[str] = ("product_id",)) -> DataFrame:

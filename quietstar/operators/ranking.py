@@ -17,8 +17,12 @@ BINS_PER_UNIT = 65536
 
 
 def value_bin(value: Column) -> Column:
-    """Monotone integer bin: about 45,000 of them across [0, 1], logarithmic beyond."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * BINS_PER_UNIT)
+    """Monotone integer bin: about 45,000 of them across [0, 1], logarithmic beyond.
+
+    Never null, so a join on it infers no filter that would keep Spark from reusing one exchange for
+    both of its sides.
+    """
+    return F.coalesce(F.floor(F.signum(value) * F.log1p(F.abs(value)) * BINS_PER_UNIT), F.lit(0))
 
 
 def _value_counts(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column]) -> DataFrame:

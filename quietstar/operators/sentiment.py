@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed, maths, text
+from . import columns
 
 ScorerFactory = Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]
 
@@ -44,21 +45,33 @@ def score_table(df: DataFrame, factory: ScorerFactory, out_schema: T.StructType,
 # ---- sentiment ---------------------------------------------------------------------------
 
 
+def _hit_columns(prefix: str, classes: Mapping[str, Sequence[str]]) -> dict[str, Sequence[str]]:
+    return {f"_{prefix}_{name}": words for name, words in classes.items()}
+
+
+def sentiment_columns(lexicon: Mapping[str, Sequence[str]] = fixed.SENTIMENT_LEXICON) -> dict[str, Sequence[str]]:
+    return _hit_columns("sentiment", lexicon)
+
+
+def emotion_columns(lexicon: Mapping[str, Sequence[str]] = fixed.EMOTION_LEXICON) -> dict[str, Sequence[str]]:
+    return _hit_columns("emotion", lexicon)
+
+
 def score_sentiment(
     df: DataFrame, lexicon: Mapping[str, Sequence[str]] = fixed.SENTIMENT_LEXICON, text_col: str = "review_text"
 ) -> DataFrame:
     """Three class probabilities and ``sentiment_score`` from lexicon hits, smoothed to sum to one."""
-    counted = (
-        df.withColumn("_tokens", text.letter_tokens(F.col(text_col)))
-        .withColumn("_p", text.token_hits(F.col("_tokens"), lexicon["positive"]))
-        .withColumn("_q", text.token_hits(F.col("_tokens"), lexicon["negative"]))
-    )
-    total = F.col("_p") + F.col("_q") + 1.5
+    return sentiment_from_hits(columns.lexicon_hits(df, text_col, sentiment_columns(lexicon)))
+
+
+def sentiment_from_hits(counted: DataFrame) -> DataFrame:
+    p, q = F.col("_sentiment_positive"), F.col("_sentiment_negative")
+    total = p + q + 1.5
     return (
-        counted.withColumn("prob_negative", (F.col("_q") + 0.5) / total)
+        counted.withColumn("prob_negative", (q + 0.5) / total)
         .withColumn("prob_neutral", F.lit(0.5) / total)
-        .withColumn("prob_positive", (F.col("_p") + 0.5) / total)
-        .drop("_tokens", "_p", "_q")
+        .withColumn("prob_positive", (p + 0.5) / total)
+        .drop("_sentiment_positive", "_sentiment_negative")
         .transform(sentiment_score)
     )
 
@@ -104,13 +117,11 @@ def detect_language(
     text_col: str = "review_text", out_col: str = "detected_lang", default: str = "en",
 ) -> DataFrame:
     """Stop-word vote; the earlier language on ties, ``default`` when no stop word occurs."""
-    counted = df.withColumn("_tokens", text.letter_tokens(F.col(text_col)))
     votes = {lang: f"_votes_{lang}" for lang in stop_words}
-    for lang, words in stop_words.items():
-        counted = counted.withColumn(votes[lang], text.token_hits(F.col("_tokens"), words))
-    columns = {lang: F.col(c) for lang, c in votes.items()}
-    best = F.when(F.greatest(*columns.values()) > 0, maths.first_max_label(columns)).otherwise(default)
-    return counted.withColumn(out_col, best).drop("_tokens", *votes.values())
+    counted = columns.lexicon_hits(df, text_col, {votes[lang]: words for lang, words in stop_words.items()})
+    found = {lang: F.col(c) for lang, c in votes.items()}
+    best = F.when(F.greatest(*found.values()) > 0, maths.first_max_label(found)).otherwise(default)
+    return columns.compute_once(counted, {out_col: best}).drop(*votes.values())
 
 
 def translate_selective(
@@ -161,13 +172,16 @@ def score_emotions(
     keep: Sequence[str] = fixed.ACTIVE_EMOTIONS, text_col: str = "review_text",
 ) -> DataFrame:
     """Class probabilities over every emotion of the lexicon, of which only ``keep`` become columns."""
-    counted = df.withColumn("_tokens", text.letter_tokens(F.col(text_col)))
-    for name, words in lexicon.items():
-        counted = counted.withColumn(f"_hits_{name}", text.token_hits(F.col("_tokens"), words))
-    total = sum((F.col(f"_hits_{name}") for name in lexicon), F.lit(0)) + 0.5 * len(lexicon)
-    for name in keep:
-        counted = counted.withColumn(f"emo_{name}", (F.col(f"_hits_{name}") + 0.5) / total)
-    return counted.drop("_tokens", *[f"_hits_{n}" for n in lexicon]).transform(lambda d: dominant_emotion(d, keep))
+    return emotions_from_hits(columns.lexicon_hits(df, text_col, emotion_columns(lexicon)), lexicon, keep)
+
+
+def emotions_from_hits(
+    counted: DataFrame, lexicon: Mapping[str, Sequence[str]] = fixed.EMOTION_LEXICON, keep: Sequence[str] = fixed.ACTIVE_EMOTIONS
+) -> DataFrame:
+    hits = {name: F.col(f"_emotion_{name}") for name in lexicon}
+    total = sum(hits.values(), F.lit(0)) + 0.5 * len(lexicon)
+    scored = counted.withColumns({f"emo_{name}": (hits[name] + 0.5) / total for name in keep})
+    return scored.drop(*[f"_emotion_{n}" for n in lexicon]).transform(lambda d: dominant_emotion(d, keep))
 
 
 def dominant_emotion(df: DataFrame, keep: Sequence[str] = fixed.ACTIVE_EMOTIONS) -> DataFrame:

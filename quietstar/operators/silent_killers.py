@@ -100,7 +100,8 @@ def diagnose(df: DataFrame, threshold: Column | float | None = None) -> DataFram
     return star_gap(revenue_at_risk(flag_silent_killers(review_weight(df), bar)))
 
 
-def diagnostic_report(df: DataFrame, by: Sequence[str] = ("product_id",)) -> DataFrame:
+def diagnostic_report(df: DataFrame, by: Sequence[str] = ("product_id",), extra: Sequence[Column] = ()) -> DataFrame:
+    """Totals, means, flags and money per key; ``extra`` aggregates join the same pass."""
     n = F.count(F.lit(1))
     killers = F.count_if("is_silent_killer")
     return df.groupBy(*by).agg(
@@ -111,6 +112,7 @@ def diagnostic_report(df: DataFrame, by: Sequence[str] = ("product_id",)) -> Dat
         killers.alias("silent_killers"),
         (killers / n * 100).alias("silent_killer_pct"),
         F.sum("revenue_at_risk").alias("revenue_at_risk"),
+        *extra,
     )
 
 

@@ -10,7 +10,6 @@ from ..operators import silent_killers as sk
 
 def silent_killer_diagnosis(scored: DataFrame, threshold: Column | float | None = None) -> DataFrame:
     """Per-product report, costliest first, with the correlation of stars and score."""
-    flagged = sk.diagnose(scored, threshold)
-    report = sk.diagnostic_report(flagged)
-    r = flagged.groupBy("product_id").agg(F.corr("star_normalized", "sentiment_score").alias("pearson_r"))
-    return report.join(r, "product_id").orderBy(F.desc("revenue_at_risk"), F.asc("product_id"))
+    correlation = F.corr("star_normalized", "sentiment_score").alias("pearson_r")
+    report = sk.diagnostic_report(sk.diagnose(scored, threshold), extra=[correlation])
+    return report.orderBy(F.desc("revenue_at_risk"), F.asc("product_id"))
