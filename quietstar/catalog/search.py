@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import maths
+from ..functions import maths, text
 from ..operators import aspects, search
 from ..sources import adapters as A
 from .common import labelled_stage, rounded
@@ -35,8 +35,17 @@ def _insight(spark, sf):
 
 
 def _index(spark, sf):
-    rows = aspects.with_clean_text(A.reviews(spark, sf))
-    return search.build_index(rows, size=32).select("review_id", "embedding")
+    rows = aspects.with_clean_text(A.reviews(spark, sf)).select("review_id", "clean_text")
+    return search.embed(rows, search.fit_embedder(rows)).select("review_id", "embedding")
+
+
+def _text_search(spark, sf):
+    """Every benchmark item as a typed question against the review index."""
+    rows = aspects.with_clean_text(A.reviews(spark, sf)).select("review_id", "clean_text")
+    asked = A.table(spark, sf, "benchmark").select("item_id", text.clean_text(F.col("text")).alias("clean_text"))
+    model = search.fit_embedder(rows)
+    questions = search.embed(asked, model).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("q"))
+    return search.semantic_search(search.embed(rows, model), questions, 3, key="review_id")
 
 
 QUERIES = {
@@ -44,6 +53,7 @@ QUERIES = {
     "semantic_search": lambda s, d: rounded(_search(s, d)),
     "copilot_insight": _insight,
     "embedding_index": _index,
+    "text_search": _text_search,
 }
 
 _SEARCH = {

@@ -195,7 +195,8 @@ def representative_quotes(
     )
     order = [F.desc("centrality"), F.asc("review_id")]
     return ranking.top_per_group(
-        scored.select(*by, "review_id", "centrality", F.col("review_text").alias("quote_text")), by, order, k, "quote_rank"
+        scored.select(*by, "review_id", "centrality", F.col("review_text").alias("quote_text")), by, order, k, "quote_rank",
+        spread_by=F.col("review_id"),
     )
 
 

@@ -31,33 +31,15 @@ def training_table(df: DataFrame, features: Sequence[str] = fixed.CHURN_FEATURES
 
 
 def class_positions(df: DataFrame, seed: int | str = 42) -> DataFrame:
-    """``position`` (1-based) and ``class_size`` of every row in its class, in digest order.
-
-    A class may hold nearly all rows, so it is never ordered in one task: rows are ranked inside
-    digest-prefix buckets and bucket offsets are added.
-    """
-    keyed = df.withColumn("_key", maths.seeded_key(F.col("review_id"), seed)).withColumn(
-        "_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("bigint")
-    )
-    sizes = keyed.groupBy("label", "_bucket").agg(F.count(F.lit(1)).alias("_m"))
-    earlier = W.partitionBy("label").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_m").over(earlier), F.lit(0))).withColumn(
-        "class_size", F.sum("_m").over(W.partitionBy("label"))
-    )
-    inside = W.partitionBy("label", "_bucket").orderBy("_key", "review_id")
-    return (
-        keyed.withColumn("_r", F.row_number().over(inside))
-        .join(offsets, ["label", "_bucket"])
-        .withColumn("position", F.col("_before") + F.col("_r"))
-        .drop("_key", "_bucket", "_r", "_m", "_before")
-    )
+    """``position`` and ``group_size`` of every row in its class, in digest order."""
+    return ranking.digest_positions(df, ["label"], maths.seeded_key(F.col("review_id"), seed), "review_id")
 
 
 def stratified_split(df: DataFrame, test_share: float = 0.2, seed: int | str = 42) -> DataFrame:
     """``is_test`` for the first ``floor(share * size)`` rows of each class in digest order."""
     placed = class_positions(df, seed)
-    return placed.withColumn("is_test", F.col("position") <= F.floor(F.col("class_size") * test_share)).drop(
-        "position", "class_size"
+    return placed.withColumn("is_test", F.col("position") <= F.floor(F.col("group_size") * test_share)).drop(
+        "position", "group_size"
     )
 
 
@@ -73,7 +55,7 @@ def fold_count(df: DataFrame, k: int = 5) -> DataFrame:
 def stratified_folds(df: DataFrame, k: int = 5, seed: int | str = 42) -> DataFrame:
     """Fold number per row, dealt round-robin inside each class."""
     folds = ranking.one_value(fold_count(df, k), "k")
-    return class_positions(df, seed).withColumn("fold", (F.col("position") - 1) % folds).drop("position", "class_size")
+    return class_positions(df, seed).withColumn("fold", (F.col("position") - 1) % folds).drop("position", "group_size")
 
 
 def class_weights(df: DataFrame) -> DataFrame:

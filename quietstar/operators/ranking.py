@@ -123,39 +123,77 @@ def auroc(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> Da
     )
 
 
-def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank_no") -> DataFrame:
+SALTS = 1024
+
+
+def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:
+    window = W.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(window).cast("bigint")).filter(F.col(rank) <= n)
+
+
+def top_per_group(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank_no",
+    spread_by: Column | None = None,
+) -> DataFrame:
     """First ``n`` rows of every group with their rank; ``n`` up to 1,000.
 
-    Spark prunes each input partition to ``n`` rows per group before the shuffle at this size, so a
-    hot group never travels whole.
+    Spark prunes each input partition to ``n`` rows per group before the shuffle at this size. Where
+    the input is raw rows, pass ``spread_by`` (a row id): the survivors of all partitions are then
+    pruned again over many salts, so a hot group's final task sees ``n`` rows per salt and not per
+    input partition. Exact either way.
     """
     if n > 1000:
         raise ValueError("use first_per_group for more than 1,000 rows per group")
-    window = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window).cast("bigint")).filter(F.col(rank) <= n)
+    if spread_by is None:
+        return _ranked(df, keys, order, n, rank)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
+    return _ranked(_ranked(salted, [*keys, "_salt"], order, n, rank).drop("_salt", rank), keys, order, n, rank)
 
 
 def first_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: Column | int, limit: int,
-    spread_by: Column, salts: int = 256, rank: str = "rank_no",
+    spread_by: Column, rank: str = "rank_no",
 ) -> DataFrame:
     """First ``n`` rows of every group when ``n`` is large or varies by group (never above ``limit``).
 
-    Two levels: every group is split over ``salts`` tasks that each keep ``limit`` rows, then the
-    survivors are ranked. Exact, because a row among the first ``n`` of its group is among the first
-    ``n`` of its salt.
+    Two levels: every group is split over many tasks that each keep ``limit`` rows, then the survivors
+    are ranked. Exact, because a row among the first ``n`` of its group is among the first ``n`` of
+    its salt.
     """
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts))
-    part = W.partitionBy(*keys, "_salt").orderBy(*order)
-    whole = W.partitionBy(*keys).orderBy(*order)
-    return (
-        df.withColumn("_salt", salt)
-        .withColumn("_part_rank", F.row_number().over(part))
-        .filter(F.col("_part_rank") <= limit)
-        .drop("_salt", "_part_rank")
-        .withColumn(rank, F.row_number().over(whole).cast("bigint"))
-        .filter(F.col(rank) <= n)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
+    kept = _ranked(salted, [*keys, "_salt"], order, limit, rank).drop("_salt", rank)
+    return _ranked(kept, keys, order, limit, rank).filter(F.col(rank) <= n)
+
+
+def digest_positions(
+    df: DataFrame, keys: Sequence[str], digest: Column, row_id: str, quota: Column | None = None
+) -> DataFrame:
+    """``position`` (1-based) and ``group_size`` of every row in its group, in digest order.
+
+    A group may hold nearly all rows, so it is never ordered in one task: rows are counted per digest
+    prefix, prefixes get offsets, and rows are ranked inside their prefix. With ``quota`` (an
+    expression over ``group_size``) only rows up to it are kept, and prefixes beyond it drop out
+    before any row is shuffled to be ranked.
+    """
+    placed = df.withColumn("_digest", digest).withColumn(
+        "_prefix", F.conv(F.substring("_digest", 1, 4), 16, 10).cast("bigint")
+    )
+    per_group = W.partitionBy(*keys)
+    earlier = per_group.orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy(*keys, "_prefix")
+        .agg(F.count(F.lit(1)).alias("_m"))
+        .withColumn("_before", F.coalesce(F.sum("_m").over(earlier), F.lit(0)))
+        .withColumn("group_size", F.sum("_m").over(per_group))
+        .drop("_m")
     )
+    if quota is not None:
+        offsets = offsets.withColumn("_quota", quota).filter(F.col("_before") < F.col("_quota"))
+    inside = W.partitionBy(*keys, "_prefix").orderBy("_digest", row_id)
+    out = placed.join(offsets, [*keys, "_prefix"]).withColumn("position", F.col("_before") + F.row_number().over(inside))
+    if quota is not None:
+        out = out.filter(F.col("position") <= F.col("_quota")).drop("_quota")
+    return out.drop("_digest", "_prefix", "_before")
 
 
 def one_value(df: DataFrame, column: str) -> Column:

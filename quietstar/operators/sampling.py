@@ -18,30 +18,12 @@ def sample_n(df: DataFrame, n: int, seed: int | str = 42, key: str = "review_id"
 def stratified_sample(
     df: DataFrame, by: str = "star_rating", limit: int = fixed.SAMPLE_LIMIT, seed: int | str = 42, key: str = "review_id"
 ) -> DataFrame:
-    """``floor(limit * n_s / N)`` rows of each stratum, or every row when the table is small enough.
-
-    Strata are few and large, so the choice is two-level: each stratum is split over many tasks.
-    """
-    strata = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    total = ranking.one_value(strata.agg(F.sum("_n").alias("n")), "n")
-    quotas = strata.select(
-        by,
-        F.when(total <= limit, F.col("_n"))
-        .otherwise(F.floor(F.lit(limit) * F.col("_n") / total))
-        .cast("bigint")
-        .alias("_quota"),
-    )
-    small = F.coalesce(total <= limit, F.lit(True))
-    rows = df.join(quotas, by)
-    # ``limit`` also covers the small-table case, where no stratum can hold more rows than that.
-    return (
-        ranking.first_per_group(
-            rows.withColumn("_key", maths.seeded_key(F.col(key), seed)), [by], [F.asc("_key"), F.asc(key)],
-            F.col("_quota"), limit=limit, spread_by=F.col(key), rank="_rank",
-        )
-        .withColumn("whole_table", small)
-        .drop("_key", "_rank", "_quota")
-    )
+    """``floor(limit * n_s / N)`` rows of each stratum, or every row when the table is small enough."""
+    total = ranking.one_value(df.filter(F.col(by).isNotNull()).agg(F.count(F.lit(1)).alias("n")), "n")
+    share = F.floor(F.lit(limit) * F.col("group_size") / total)
+    quota = F.when(total <= limit, F.col("group_size")).otherwise(share).cast("bigint")
+    digest = maths.seeded_key(F.col(key), seed)
+    return ranking.digest_positions(df, [by], digest, key, quota).drop("position", "group_size")
 
 
 def pooled(frames: Sequence[DataFrame]) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Normalizer, Tokenizer, Word2Vec
+from pyspark.ml.feature import HashingTF, IDF, Normalizer, StopWordsRemover, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,16 +26,23 @@ def normalize_index(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return unit.withColumn(vector, vector_to_array("_unit")).drop("_v", "_unit")
 
 
-def build_index(df: DataFrame, text_col: str = "clean_text", size: int = 64, seed: int = 42, iterations: int = 1) -> DataFrame:
-    """Mean word vectors as unit-length ``array<float>``, kept in the row of their review."""
-    model = Pipeline(stages=[
+def fit_embedder(df: DataFrame, text_col: str = "clean_text", size: int = 256) -> PipelineModel:
+    """Hashed TF-IDF of fixed width: one distributed pass for the weights, nothing else to train.
+
+    The same model embeds queries. A pretrained encoder plugs in through ``sentiment.score_table``.
+    """
+    return Pipeline(stages=[
         Tokenizer(inputCol=text_col, outputCol="_words"),
-        Word2Vec(inputCol="_words", outputCol="_mean", vectorSize=size, minCount=5, maxIter=iterations, seed=seed),
-        Normalizer(inputCol="_mean", outputCol="_unit"),
+        StopWordsRemover(inputCol="_words", outputCol="_kept"),
+        HashingTF(inputCol="_kept", outputCol="_tf", numFeatures=size),
+        IDF(inputCol="_tf", outputCol="_tfidf"),
+        Normalizer(inputCol="_tfidf", outputCol="_unit"),
     ]).fit(df)
-    return model.transform(df).select(
-        *df.columns, vector_to_array("_unit", "float32").alias("embedding")
-    )
+
+
+def embed(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """Unit-length ``array<float>`` vectors, kept in the row of their text."""
+    return model.transform(df).select(*df.columns, vector_to_array("_unit", "float32").alias("embedding"))
 
 
 def semantic_search(index: DataFrame, queries: DataFrame, k: int = 6, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -90,7 +97,8 @@ def _search_block(index: DataFrame, id_type: T.DataType, block: list, k: int, ve
             })
 
     found = index.select(key, vector).mapInPandas(run, schema)
-    return ranking.top_per_group(found, ["query_id"], [F.desc("similarity"), F.asc(key)], k)
+    order = [F.desc("similarity"), F.asc(key)]
+    return ranking.top_per_group(found, ["query_id"], order, k, spread_by=F.col(key))
 
 
 def match_insight(matches: DataFrame) -> DataFrame:

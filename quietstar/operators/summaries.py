@@ -37,7 +37,8 @@ def build_corpus(
         .withColumn("_long", text.word_count(F.col("_text")) >= fixed.SUMMARY_MIN_WORDS)
         .withColumn("_key", maths.seeded_key(F.col("review_id"), seed))
     )
-    picked = ranking.top_per_group(pool, by, [F.desc("_long"), F.asc("_key"), F.asc("review_id")], max_reviews, "_n")
+    order = [F.desc("_long"), F.asc("_key"), F.asc("review_id")]
+    picked = ranking.top_per_group(pool, by, order, max_reviews, "_n", spread_by=F.col("review_id"))
     gathered = picked.groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct("_n", "_long", "_text"))).alias("_rows")
     )
