@@ -19,6 +19,13 @@ def ratio(numerator: Column, denominator: Column, default: float = 0.0) -> Colum
     return F.coalesce(F.try_divide(numerator, denominator), F.lit(default))
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation aggregate that is null, not an error, when a side does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def cochran_n(population: Column, z: float = 1.96, e: float = 0.05, p: float = 0.5) -> Column:
     """Minimum sample for a proportion, with the finite-population correction."""
     n0 = (z ** 2 * p * (1 - p)) / (e ** 2)

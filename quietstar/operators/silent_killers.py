@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions import fixed, text
+from ..functions import fixed, maths, text
 from . import ranking
 
 
@@ -177,7 +177,7 @@ def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
 
 
 def star_sentiment_corr(df: DataFrame, by: Sequence[str] = (), with_p: bool = False) -> DataFrame:
-    r = F.corr((F.col("star_rating") - 3) / 2, F.col("sentiment_score"))
+    r = maths.pearson((F.col("star_rating") - 3) / 2, F.col("sentiment_score"))
     out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), r.alias("pearson_r"))
     out = out.withColumn("weak_correlation", F.coalesce(F.col("pearson_r") < 0.5, F.lit(False)))
     return out.withColumn("p_value", pearson_p("pearson_r", "n")) if with_p else out

@@ -258,3 +258,10 @@ def test_display_names(spark):
 
 def test_fixed_formula_columns_are_not_features():
     assert not set(fixed.CHURN_FEATURES) & set(fixed.LABEL_FORMULA_COLUMNS)
+
+
+def test_correlation_of_a_constant_is_null(spark):
+    df = spark.createDataFrame([("a", 5.0, 0.1), ("a", 5.0, 0.4), ("b", 1.0, -1.0), ("b", 5.0, 1.0)], "k string, star_rating double, sentiment_score double")
+    got = {r["k"]: (r["pearson_r"], r["weak_correlation"]) for r in sk.star_sentiment_corr(df, ["k"]).collect()}
+    assert got["a"] == (None, False)
+    assert got["b"] == (pytest.approx(1.0), False)
