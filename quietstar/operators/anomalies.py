@@ -11,8 +11,10 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import columns
 
 FEATURES = ("mean_sentiment", "sk_rate", "urgency", "review_count")
 
@@ -24,36 +26,40 @@ def _average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, 2 * (np.log(safe - 1) + np.euler_gamma) - 2 * (safe - 1) / safe))
 
 
-def _tree_depths(sample: np.ndarray, points: np.ndarray, limit: int, rng: np.random.Generator) -> np.ndarray:
-    """Path length of every point in one random isolation tree grown on ``sample``."""
-    depths = np.zeros(len(points))
-    stack = [(np.arange(len(sample)), np.arange(len(points)), 0)]
-    while stack:
-        rows, routed, depth = stack.pop()
-        if len(routed) == 0:
-            continue
-        low, high = sample[rows].min(axis=0), sample[rows].max(axis=0)
-        usable = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or len(usable) == 0:
-            depths[routed] = depth + _average_path(len(rows))
-            continue
-        feature = rng.choice(usable)
-        cut = rng.uniform(low[feature], high[feature])
-        left, goes_left = sample[rows, feature] <= cut, points[routed, feature] <= cut
-        stack.append((rows[left], routed[goes_left], depth + 1))
-        stack.append((rows[~left], routed[~goes_left], depth + 1))
-    return depths
-
-
 def _forest_scores(points: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """Anomaly score of every point; all trees grow together, one level at a time."""
     rng = np.random.default_rng(seed)
-    size = min(256, len(points))
+    n, width = points.shape
+    size = min(256, n)
     limit = int(np.ceil(np.log2(max(size, 2))))
-    total = np.zeros(len(points))
-    for _ in range(trees):
-        total += _tree_depths(points[rng.choice(len(points), size, replace=False)], points, limit, rng)
+    picks = np.argsort(rng.random((trees, n)), axis=1)[:, :size]
+    sample = points[picks].reshape(-1, width)
+    everything = np.tile(points, (trees, 1))
+    # Node of each row within its level, -1 once it has reached a leaf.
+    own, routed = np.zeros(trees * size, dtype=int), np.zeros(trees * n, dtype=int)
+    own_tree, routed_tree = np.repeat(np.arange(trees), size), np.repeat(np.arange(trees), n)
+    depth = np.zeros(trees * n)
+    for level in range(limit + 1):
+        slots = trees * 2 ** level
+        live, moving = np.flatnonzero(own >= 0), np.flatnonzero(routed >= 0)
+        node, at = own_tree[live] * 2 ** level + own[live], routed_tree[moving] * 2 ** level + routed[moving]
+        count = np.bincount(node, minlength=slots)
+        low, high = np.full((slots, width), np.inf), np.full((slots, width), -np.inf)
+        np.minimum.at(low, node, sample[live])
+        np.maximum.at(high, node, sample[live])
+        usable = high > low
+        leaf = (count <= 1) | ~usable.any(axis=1) | (level == limit)
+        ending = leaf[at]
+        depth[moving[ending]] = level + _average_path(count[at[ending]])
+        feature = np.where(usable, rng.random((slots, width)), -1.0).argmax(axis=1)
+        row = np.arange(slots)
+        floor = np.where(leaf, 0.0, low[row, feature])
+        cut = floor + rng.random(slots) * np.where(leaf, 0.0, high[row, feature] - floor)
+        own[live] = np.where(leaf[node], -1, 2 * own[live] + (sample[live, feature[node]] > cut[node]))
+        routed[moving] = np.where(ending, -1, 2 * routed[moving] + (everything[moving, feature[at]] > cut[at]))
     norm = float(_average_path(size))
-    return np.power(2.0, -(total / trees) / norm) if norm > 0 else np.full(len(points), 0.5)
+    mean_depth = depth.reshape(trees, n).mean(axis=0)
+    return np.power(2.0, -mean_depth / norm) if norm > 0 else np.full(n, 0.5)
 
 
 def isolation_forest(
@@ -78,11 +84,12 @@ def isolation_forest(
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("month").reset_index(drop=True)
         own = seed + zlib.crc32("|".join(str(frame[k].iloc[0]) for k in keys).encode())
-        score = _forest_scores(frame[names].astype(float).fillna(0.0).to_numpy(), trees, own)
+        with np.errstate(invalid="ignore"):
+            score = _forest_scores(frame[names].astype(float).fillna(0.0).to_numpy(), trees, own)
         flag = score > np.percentile(score, 100 * (1 - contamination))
         return frame.assign(anomaly_score=np.where(flag, -1, 1).astype("int32"), anomaly_prob=score, is_anomaly=flag)
 
-    return monthly.groupBy(*keys).applyInPandas(run, schema)
+    return columns.spread_groups(monthly, keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def robust_anomaly(

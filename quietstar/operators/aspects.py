@@ -126,18 +126,15 @@ def class_tfidf(
     else:
         kept = words
     base = df.select(F.col(topic_col), kept.alias("_w"))
-    terms = F.col("_w")
     if bigrams:
-        pairs = F.zip_with(
-            F.col("_w"), F.slice(F.col("_w"), F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))),
-            lambda a, b: F.concat(a, F.lit(" "), b),
-        )
-        terms = F.concat(F.col("_w"), F.array_compact(pairs))
-    tf = (
-        base.select(topic_col, F.explode(terms).alias("term"))
-        .groupBy(topic_col, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+        # Each word beside its successor; the last word has none and yields no pair.
+        successor = F.slice(F.col("_w"), F.lit(2), F.greatest(F.size("_w"), F.lit(1)))
+        beside = base.select(topic_col, F.explode(F.arrays_zip(F.col("_w").alias("a"), successor.alias("b"))).alias("p"))
+        pair = F.concat("p.a", F.lit(" "), "p.b")
+        terms = beside.select(topic_col, F.explode(F.array("p.a", pair)).alias("term")).filter("term IS NOT NULL")
+    else:
+        terms = base.select(topic_col, F.explode("_w").alias("term"))
+    tf = terms.groupBy(topic_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     sizes = tf.groupBy(topic_col).agg(F.sum("tf").alias("_size"))
     corpus = tf.groupBy("term").agg(F.sum("tf").alias("_f"))
     average = ranking.one_value(sizes.agg(F.avg("_size").alias("a")), "a")

@@ -32,3 +32,14 @@ def lexicon_hits(df: DataFrame, text_col: str, classes: Mapping[str, Sequence[st
     tokens = df.withColumn("_lexicon_tokens", kept)
     counted = {name: text.token_hits(F.col("_lexicon_tokens"), words) for name, words in classes.items()}
     return compute_once(tokens, counted).drop("_lexicon_tokens")
+
+
+def spread_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition by key into the session's shuffle partition count, exempt from coalescing.
+
+    For groups that are small in bytes but costly in Python: adaptive execution sizes partitions by
+    bytes and would put thousands of such groups into one task. A following group-by on the same keys
+    needs no further shuffle.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)

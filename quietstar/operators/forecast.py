@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import columns as frames
+
 DEGREE = 3
 
 
@@ -87,7 +89,7 @@ def forecast(
 
     enough = F.count(F.lit(1)).over(W.partitionBy(*keys)) >= min_months
     long = monthly.select(*keys, "month", "mean_sentiment", enough.alias("_enough")).filter("_enough").drop("_enough")
-    done = long.groupBy(*keys).applyInPandas(run, schema)
+    done = frames.spread_groups(long, keys).groupBy(*keys).applyInPandas(run, schema)
     return done.select(*[F.nanvl(c, F.lit(None)).alias(c) if c in ("actual", "ci_lo", "ci_hi") else F.col(c) for c in columns])
 
 
