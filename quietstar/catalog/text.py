@@ -58,6 +58,13 @@ def _summary(spark, sf):
     return summaries.summarize(read_back(spark, rows, "complaints"))
 
 
+def _overall_summary(spark, sf):
+    rows = summaries.complaints(aspects.drop_outliers(labelled(spark, sf))).select("product_id", "review_id", "review_text")
+    return summaries.summarize(
+        read_back(spark, rows, "complaints"), ["product_id"], max_reviews=fixed.SUMMARY_OVERALL_REVIEWS, min_reviews=1
+    )
+
+
 QUERIES = {
     "clean_text": lambda s, d: A.reviews(s, d).select("review_id", text.clean_text(F.col("review_text")).alias("clean_text")),
     "text_lengths": lambda s, d: A.reviews(s, d).select(
@@ -96,6 +103,7 @@ QUERIES = {
     "complaints": lambda s, d: summaries.complaints(flagged(s, d)).select("review_id", "product_id"),
     "complaint_corpus": _corpus,
     "complaint_summary": _summary,
+    "complaint_summary_overall": _overall_summary,
 }
 
 _DETECTED = "CASE WHEN greatest(v0, v1, v2, v3) = 0 THEN 'en' " + " ".join(
@@ -130,24 +138,28 @@ def _corpus_views(source: str, keys: str, n: int) -> dict[str, str]:
     }
 
 
-_BY_ASPECT = _corpus_views("topical", "product_id, topic_label", 40) | {
-    "usable": f"SELECT * FROM corpora WHERE n_complaints >= 3 AND {word_count('corpus')} >= 15",
-    "sentences": """
-        SELECT product_id, topic_label, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS sentence_no
-        FROM (SELECT product_id, topic_label,
-                list_filter(list_transform(regexp_split_to_array(corpus, '[.!?]+'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM usable)""",
-    "spoken": r"""
-        SELECT * FROM (SELECT product_id, topic_label, sentence_no,
-            unnest(string_split(trim(regexp_replace(lower(sentence), '[^\p{L}]+', ' ', 'g')), ' ')) AS word FROM sentences) WHERE word <> ''""",
-    "term_counts": "SELECT product_id, topic_label, word, count(*) AS tf FROM spoken GROUP BY ALL",
-    "term_weights": """
-        SELECT product_id, topic_label, word, tf * ln(1 + (SELECT count(*) FROM usable) / df) AS w
-        FROM term_counts JOIN (SELECT word, count(*) AS df FROM term_counts GROUP BY ALL) USING (word)""",
-    "sentence_ranks": """
-        SELECT *, row_number() OVER (PARTITION BY product_id, topic_label ORDER BY round(score, 6) DESC, sentence_no) AS n
-        FROM (SELECT product_id, topic_label, sentence_no, avg(w) AS score
-              FROM spoken JOIN term_weights USING (product_id, topic_label, word) GROUP BY ALL)""",
-}
+def _summary_views(keys: str, n: int, least: int) -> dict[str, str]:
+    return _corpus_views("topical", keys, n) | {
+        "usable": f"SELECT * FROM corpora WHERE n_complaints >= {least} AND {word_count('corpus')} >= 15",
+        "sentences": f"""
+            SELECT {keys}, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS sentence_no
+            FROM (SELECT {keys},
+                    list_filter(list_transform(regexp_split_to_array(corpus, '[.!?]+'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM usable)""",
+        "spoken": rf"""
+            SELECT * FROM (SELECT {keys}, sentence_no,
+                unnest(string_split(trim(regexp_replace(lower(sentence), '[^\p{{L}}]+', ' ', 'g')), ' ')) AS word FROM sentences) WHERE word <> ''""",
+        "term_counts": f"SELECT {keys}, word, count(*) AS tf FROM spoken GROUP BY ALL",
+        "term_weights": f"""
+            SELECT {keys}, word, tf * ln(1 + (SELECT count(*) FROM usable) / df) AS w
+            FROM term_counts JOIN (SELECT word, count(*) AS df FROM term_counts GROUP BY ALL) USING (word)""",
+        "sentence_ranks": f"""
+            SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(score, 6) DESC, sentence_no) AS n
+            FROM (SELECT {keys}, sentence_no, avg(w) AS score FROM spoken JOIN term_weights USING ({keys}, word) GROUP BY ALL)""",
+        "summarised": f"""
+            SELECT {keys}, string_agg(sentence, '. ' ORDER BY sentence_no) AS summary, any_value(n_complaints) AS n_complaints
+            FROM sentence_ranks JOIN sentences USING ({keys}, sentence_no) JOIN usable USING ({keys}) WHERE n <= 2 GROUP BY {keys}""",
+    }
+
 
 ORACLES = {
     "clean_text": query(f"SELECT review_id, {CLEAN} AS clean_text FROM reviews"),
@@ -182,8 +194,6 @@ ORACLES = {
     "complaint_corpus": query("""
         SELECT product_id, n_complaints, n_used, md5(corpus) AS corpus_md5, length(corpus) AS chars FROM corpora""",
         **_corpus_views("flagged", "product_id", 60)),
-    "complaint_summary": query("""
-        SELECT product_id, topic_label, string_agg(sentence, '. ' ORDER BY sentence_no) AS summary, any_value(n_complaints) AS n_complaints
-        FROM sentence_ranks JOIN sentences USING (product_id, topic_label, sentence_no) JOIN usable USING (product_id, topic_label)
-        WHERE n <= 2 GROUP BY product_id, topic_label""", **_BY_ASPECT),
+    "complaint_summary": query("SELECT * FROM summarised", **_summary_views("product_id, topic_label", 40, 3)),
+    "complaint_summary_overall": query("SELECT * FROM summarised", **_summary_views("product_id", 60, 1)),
 }

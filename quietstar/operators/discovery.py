@@ -56,14 +56,15 @@ def sample_adequacy(counts: DataFrame) -> DataFrame:
 
 
 def competitors(
-    candidates: DataFrame, types: DataFrame, products: DataFrame, n: int = fixed.RIVAL_COUNT
+    candidates: DataFrame, types: DataFrame, products: DataFrame, n: int = fixed.RIVAL_COUNT,
+    keywords: Sequence[str] = fixed.RIVAL_TYPE_KEYWORDS,
 ) -> DataFrame:
     """Up to ``n`` rivals in volume order: the flagship's type, another brand where both are known.
 
     With no match the next products by volume stand in. All inputs are candidate-sized. A candidate
     without a vote takes the first type word of its title.
     """
-    title_type = text.first_keyword(F.coalesce("title", F.lit("")), fixed.RIVAL_TYPE_KEYWORDS)
+    title_type = text.first_keyword(F.coalesce("title", F.lit("")), keywords)
     known = (
         candidates.join(types.select("product_id", "product_type"), "product_id", "left")
         .join(products.select("product_id", "title", "brand", "category"), "product_id", "left")

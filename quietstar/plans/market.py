@@ -19,7 +19,7 @@ def select_products(
     """Counts, rank, type vote on candidates only, then the rival rules."""
     ranked = discovery.rank_products(discovery.reviews_per_product(reviews), candidates)
     votes = discovery.product_type_vote(discovery.candidate_reviews(reviews, ranked), keywords)
-    return discovery.competitors(ranked, votes, products, rivals)
+    return discovery.competitors(ranked, votes, products, rivals, keywords)
 
 
 def discover_products(reviews: DataFrame, products: DataFrame, **options) -> DataFrame:
