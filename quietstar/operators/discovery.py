@@ -12,8 +12,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, fixed, labels, maths, text
+from ..session import read_back
 from . import ranking
 
+# Ids of this many rows stay far below any executor's memory.
+BROADCAST_ROWS = 100_000
+
 
 def reviews_per_product(df: DataFrame) -> DataFrame:
     return df.groupBy("product_id").agg(F.count(F.lit(1)).alias("review_count"))
@@ -94,14 +98,19 @@ def cap_per_product(
 ) -> DataFrame:
     """The first reviews of each selected product, a larger cap for the flagship.
 
-    Order is (unix_time, review_id), which is reproducible where arrival order is not.
+    Order is (unix_time, review_id), which is reproducible where arrival order is not. Ranking moves
+    ids and times only; texts never enter a shuffle for it. The kept ids are stored, counted, and
+    broadcast back only while few.
     """
     cap = F.when(F.col("is_flagship"), flagship_cap).otherwise(rival_cap)
-    rows = df.join(selection.select("product_id", "is_flagship"), "product_id")
-    return ranking.first_per_group(
-        rows, ["product_id"], [F.asc("unix_time"), F.asc("review_id")], cap,
+    keys = df.select("product_id", "review_id", "unix_time").join(selection.select("product_id", "is_flagship"), "product_id")
+    ranked = ranking.first_per_group(
+        keys, ["product_id"], [F.asc("unix_time"), F.asc("review_id")], cap,
         limit=max(flagship_cap, rival_cap), spread_by=F.col("review_id"), rank="arrival_no",
     )
+    kept = read_back(df.sparkSession, ranked.select("product_id", "review_id", "arrival_no", "is_flagship"), "capped-ids")
+    side = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    return df.join(side, ["product_id", "review_id"])
 
 
 def build_sample(df: DataFrame, selection: DataFrame, **caps: int) -> DataFrame:

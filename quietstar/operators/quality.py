@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import read_back
 from . import ranking
 
 
@@ -35,23 +36,34 @@ def sample_grade(n: Column) -> Column:
 
 
 def quality_report(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(check, value, pass) rows from one pass over the table plus an exact median of text length."""
-    words = text.word_count(F.col("review_text"))
-    n = F.count(F.lit(1))
+    """(check, value, pass) rows from one pass over the text.
+
+    The pass groups by text length in words, so its result has one row per distinct length; means,
+    extremes and the exact median all come from that small table, which is written once.
+    """
     blank = F.col("review_text").isNull() | (F.trim("review_text") == "")
     star_ok = F.col("star_rating").isin(1.0, 2.0, 3.0, 4.0, 5.0)
-    counted = df.withColumn("_words", words)
-    median = ranking.exact_percentiles(counted, [], "_words", {"median": 0.5})
-    profile = counted.agg(
+    by_length = df.groupBy(text.word_count(F.col("review_text")).alias("words")).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns],
+        F.count_if(F.col("star_rating").isNotNull() & ~star_ok).alias("bad_stars"),
+        F.count_if(blank).alias("blank"),
+        F.min("review_date").alias("first_day"),
+        F.max("review_date").alias("last_day"),
+    )
+    lengths = read_back(df.sparkSession, by_length, "text-lengths")
+    median = ranking.exact_percentiles(lengths, [], "words", {"median": 0.5}, weight="n")
+    n, with_text = F.sum("n"), F.sum(F.when(F.col("words").isNotNull(), F.col("n")))
+    profile = lengths.agg(
         n.cast("double").alias("rows"),
-        *[(F.count_if(F.col(c).isNull()) / n * 100).alias(f"null_pct_{c}") for c in columns],
-        F.count_if(F.col("star_rating").isNotNull() & ~star_ok).cast("double").alias("invalid_stars"),
-        F.avg("_words").alias("words_avg"),
-        F.min("_words").cast("double").alias("words_min"),
-        F.max("_words").cast("double").alias("words_max"),
-        F.count_if(blank).cast("double").alias("empty_texts"),
-        F.year(F.min("review_date")).cast("double").alias("first_year"),
-        F.year(F.max("review_date")).cast("double").alias("last_year"),
+        *[(F.sum(f"null_{c}") / n * 100).alias(f"null_pct_{c}") for c in columns],
+        F.sum("bad_stars").cast("double").alias("invalid_stars"),
+        F.try_divide(F.sum(F.col("words") * F.col("n")), with_text).alias("words_avg"),
+        F.min("words").cast("double").alias("words_min"),
+        F.max("words").cast("double").alias("words_max"),
+        F.sum("blank").cast("double").alias("empty_texts"),
+        F.year(F.min("first_day")).cast("double").alias("first_year"),
+        F.year(F.max("last_day")).cast("double").alias("last_year"),
     ).withColumn("words_median", ranking.one_value(median, "median"))
     # Few distinct ids: counted per id first, then counted again.
     products = df.groupBy("product_id").agg(F.lit(1).alias("_one")).agg(F.count("product_id").cast("double").alias("n"))

@@ -25,12 +25,15 @@ def value_bin(value: Column) -> Column:
     return F.coalesce(F.floor(F.signum(value) * F.log1p(F.abs(value)) * BINS_PER_UNIT), F.lit(0))
 
 
-def _value_counts(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column]) -> DataFrame:
+def _value_counts(
+    df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column], weight: str | None = None
+) -> DataFrame:
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     extra = [F.sum(c).alias(name) for name, c in sums.items()]
     return (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"), *extra)
+        .agg(rows.alias("_n"), *extra)
         .withColumn("_bin", value_bin(F.col("_v")))
     )
 
@@ -70,13 +73,14 @@ def distinct_value_ranks(
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, percentiles: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, percentiles: Mapping[str, float], weight: str | None = None
 ) -> DataFrame:
     """Linearly interpolated percentiles per key, plus ``n_rows``; one output row per key.
 
-    Bins that hold none of the wanted ranks drop out before the values are ordered.
+    Bins that hold none of the wanted ranks drop out before the values are ordered. ``weight`` names a
+    count column when the rows are already counted.
     """
-    counts = _value_counts(df, keys, value, {})
+    counts = _value_counts(df, keys, value, {}, weight)
     bins = _bin_totals(counts, keys)
     spans = {name: F.lit(p) * (F.col("_total") - 1) for name, p in percentiles.items()}
     wanted = F.lit(False)
