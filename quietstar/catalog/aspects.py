@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, labels
+from ..functions import dates
 from ..operators import aspects, drilldown, strategy
 from ..plans import executive
 from ..sources import adapters as A
-from .common import flagged, labelled, labelled_stage, rounded, stats, topical, topical_stage
+from .common import labelled, labelled_stage, rounded, stats, topical, topical_stage
 from .sql import CLEAN, query, rnd, words
 
 

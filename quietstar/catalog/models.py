@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed
 from ..operators import churn, ranking
 from ..plans import models
 from ..session import read_back
 from ..sources import adapters as A
-from .common import labelled, labelled_stage, rounded, scored
+from .common import labelled, labelled_stage, rounded
 from .sql import query, rnd
 
 # Boosting rounds of the registered queries; the library default is the published 300.

@@ -9,7 +9,7 @@ from ..operators import aspects, quality, sentiment, summaries
 from ..session import read_back
 from ..sources import adapters as A
 from .common import flagged, labelled, rounded, scored
-from .sql import CLEAN, TOKENS, hits, query, rnd, word_count, words
+from .sql import CLEAN, TOKENS, hits, query, rnd, word_count
 
 DICTIONARY = {"der": "the", "die": "the", "le": "the", "la": "the", "el": "the", "und": "and", "et": "and", "y": "and"}
 
