@@ -20,7 +20,6 @@ cells, as sets of hashes.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import read_back
 from . import common as C
 from .components import components
-from .shingles import shingle_set
+from .shingles import set_digest, shingle_set
 
 #: Frequency groups; a fixed size, so the table can go to every task.
 FREQUENCY_BITS = 20
@@ -41,7 +40,7 @@ COORDINATES = 128
 BLOCK = 2048
 FANOUT = 16
 #: Postings that a map task combines at once.
-BUFFER = 1_500_000
+BUFFER = 500_000
 #: Candidate ids up to here (8 bytes each) are broadcast, more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: A link: NUM * union <= DEN * intersection.
@@ -75,8 +74,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, sizes, prints = [], [], []
         for text in batch.column(1):
             tokens = shingle_set(text.as_py())
-            digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-            np.add.at(groups, (tokens >> shift).astype(np.int64), 1)
+            digest = set_digest(tokens)
+            groups[(tokens >> shift).astype(np.int64)] += 1  # documents by group, so each group once
             cls.append(int.from_bytes(digest[:8], "little", signed=True))
             sizes.append(len(tokens))
             prints.append(digest)
@@ -105,7 +104,7 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequencies(counted: DataFrame) -> np.ndarray:
-    """Tokens of all documents by frequency group: at most 2^20 numbers, whatever the input."""
+    """Documents by frequency group, over all of them: at most 2^20 numbers, whatever the input."""
     chunks, shape = counted.where("kind = 1").select("cls", "body"), "cls long, body binary"
     chunks = chunks.repartition(64, "cls", F.spark_partition_id() % 16).mapInArrow(_add_chunks, shape)
     chunks = chunks.repartition(16, "cls").mapInArrow(_add_chunks, shape)
@@ -158,7 +157,7 @@ def _map_stars(frequencies) -> object:
                 tokens = shingle_set(text.as_py())
                 if not len(tokens):
                     continue
-                cls = int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
+                cls = int.from_bytes(set_digest(tokens)[:8], "little", signed=True)
                 first = first_tokens(tokens, frequencies.value)
                 held.append((first, cls, len(tokens)))
                 size += len(first)
@@ -183,18 +182,37 @@ def _reduce_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _stars(token[alone], b[alone], bn[alone], False)
 
 
-_SET = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("tokens", pa.binary())])
+_SET = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("tokens", pa.list_(pa.int64()))])
+#: Tokens that a batch of sets holds before it is handed on.
+SET_TOKENS = 1_000_000
 
 
-def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    cls, sizes, at, body = [], [], [], []
-    for text in batch.column(1):
-        tokens = shingle_set(text.as_py())
-        cls.append(int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()[:8], "little", signed=True))
-        sizes.append(len(tokens))
-        at.append(point(tokens))
-        body.append(tokens.tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sizes, pa.int64()), pa.array(at, pa.binary()), pa.array(body, pa.binary())], schema=_SET)
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class, size, point and tokens, once for each class a task meets."""
+    met: set[tuple[int, int]] = set()
+    for batch in batches:
+        rows: list[tuple] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            ends = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
+            values = np.concatenate([r[3] for r in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), lists]
+            return pa.RecordBatch.from_arrays(cols, schema=_SET)
+
+        for text in batch.column(1):
+            tokens = shingle_set(text.as_py())
+            key = (int.from_bytes(set_digest(tokens)[:8], "little", signed=True), len(tokens))
+            if key in met:
+                continue
+            met.add(key)
+            rows.append((*key, point(tokens), tokens))
+            size += len(tokens)
+            if size >= SET_TOKENS:
+                yield made()
+                rows, size = [], 0
+        yield made()
 
 
 _PAIR = "a long, an long, b long, bn long"
@@ -210,15 +228,6 @@ def _bounded(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.select(range(4))
 
 
-def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
-    links = []
-    for n, m, x, y in zip(*(batch.column(i) for i in (1, 3, 4, 5)), strict=True):
-        x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-        links.append(len(np.intersect1d(x, y, assume_unique=True)) >= needed(n.as_py(), m.as_py()))
-    out = [batch.column(i) for i in range(4)]
-    return pa.RecordBatch.from_arrays([*out, pa.array(links, pa.bool_())], ["a", "an", "b", "bn", "link"])
-
-
 def _tried(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` with ``link``: bound by points first, the rest verified with the whole sets."""
     def with_column(df: DataFrame, side: str, column: str) -> DataFrame:
@@ -228,8 +237,9 @@ def _tried(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     order = ("a", "an", "b", "bn")
     by_point = with_column(with_column(pairs, "a", "point"), "b", "point").select(*order, "a_point", "b_point")
     near = by_point.mapInArrow(C.per_batch(_bounded), _PAIR)
-    by_set = with_column(with_column(near, "a", "tokens"), "b", "tokens").select(*order, "a_tokens", "b_tokens")
-    return by_set.mapInArrow(C.per_batch(_verified), _PAIR + ", link boolean")
+    by_set = with_column(with_column(near, "a", "tokens"), "b", "tokens")
+    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    return by_set.select(*order, ((NUM + DEN) * shared >= NUM * (F.col("an") + F.col("bn"))).alias("link"))
 
 
 class Tree:
@@ -317,9 +327,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = read_back(spark, classes.join(members, ["cls", "n"]).select(F.col("least").alias("id")), "wanted")
     few = wanted.count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").select("id", "text")
-    sets = chosen.mapInArrow(C.per_batch(_sets), "cls long, n long, point binary, tokens binary")
-    # A row without an id is no representative; a repeated id may bring other classes, which no pair asks for.
-    sets = read_back(spark, sets.dropDuplicates(["cls", "n"]), "sets")
+    sets = read_back(spark, chosen.mapInArrow(_sets, "cls long, n long, point binary, tokens array<long>"), "sets")
+    # Only a repeated id brings a class twice; where none does, the sets need no shuffle of their own.
+    if sets.groupBy("cls", "n").count().where("count > 1").limit(1).count():
+        sets = read_back(spark, sets.dropDuplicates(["cls", "n"]), "sets")
 
     pairs = stars.select("a", "an", "b", "bn").distinct()
     near_in_size = (F.col("an") * DEN >= F.col("bn") * NUM) & (F.col("bn") * DEN >= F.col("an") * NUM)

@@ -2,33 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
+import xxhash
 
-MEMO_WORDS = 400_000
-
-
-class _Words(dict):
-    """Word to 64-bit hash; forgets when full, so that its memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
-_MEMO = _Words()
-_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Odd multipliers by a word's place in its shingle, and those of the final mix.
+_PLACE = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x94D049BB133111EB, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -39,10 +18,21 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_MEMO.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     take = min(width, len(hashes))
     count = len(hashes) - take + 1
     out = np.full(count, take, np.uint64)
     for i in range(take):
-        out = _scramble(out * _MIX[i % len(_MIX)] + hashes[i : i + count])
-    return np.unique(out)
+        out += hashes[i : i + count] * _PLACE[i % len(_PLACE)]
+    out ^= out >> np.uint64(32)
+    out *= _MIX
+    out ^= out >> np.uint64(29)
+    out.sort()
+    new = np.ones(count, bool)
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
+
+
+def set_digest(tokens: np.ndarray) -> bytes:
+    """128 bits that tell sets apart."""
+    return xxhash.xxh3_128_digest(tokens.tobytes())
