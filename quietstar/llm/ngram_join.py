@@ -11,8 +11,8 @@ Tokens are 5-word shingles. Three kinds of groups are used, all by the token's h
 
 The cells alone would leave all pairs of a large family of copies. So a first round links each cell's members to one of them
 (combined on the map side: a token that a third of all rows hold reaches a reducer once per task), verifies these stars and
-takes components. Only cells with a link that failed are then searched by R-tree, and only for pairs between components. Cells
-above ``BLOCK`` members are dealt in blocks, each pair of blocks a task of its own. No pair is dropped, none is capped.
+takes components; two more turns do so around other members. Only cells with a link that failed are then searched by R-tree, and
+only for pairs between components. Cells above ``BLOCK`` members are dealt in blocks, each pair of blocks a task of its own. No pair is dropped, none is capped.
 
 Equal sets are one class (128-bit digest of the set), and classes, not rows, meet. Texts cross the network only for members of
 cells, as sets of hashes.
@@ -39,6 +39,8 @@ COORDINATES = 128
 #: Members of a cell that one task indexes at once.
 BLOCK = 2048
 FANOUT = 16
+#: Further stars around other members, before the search.
+STAR_TURNS = 2
 #: Postings that a map task combines at once.
 BUFFER = 500_000
 #: Candidate ids up to here (8 bytes each) are broadcast, more are joined by shuffle.
@@ -335,31 +337,45 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = stars.select("a", "an", "b", "bn").distinct()
     near_in_size = (F.col("an") * DEN >= F.col("bn") * NUM) & (F.col("bn") * DEN >= F.col("an") * NUM)
     first = read_back(spark, _tried(pairs.where(near_in_size), sets).where("link"), "first")
-    comps = read_back(spark, _linked_by(spark, first), "comps")
 
     failed = stars.join(first, ["a", "an", "b", "bn"], "left_anti").select("token").distinct()
     failed = read_back(spark, failed, "failed")
     open_cells = stars.join(failed, "token", "left_semi")
     inside = open_cells.select("token", F.col("a").alias("cls"), F.col("an").alias("n")).union(open_cells.select("token", "b", "bn")).distinct()
-    inside = inside.join(comps, ["cls", "n"], "left").select("token", "cls", "n", F.coalesce("comp", "cls").alias("comp"), F.coalesce("compn", "n").alias("compn"))
-    inside = read_back(spark, inside, "inside")
     # Cells of the same members are searched once; cells of two members have been tried.
+    inside = read_back(spark, inside, "inside")
     sign = inside.groupBy("token").agg(
-        F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("cls", "n").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("n", "cls")).alias("s2"),
-        F.min(F.struct("comp", "compn")).alias("low"), F.max(F.struct("comp", "compn")).alias("high"),
-    ).where("m > 2 AND low <> high").groupBy("m", "s1", "s2").agg(F.min("token").alias("token"))
+        F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("cls", "n").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("n", "cls")).alias("s2")
+    ).where("m > 2").groupBy("m", "s1", "s2").agg(F.min("token").alias("token"))
     sign = read_back(spark, sign.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "cells")
-    dealt = inside.join(sign, "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("long"))
-    # Each member meets the members of its own and of every other block of its cell.
+    inside = read_back(spark, inside.join(sign, "token"), "searched")
+    links = first
+    for turn in range(STAR_TURNS + 1):
+        named = inside.join(read_back(spark, _linked_by(spark, links), "comps"), ["cls", "n"], "left")
+        named = named.select("token", "blocks", "cls", "n", F.xxhash64(F.coalesce("comp", "cls"), F.coalesce("compn", "n")).alias("comp"))
+        heads = named.groupBy("token").agg(
+            F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("cls", "n", F.lit(turn))).alias("h"), F.min("comp").alias("low"), F.max("comp").alias("high")
+        ).where("low <> high").select("token", "h")
+        named, heads = read_back(spark, named, "named"), read_back(spark, heads, "heads")
+        if turn == STAR_TURNS:
+            break
+        # A star around another member of each cell, only between components, joins most of what is left of a large family.
+        stars = named.join(heads, "token").where("comp <> h.comp").select(F.struct("cls", "n").alias("x"), F.struct("h.cls", "h.n").alias("y"))
+        stars = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().select(
+            F.col("x.cls").alias("a"), F.col("x.n").alias("an"), F.col("y.cls").alias("b"), F.col("y.n").alias("bn")
+        ).where(near_in_size)
+        links = read_back(spark, links.unionByName(_tried(stars, sets).where("link")), "turn")
+
+    # What is left is searched: each member meets the members of its own and of every other block of its cell.
+    dealt = named.join(heads.select("token"), "token", "left_semi").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("long"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", F.least("block", F.col("other").cast("long")).alias("one"), F.greatest("block", F.col("other").cast("long")).alias("two"),
-        "block", "cls", "n", F.xxhash64("comp", "compn").alias("comp"),
+        "token", F.least("block", F.col("other").cast("long")).alias("one"), F.greatest("block", F.col("other").cast("long")).alias("two"), "block", "cls", "n", "comp"
     )
     cells = dealt.join(sets.select("cls", "n", "point"), ["cls", "n"]).select("token", "one", "two", "block", "cls", "n", "comp", "point")
     cells = cells.repartition(int(parts), "token", "one", "two").sortWithinPartitions("token", "one", "two")
     more = cells.mapInArrow(_search_cells, _PAIR).distinct()
     second = _tried(more, sets).where("link")
-    links = read_back(spark, first.unionByName(second).select("a", "an", "b", "bn"), "links")
+    links = read_back(spark, links.unionByName(second).select("a", "an", "b", "bn"), "links")
 
     comps = _linked_by(spark, links)
     least = comps.join(classes, ["cls", "n"]).groupBy("comp", "compn").agg(F.min("least").alias("least"))
