@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..session import read_back
 from . import common as C
 
+#: Marked rows (24 bytes each) up to here are broadcast, more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 WHITESPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -64,8 +66,18 @@ def exact_copies(
 def drop_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_hash: Callable[[Column], Column] = hash128
 ) -> DataFrame:
-    """The documents that stay, with the columns of ``docs``."""
-    rows = _matched(docs, id_col, text_col, content_hash)
-    single = rows.where("n IS NULL")
-    kept = rows.where("n IS NOT NULL AND id <=> keep").dropDuplicates(["h", "s"])
-    return C.released(single.unionByName(kept))
+    """The documents that stay, with the columns of ``docs``. Texts stay where they are while few rows go."""
+    spark = docs.sparkSession
+    copies = _matched(docs.select(id_col, text_col), id_col, text_col, content_hash).where("n IS NOT NULL")
+    copies = read_back(spark, copies.select("id", "h", F.expr("id <=> keep").alias("stays")), "matched")
+    keyed = copies.groupBy("id", "h").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    # Rows that go, and rows that stay but stand there several times.
+    marked = read_back(spark, keyed.where("NOT stays OR rows > 1").select("id", "h", F.expr("stays").alias("again")), "marked")
+    total, again = marked.agg(F.count(F.lit(1)), F.count_if("again")).first()
+    sent = lambda df: F.broadcast(df) if total <= BROADCAST_ROWS else df
+    rows = C.carried(docs, F.col(id_col).alias("own"), content_hash(normalised(F.col(text_col))).alias("own_h"))
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("own_h") == F.col("h"))
+    out = rows.join(sent(marked), same, "left_anti")
+    if again:
+        out = out.unionByName(rows.join(sent(marked.where("again")), same, "left_semi").dropDuplicates(["own", "own_h"]))
+    return C.released(out)
