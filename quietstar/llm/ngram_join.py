@@ -41,6 +41,8 @@ BLOCK = 2048
 FANOUT = 16
 #: Further stars around other members, before the search.
 STAR_TURNS = 2
+#: Smallest cell tokens of a class that tell whether a pair meets earlier.
+EARLY = 16
 #: Postings that a map task combines at once.
 BUFFER = 500_000
 #: Candidate ids up to here (8 bytes each) are broadcast, more are joined by shuffle.
@@ -217,6 +219,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
+def _as_bytes(batch: pa.RecordBatch) -> pa.RecordBatch:
+    lists = batch.column(2)
+    rows = lists.flatten().to_numpy().reshape(len(lists), EARLY) if len(lists) else np.zeros((0, EARLY), np.int64)
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], ["cls", "n", "early"])
+
+
 _PAIR = "a long, an long, b long, bn long"
 
 
@@ -232,14 +240,18 @@ def _bounded(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _tried(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` with ``link``: bound by points first, the rest verified with the whole sets."""
-    def with_column(df: DataFrame, side: str, column: str) -> DataFrame:
-        part = sets.select(F.col("cls").alias(side), F.col("n").alias(f"{side}n"), F.col(column).alias(f"{side}_{column}"))
+    def with_column(df: DataFrame, side: str, column: str, held: DataFrame = sets) -> DataFrame:
+        part = held.select(F.col("cls").alias(side), F.col("n").alias(f"{side}n"), F.col(column).alias(f"{side}_{column}"))
         return df.join(part, [side, f"{side}n"])
 
     order = ("a", "an", "b", "bn")
     by_point = with_column(with_column(pairs, "a", "point"), "b", "point").select(*order, "a_point", "b_point")
-    near = by_point.mapInArrow(C.per_batch(_bounded), _PAIR)
-    by_set = with_column(with_column(near, "a", "tokens"), "b", "tokens")
+    near = read_back(sets.sparkSession, by_point.mapInArrow(C.per_batch(_bounded), _PAIR), "near")
+    # Only the sets of pairs that are near move.
+    asked = near.select(F.col("a").alias("cls"), F.col("an").alias("n")).union(near.select("b", "bn")).distinct()
+    asked = read_back(sets.sparkSession, asked, "asked")
+    held = sets.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, ["cls", "n"], "left_semi")
+    by_set = with_column(with_column(near, "a", "tokens", held), "b", "tokens", held)
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return by_set.select(*order, ((NUM + DEN) * shared >= NUM * (F.col("an") + F.col("bn"))).alias("link"))
 
@@ -269,13 +281,21 @@ class Tree:
 
 
 def _search_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, one, two, block, cls, n, comp, point) sorted by (token, one, two): pairs between components."""
+    """Rows (token, one, two, block, cls, n, comp, early, point) sorted by (token, one, two): pairs between components."""
     for block in C.sorted_groups(batches, ["token", "one", "two"]):
         ends = np.append(block["starts"][1:], len(block["token"]))
-        left, right = [], []
+        early = np.ascontiguousarray(block["early"]).view(np.int64)
+        left, right, held = [], [], 0
+
+        def found() -> pa.RecordBatch:
+            i, j = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
+            swap = (block["cls"][i] > block["cls"][j]) | (block["cls"][i] == block["cls"][j]) & (block["n"][i] > block["n"][j])
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            return pa.RecordBatch.from_arrays([pa.array(block[k][x]) for k, x in (("cls", i), ("n", i), ("cls", j), ("n", j))], ["a", "an", "b", "bn"])
+
         for start, end in zip(block["starts"], ends, strict=True):
             at, n = points(block["point"][start:end]), block["n"][start:end]
-            cls, comp = block["cls"][start:end], block["comp"][start:end]
+            comp, token = block["comp"][start:end], block["token"][start]
             one, two = block["one"][start], block["two"][start]
             mine = np.flatnonzero(block["block"][start:end] == one)
             if not len(mine):
@@ -286,12 +306,18 @@ def _search_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 hits = hits[comp[hits] != comp[q]]
                 if one == two:
                     hits = hits[hits < q]
+                # A pair that also meets in a cell of a smaller token is left to that cell.
+                before = early[start + q]
+                before = before[before < token]
+                if len(before) and len(hits):
+                    hits = hits[~np.isin(early[start + hits], before).any(1)]
                 left.append(start + hits)
                 right.append(np.full(len(hits), start + q))
-        i, j = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
-        swap = (block["cls"][i] > block["cls"][j]) | (block["cls"][i] == block["cls"][j]) & (block["n"][i] > block["n"][j])
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        yield pa.RecordBatch.from_arrays([pa.array(block[k][x]) for k, x in (("cls", i), ("n", i), ("cls", j), ("n", j))], ["a", "an", "b", "bn"])
+                held += len(hits)
+                if held > 100_000:
+                    yield found()
+                    left, right, held = [], [], 0
+        yield found()
 
 
 def _linked_by(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -367,11 +393,17 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links = read_back(spark, links.unionByName(_tried(stars, sets).where("link")), "turn")
 
     # What is left is searched: each member meets the members of its own and of every other block of its cell.
-    dealt = named.join(heads.select("token"), "token", "left_semi").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("long"))
+    dealt = read_back(spark, named.join(heads.select("token"), "token", "left_semi"), "dealt")
+    early = dealt.groupBy("cls", "n").agg(F.slice(F.array_sort(F.collect_set("token")), 1, EARLY).alias("early"))
+    # Padded to one width with the largest number, which no token is before.
+    early = early.select("cls", "n", F.concat("early", F.array_repeat(F.lit((1 << 63) - 1), EARLY - F.size("early"))).alias("early"))
+    early = early.mapInArrow(C.per_batch(_as_bytes), "cls long, n long, early binary")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("long"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token", F.least("block", F.col("other").cast("long")).alias("one"), F.greatest("block", F.col("other").cast("long")).alias("two"), "block", "cls", "n", "comp"
     )
-    cells = dealt.join(sets.select("cls", "n", "point"), ["cls", "n"]).select("token", "one", "two", "block", "cls", "n", "comp", "point")
+    about = read_back(spark, early.join(sets.select("cls", "n", "point"), ["cls", "n"]), "about")
+    cells = dealt.join(about, ["cls", "n"]).select("token", "one", "two", "block", "cls", "n", "comp", "early", "point")
     cells = cells.repartition(int(parts), "token", "one", "two").sortWithinPartitions("token", "one", "two")
     more = cells.mapInArrow(_search_cells, _PAIR).distinct()
     second = _tried(more, sets).where("link")
