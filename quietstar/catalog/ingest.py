@@ -60,8 +60,10 @@ def _headers(spark, sf):
         "fr": {"review_text": "content", "star_rating": "rating", "review_summary": "title"},
         "es": {},
     }
+    # What has another language, or none, comes without a variant of its own.
+    tongue = F.when(F.col("lang").isin("en", "de", "fr"), F.col("lang")).otherwise("es")
     frames = [
-        readers.normalize_reviews(r.filter(F.col("lang") == lang).withColumnsRenamed(names)) for lang, names in variants.items()
+        readers.normalize_reviews(r.filter(tongue == lang).withColumnsRenamed(names)) for lang, names in variants.items()
     ]
     return sampling.pooled(frames).select(
         "review_id", "product_id", F.md5("review_text").alias("text_md5"), "star_rating", "unix_time", "helpful_votes"
@@ -169,10 +171,10 @@ def _pooled(spark, sf):
 
 
 def _dedup(spark, sf):
-    """Low-star and verified reviews delivered in two overlapping feeds."""
+    """All reviews and, again, the verified ones: two overlapping feeds."""
     r = A.reviews(spark, sf).select("review_id", "product_id", "star_rating")
     v = A.reviews(spark, sf).filter("verified_purchase").select("review_id", "product_id", "star_rating")
-    return sampling.dedup(r.filter("star_rating <= 3").unionByName(v))
+    return sampling.dedup(r.unionByName(v))
 
 
 NULLABLE = ["review_text", "star_rating", "review_date", "product_id"]
@@ -266,7 +268,7 @@ ORACLES = {
         SELECT product_id, count(*) AS n, count(lang) AS with_text, {rnd("avg(prob_negative)", "avg_negative")}
         FROM (SELECT product_id, prob_negative, lang FROM scored UNION ALL SELECT product_id, prob_negative, NULL FROM lines)
         GROUP BY ALL"""),
-    "dedup_reviews": query("SELECT review_id, product_id, star_rating FROM reviews WHERE star_rating <= 3 OR verified_purchase"),
+    "dedup_reviews": query("SELECT review_id, product_id, star_rating FROM reviews"),
     "star_distribution": query("SELECT star_rating, count(*) AS n FROM lines GROUP BY ALL"),
     "distinct_counts": query("""
         SELECT count(DISTINCT product_id) AS product_id, count(DISTINCT lang) AS lang, count(DISTINCT star_rating) AS star_rating

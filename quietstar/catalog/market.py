@@ -78,7 +78,7 @@ QUERIES = {
         A.reviews(s, d), _products(s, d), flagship_cap=120, rival_cap=40
     ).select("product_id", "review_id", "arrival_no"),
     "discover_products": lambda s, d: market.discover_products(
-        A.reviews(s, d), A.parts(s, d), keywords=A.TYPE_KEYWORDS, flagship_cap=120, rival_cap=40
+        A.reviews(s, d), A.parts(s, d), keywords=A.TYPE_KEYWORDS
     ),
     "brand_guess": lambda s, d: rounded(identity.guess_brand(A.reviews(s, d), names=_names())),
     "brand_guess_names": lambda s, d: rounded(identity.guess_brand(A.reviews(s, d))),
@@ -105,7 +105,7 @@ def _votes(body: str, name: str) -> dict[str, str]:
     }
 
 
-_TYPE = _votes("review_summary || ' ' || substr(review_text, 1, 300)", "votes")
+_TYPE = _votes("review_summary || ' ' || review_text", "votes")
 _RIVALS = _TYPE | {
     "ranked": """
         SELECT product_id, count(*) AS review_count, row_number() OVER (ORDER BY count(*) DESC, product_id) AS rank_no
@@ -201,7 +201,7 @@ ORACLES = {
     "cap_per_product": query("SELECT product_id, review_id, arrival_no FROM capped", **_CAPPED),
     "discover_products": query("""
         SELECT product_id, title, brand, category, review_count AS scanned_review_count,
-          (SELECT count(*) FROM capped c WHERE c.product_id = chosen.product_id) AS sampled_review_count, is_flagship FROM chosen""", **_CAPPED),
+          (SELECT count(*) FROM reviews c WHERE c.product_id = chosen.product_id) AS sampled_review_count, is_flagship FROM chosen""", **_CAPPED),
     "brand_guess": query(f"SELECT product_id, guessed_brand, n, {rnd('share', 'share')} FROM guesses", **_NAMES),
     "brand_guess_names": query(f"SELECT product_id, guessed_brand, n, {rnd('share', 'share')} FROM named_guesses", **_CAPITALS),
     "resolve_identity": query("""

@@ -55,8 +55,8 @@ def _importance(spark, sf):
 
 
 def _cv(spark, sf):
-    table = read_back(spark, churn.stratified_folds(_table(spark, sf), k=3), "churn-folds")
-    return churn.cross_validate(table, k=3, trees=TREES)
+    table = read_back(spark, churn.stratified_folds(_table(spark, sf), k=5), "churn-folds")
+    return churn.cross_validate(table, k=5, trees=TREES)
 
 
 def _audit(spark, sf):
@@ -75,7 +75,7 @@ QUERIES = {
     "churn_scores": _scores,
     "churn_cv": _cv,
     "feature_importance": _importance,
-    "ml_metrics": lambda s, d: models.ml_metrics(labelled(s, d), A.table(s, d, "embeddings"), trees=TREES, folds=2),
+    "ml_metrics": lambda s, d: models.ml_metrics(labelled(s, d), A.table(s, d, "embeddings"), trees=TREES),
 }
 
 _MARKED = {"marked": "SELECT doc_id, toxic AS y, quality, round(n_chars / 1000.0::double, 1) AS v FROM labels JOIN documents USING (doc_id)"}

@@ -185,7 +185,7 @@ ORACLES = {
     "translate_selective": query(f"""
         SELECT review_id, detected_lang <> 'en' AS was_translated,
           md5(CASE WHEN detected_lang = 'en' THEN review_text ELSE
-            array_to_string(list_transform(string_split(substr(review_text, 1, 1500), ' '), lambda w: {_WORD_CASE}), ' ') END) AS text_md5
+            array_to_string(list_transform(string_split(review_text, ' '), lambda w: {_WORD_CASE}), ' ') END) AS text_md5
         FROM tongues""", tongues=_LANG),
     "emotion_scores": query(f"""
         SELECT review_id, {rnd("emo_anger", "emo_anger")}, {rnd("emo_sadness", "emo_sadness")}, {rnd("emo_joy", "emo_joy")} FROM labelled"""),

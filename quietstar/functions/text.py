@@ -49,9 +49,9 @@ def first_keyword(text: Column, keywords: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(low.contains(k), F.lit(k)) for k in keywords])
 
 
-def type_snippet(title: Column, text: Column) -> Column:
-    """Title and opening of the body, where reviewers name what they bought."""
-    return F.concat_ws(" ", F.coalesce(title, F.lit("")), F.substring(F.coalesce(text, F.lit("")), 1, 300))
+def type_snippet(title: Column, text: Column, opening: int | None = None) -> Column:
+    """Title and body, or only the first ``opening`` characters of the body, where reviewers name what they bought."""
+    return F.concat_ws(" ", F.coalesce(title, F.lit("")), truncate(F.coalesce(text, F.lit("")), opening))
 
 
 def mid_sentence_names(text: Column, stop_words: Sequence[str] = fixed.BRAND_STOP_WORDS) -> Column:
@@ -61,8 +61,8 @@ def mid_sentence_names(text: Column, stop_words: Sequence[str] = fixed.BRAND_STO
     return F.filter(F.array_distinct(lowered), lambda w: ~w.isin(*stop_words))
 
 
-def truncate(text: Column, n: int) -> Column:
-    return F.substring(text, 1, n)
+def truncate(text: Column, n: int | None) -> Column:
+    return text if n is None else F.substring(text, 1, n)
 
 
 def snippet(text: Column, n: int = 120) -> Column:

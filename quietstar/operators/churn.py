@@ -125,12 +125,13 @@ def classification_metrics(df: DataFrame, label: str = "label", predicted: str =
 def cross_validate(
     df: DataFrame, features: Sequence[str] = fixed.CHURN_FEATURES, k: int = 5, seed: int = 42, **fit: int
 ) -> DataFrame:
-    """AUROC per fold with the mean and the population deviation over folds.
+    """AUROC per fold, every fold of the table, with the mean and the population deviation over them. ``k`` folds are made
+    where the table has none.
 
     The fold table should be cached or written by the caller: every fold reads it twice.
     """
     folded = df if "fold" in df.columns else stratified_folds(df, k, seed)
-    present = [r[0] for r in folded.select("fold").distinct().orderBy("fold").limit(k).collect()]
+    present = [r[0] for r in folded.select("fold").distinct().orderBy("fold").collect()]
     parts = []
     for fold in present:
         model = fit_churn(folded.filter(F.col("fold") != fold), features, seed=seed, **fit)

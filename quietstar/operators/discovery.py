@@ -38,10 +38,10 @@ def candidate_reviews(df: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def product_type_vote(
-    df: DataFrame, keywords: Sequence[str] = fixed.RIVAL_TYPE_KEYWORDS, opening_only: bool = True
+    df: DataFrame, keywords: Sequence[str] = fixed.RIVAL_TYPE_KEYWORDS, titled: bool = True, opening: int | None = None
 ) -> DataFrame:
-    """Most mentioned type word per product; the earlier word of the list on ties."""
-    body = text.type_snippet(F.col("review_summary"), F.col("review_text")) if opening_only else F.col("review_text")
+    """Most mentioned type word per product in titles and whole texts; the earlier word of the list on ties."""
+    body = text.type_snippet(F.col("review_summary"), F.col("review_text"), opening) if titled else F.col("review_text")
     position = F.array_position(F.array(*[F.lit(k) for k in keywords]), F.col("keyword"))
     votes = (
         df.select("product_id", F.explode(text.keyword_hits(body, keywords)).alias("keyword"))
@@ -94,28 +94,33 @@ def competitors(
 
 
 def cap_per_product(
-    df: DataFrame, selection: DataFrame, flagship_cap: int = fixed.FLAGSHIP_CAP, rival_cap: int = fixed.RIVAL_CAP
+    df: DataFrame, selection: DataFrame, flagship_cap: int, rival_cap: int
 ) -> DataFrame:
     """The first reviews of each selected product, a larger cap for the flagship.
 
     Order is (unix_time, review_id), which is reproducible where arrival order is not. Ranking moves
     ids and times only; texts never enter a shuffle for it. The kept ids are stored, counted, and
-    broadcast back only while few.
+    broadcast back only while few. A review delivered several times counts and is returned once.
     """
     cap = F.when(F.col("is_flagship"), flagship_cap).otherwise(rival_cap)
     keys = df.select("product_id", "review_id", "unix_time").join(selection.select("product_id", "is_flagship"), "product_id")
+    keys = keys.groupBy("product_id", "review_id", "is_flagship").agg(F.min("unix_time").alias("unix_time"))
     ranked = ranking.first_per_group(
         keys, ["product_id"], [F.asc("unix_time"), F.asc("review_id")], cap,
         limit=max(flagship_cap, rival_cap), spread_by=F.col("review_id"), rank="arrival_no",
     )
     kept = read_back(df.sparkSession, ranked.select("product_id", "review_id", "arrival_no", "is_flagship"), "capped-ids")
     side = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
-    return df.join(side, ["product_id", "review_id"])
+    return df.join(side, ["product_id", "review_id"]).dropDuplicates(["product_id", "review_id"])
 
 
 def build_sample(df: DataFrame, selection: DataFrame, **caps: int) -> DataFrame:
-    """Capped reviews with parsed dates, unreadable rows dropped, brand and title attached."""
-    capped = cap_per_product(df, selection, **caps).withColumn(
+    """Reviews of the selection with parsed dates, unreadable rows dropped, brand and title attached.
+
+    All of them, unless ``flagship_cap`` and ``rival_cap`` are given.
+    """
+    chosen = cap_per_product(df, selection, **caps) if caps else df.join(selection.select("product_id", "is_flagship"), "product_id")
+    capped = chosen.withColumn(
         "review_date", F.to_date(dates.epoch_to_timestamp(F.col("unix_time")))
     )
     described = selection.select(

@@ -64,7 +64,7 @@ def product_identity(
     open_ids = products.filter(labels.known(F.col("brand")).isNull()).select("product_id")
     unknown = df.join(open_ids, "product_id", "left_semi")
     brands = guess_brand(unknown, min_share, names)
-    types = discovery.product_type_vote(unknown, keywords, opening_only=False)
+    types = discovery.product_type_vote(unknown, keywords, titled=False)
     return resolve_identity(products, brands, types)
 
 

@@ -129,9 +129,9 @@ def translate_selective(
     translate: Callable[[Column], Column],
     lang_col: str = "detected_lang",
     text_col: str = "review_text",
-    max_chars: int = fixed.TRANSLATE_MAX_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """Rewrite only non-English rows, in the same column; English rows keep their whole text."""
+    """Rewrite only non-English rows, in the same column, whole texts unless ``max_chars`` is given."""
     foreign = F.col(lang_col) != "en"
     return df.withColumn("was_translated", foreign).withColumn(
         text_col, F.when(foreign, translate(text.truncate(F.col(text_col), max_chars))).otherwise(F.col(text_col))
@@ -140,7 +140,7 @@ def translate_selective(
 
 def translate_with_scorer(
     df: DataFrame, factory: ScorerFactory, lang_col: str = "detected_lang", text_col: str = "review_text",
-    max_chars: int = fixed.TRANSLATE_MAX_CHARS, batch_size: int = 32,
+    max_chars: int | None = None, batch_size: int = 32,
 ) -> DataFrame:
     """The same with a plug-in model that returns ``translated``; English rows never reach it."""
     schema = T.StructType([T.StructField("translated", T.StringType())])
@@ -158,8 +158,10 @@ def translate_with_scorer(
 def dictionary_translator(words: Mapping[str, str]) -> Callable[[Column], Column]:
     """Word-for-word default for ``translate_selective``: listed words change, others stay."""
 
+    table = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+
     def word(w: Column) -> Column:
-        return F.coalesce(*[F.when(w == k, F.lit(v)) for k, v in words.items()], w)
+        return F.coalesce(F.try_element_at(table, w), w)
 
     return lambda body: F.array_join(F.transform(F.split(body, " "), word), " ")
 

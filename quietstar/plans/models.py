@@ -13,7 +13,7 @@ from ..session import read_back
 def ml_metrics(labelled: DataFrame, index: DataFrame, trees: int = 300, folds: int = 5) -> DataFrame:
     """One row: churn scores and cross-validation, anomaly counts, forecast availability, index size."""
     spark = labelled.sparkSession
-    table = read_back(spark, churn.stratified_folds(churn.training_table(labelled)), "churn-table")
+    table = read_back(spark, churn.stratified_folds(churn.training_table(labelled), k=folds), "churn-table")
     split = churn.stratified_split(table)
     train, test = split.filter(~F.col("is_test")), split.filter("is_test")
     model = churn.fit_churn(train, trees=trees)

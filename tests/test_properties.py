@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quietstar.catalog import common
-from quietstar.operators import anomalies, aspects, churn, forecast, ranking, search, silent_killers as sk, strategy, trend
+from quietstar.operators import anomalies, aspects, churn, discovery, forecast, ranking, search, sentiment, silent_killers as sk, strategy, trend
 from quietstar.sources import adapters as A
 
 
@@ -201,3 +201,18 @@ def test_changepoint_falls_back_to_thin_months(spark):
     df = spark.createDataFrame(rows, "product_id string, review_date date, sentiment_score double, is_silent_killer boolean")
     monthly = trend.delta(trend.monthly_metrics(df), "mean_sentiment")
     assert trend.changepoint(monthly).first()["changepoint_month"] == dt.date(2021, 2, 28)
+
+
+def test_foreign_text_is_translated_whole(spark):
+    body = "wort " * 1000
+    df = spark.createDataFrame([("de", body)], "detected_lang string, review_text string")
+    out = sentiment.translate_selective(df, sentiment.dictionary_translator({"wort": "word"})).first()
+    assert out["review_text"] == body.replace("wort", "word") and out["was_translated"]
+
+
+def test_repeated_reviews_count_once_under_a_cap(spark):
+    rows = [("p", i % 5, i % 5, "t") for i in range(10)]
+    df = spark.createDataFrame(rows, "product_id string, review_id long, unix_time long, review_text string")
+    chosen = spark.createDataFrame([("p", True)], "product_id string, is_flagship boolean")
+    assert discovery.cap_per_product(df, chosen, flagship_cap=3, rival_cap=1).count() == 3
+    assert discovery.cap_per_product(df, chosen, flagship_cap=9, rival_cap=1).count() == 5
