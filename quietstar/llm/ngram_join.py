@@ -44,7 +44,7 @@ STAR_TURNS = 2
 #: Smallest cell tokens of a class that tell whether a pair meets earlier.
 EARLY = 16
 #: Postings that a map task combines at once.
-BUFFER = 500_000
+BUFFER = 250_000
 #: Candidate ids up to here (8 bytes each) are broadcast, more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: A link: NUM * union <= DEN * intersection.
@@ -188,7 +188,7 @@ def _reduce_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 _SET = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 #: Tokens that a batch of sets holds before it is handed on.
-SET_TOKENS = 1_000_000
+SET_TOKENS = 250_000
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,6 +334,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fewer than five words is one shingle; rows repeated with one id are each returned; a row without an id gets the smallest
     id among equal sets' links, or null, but links no others; an empty table gives an empty result.
     """
+    with C.small_batches(docs.sparkSession):
+        return _near_classes(docs, id_col, text_col)
+
+
+def _near_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counted = read_back(spark, texts.mapInArrow(_count, "kind int, id long, cls long, n long, body binary"), "counted")
