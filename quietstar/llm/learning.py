@@ -29,7 +29,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
     With no rows the score is one half; with one class it leans to that class.
     """
-    x = np.asarray(x, float).reshape(len(y), -1)
+    x = np.asarray(x, float)
+    x = x.reshape(len(y), x.shape[-1])
     mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
     scale = x.std(0) + 1e-9 if len(x) else np.ones(x.shape[1])
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
