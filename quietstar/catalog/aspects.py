@@ -56,7 +56,7 @@ def _topic_labels(spark, sf):
 
 
 def _topics(spark, sf):
-    _, assigned = aspects.fit_topics(aspects.with_clean_text(A.reviews(spark, sf)), k=5, vocabulary=1 << 11, iterations=8)
+    _, assigned = aspects.fit_topics(aspects.with_clean_text(A.reviews(spark, sf)), k=5)
     return assigned.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -229,8 +229,8 @@ ORACLES = {
     "executive_summary": query(f"""
         SELECT product_id, total_reviews, silent_killers, round(impact.revenue_at_risk, 2) AS revenue_at_risk, target_aspect,
           round(low, 1) + 0 AS improvement_pct_low, round(high, 1) + 0 AS improvement_pct_high,
-          'Fixing ' || target_aspect || ' alone rescues $' || format('{{:,}}', round(impact.revenue_at_risk)::bigint)
-            || ' in ARR and boosts overall brand sentiment by ' || printf('%.0f', round(high) + 0) || '%.' AS slide_pitch, n_aspects, roadmap
+          'Mending ' || target_aspect || ': revenue at risk $' || format('{{:,}}', round(impact.revenue_at_risk)::bigint)
+            || ', mean sentiment up by ' || printf('%.0f', round(high) + 0) || '%' AS slide_pitch, n_aspects, roadmap
         FROM impact JOIN roi USING (product_id)
         JOIN (SELECT product_id, count(*) AS n_aspects,
                 string_agg(topic_label || '/' || quadrant || '/' || {_ACTION}, '; ' ORDER BY {_TIER}, topic_label) AS roadmap

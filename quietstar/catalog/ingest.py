@@ -170,6 +170,12 @@ def _pooled(spark, sf):
     ))
 
 
+def _row_ids(spark, sf):
+    """Ids from the texts alone, so that every copied text is a repeat."""
+    rows = readers.assign_review_ids(A.reviews(spark, sf), ["review_text"])
+    return rows.select("review_id", F.md5("review_text").alias("text_md5"))
+
+
 def _dedup(spark, sf):
     """All reviews and, again, the verified ones: two overlapping feeds."""
     r = A.reviews(spark, sf).select("review_id", "product_id", "star_rating")
@@ -195,6 +201,7 @@ QUERIES = {
     "leaf_category": _leaf,
     "pooled_reviews": _pooled,
     "dedup_reviews": _dedup,
+    "assign_review_ids": _row_ids,
     "star_distribution": lambda s, d: quality.value_counts(lines(s, d), "star_rating"),
     "distinct_counts": lambda s, d: quality.distinct_counts(A.reviews(s, d), ["product_id", "lang", "star_rating"]),
     "data_quality_report": lambda s, d: rounded(quality.quality_report(A.reviews(s, d), NULLABLE), 4),
@@ -268,6 +275,9 @@ ORACLES = {
         SELECT product_id, count(*) AS n, count(lang) AS with_text, {rnd("avg(prob_negative)", "avg_negative")}
         FROM (SELECT product_id, prob_negative, lang FROM scored UNION ALL SELECT product_id, prob_negative, NULL FROM lines)
         GROUP BY ALL"""),
+    "assign_review_ids": query("""
+        SELECT md5(coalesce(review_text, '')) || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS review_id, md5(review_text) AS text_md5
+        FROM (SELECT review_text, row_number() OVER (PARTITION BY coalesce(review_text, '') ORDER BY review_id) AS n FROM reviews)"""),
     "dedup_reviews": query("SELECT review_id, product_id, star_rating FROM reviews"),
     "star_distribution": query("SELECT star_rating, count(*) AS n FROM lines GROUP BY ALL"),
     "distinct_counts": query("""

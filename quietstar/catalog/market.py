@@ -220,8 +220,7 @@ ORACLES = {
         FROM compared JOIN chosen USING (product_id)""", **_BENCH),
     "benchmark_gap": query(f"SELECT {_GAP} FROM gap", **_BENCH),
     "benchmark_insight": query(f"""
-        SELECT {_GAP}, 'The flagship ' || CASE WHEN fs < cs THEN 'trails' ELSE 'leads' END || ' competitors on real sentiment by '
-            || printf('%.3f', abs(round(fs - cs, 3))) || ' points, despite a star-rating gap of only ' || printf('%+.2f', round(ft - ct, 2))
-            || '. Stars alone would not have surfaced this competitive gap.' AS insight,
+        SELECT {_GAP}, 'Mean sentiment of the flagship: ' || printf('%.3f', abs(round(fs - cs, 3))) || CASE WHEN fs < cs THEN ' below' ELSE ' above' END
+            || ' its rivals; difference in mean stars: ' || printf('%+.2f', round(ft - ct, 2)) AS insight,
           {rnd("bar_value", "sk_threshold_shared")} FROM gap, shared""", **_BENCH),
 }

@@ -79,9 +79,9 @@ ORACLES = {
     "semantic_search": query(f"SELECT query_id, vec_id, {rnd('similarity', 'similarity')}, rank_no FROM best", **_SEARCH),
     "copilot_insight": query(f"""
         SELECT query_id, n_matches, {rnd("s", "avg_sentiment")}, {rnd("r", "avg_star")}, {rnd("k", "sk_rate")}, top_aspect, tone,
-          'Average sentiment among these matches is ' || printf('%+.2f', round(s, 2) + 0) || ' (' || tone || '); average star rating '
-            || printf('%.1f', round(r, 1)) || '; most commonly tied to ' || top_aspect
-            || CASE WHEN round(k) > 0 THEN '; ' || printf('%.0f', round(k)) || '% are Silent Killers' ELSE '' END || '.' AS insight
+          'Matches: mean sentiment ' || printf('%+.2f', round(s, 2) + 0) || ' (' || tone || '), mean stars '
+            || printf('%.1f', round(r, 1)) || ', main aspect ' || top_aspect
+            || CASE WHEN round(k) > 0 THEN ', silent killers ' || printf('%.0f', round(k)) || '%' ELSE '' END AS insight
         FROM (SELECT *, CASE WHEN s < -0.1 THEN 'negative' WHEN s > 0.1 THEN 'positive' ELSE 'mixed/neutral' END AS tone FROM matched)
         JOIN modal USING (query_id)""", **_SEARCH),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import silent_killers
+from ..session import read_back
 from ..sources import adapters as A
 from ..streaming import arrivals
 from .common import rounded
@@ -19,7 +20,7 @@ def _stream(spark, sf):
 def _flags(spark, sf):
     """Bars per product, frozen from the stored table before the stream starts."""
     history = A.event_reviews(A.table(spark, sf, "events"))
-    bars = silent_killers.sk_threshold(history, {"threshold": 0.10}, by=["product_id"])
+    bars = read_back(spark, silent_killers.sk_threshold(history, {"threshold": 0.10}, by=["product_id"]), "bars")
     return rounded(arrivals.flag_stream(_stream(spark, sf), bars))
 
 

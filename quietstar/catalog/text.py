@@ -34,7 +34,7 @@ def _languages(spark, sf):
 
 def _sentiment_model(spark, sf):
     r = A.reviews(spark, sf)
-    model = sentiment.fit_sentiment(r, features=1 << 12, iterations=10)
+    model = sentiment.fit_sentiment(r)
     return sentiment.apply_sentiment(r, model).select("review_id", "prob_negative", "prob_neutral", "prob_positive", "sentiment_score")
 
 
@@ -60,9 +60,7 @@ def _summary(spark, sf):
 
 def _overall_summary(spark, sf):
     rows = summaries.complaints(aspects.drop_outliers(labelled(spark, sf))).select("product_id", "review_id", "review_text")
-    return summaries.summarize(
-        read_back(spark, rows, "complaints"), ["product_id"], max_reviews=fixed.SUMMARY_OVERALL_REVIEWS, min_reviews=1
-    )
+    return summaries.summarize(read_back(spark, rows, "complaints"), ["product_id"])
 
 
 QUERIES = {
@@ -138,26 +136,30 @@ def _corpus_views(source: str, keys: str, n: int) -> dict[str, str]:
     }
 
 
-def _summary_views(keys: str, n: int, least: int) -> dict[str, str]:
-    return _corpus_views("topical", keys, n) | {
-        "usable": f"SELECT * FROM corpora WHERE n_complaints >= {least} AND {word_count('corpus')} >= 15",
-        "sentences": f"""
-            SELECT {keys}, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS sentence_no
-            FROM (SELECT {keys},
-                    list_filter(list_transform(regexp_split_to_array(corpus, '[.!?]+'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM usable)""",
+def _summary_views(keys: str) -> dict[str, str]:
+    return {
+        "told": rf"""
+            SELECT {keys}, review_id, replace(regexp_replace(review_text, '\A\s+|\s+\z', '', 'g'), chr(10), ' ') AS body
+            FROM topical WHERE {_COMPLAINT}""",
+        "totals": f"SELECT {keys}, count(*) AS n_complaints FROM told GROUP BY ALL",
+        "said": f"""
+            SELECT {keys}, review_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS sentence_no
+            FROM (SELECT {keys}, review_id,
+                    list_filter(list_transform(regexp_split_to_array(body, '[.!?]+'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM told)""",
+        "sentences": f"SELECT {keys}, sentence, count(*) AS times, min(row(review_id, sentence_no)) AS place FROM said GROUP BY {keys}, sentence",
         "spoken": rf"""
-            SELECT * FROM (SELECT {keys}, sentence_no,
+            SELECT * FROM (SELECT {keys}, sentence, times,
                 unnest(string_split(trim(regexp_replace(lower(sentence), '[^\p{{L}}]+', ' ', 'g')), ' ')) AS word FROM sentences) WHERE word <> ''""",
-        "term_counts": f"SELECT {keys}, word, count(*) AS tf FROM spoken GROUP BY ALL",
+        "term_counts": f"SELECT {keys}, word, sum(times)::bigint AS tf FROM spoken GROUP BY ALL",
         "term_weights": f"""
-            SELECT {keys}, word, tf * ln(1 + (SELECT count(*) FROM usable) / df) AS w
+            SELECT {keys}, word, tf * ln(1 + (SELECT count(*) FROM totals) / df) AS w
             FROM term_counts JOIN (SELECT word, count(*) AS df FROM term_counts GROUP BY ALL) USING (word)""",
         "sentence_ranks": f"""
-            SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(score, 6) DESC, sentence_no) AS n
-            FROM (SELECT {keys}, sentence_no, avg(w) AS score FROM spoken JOIN term_weights USING ({keys}, word) GROUP BY ALL)""",
-        "summarised": f"""
-            SELECT {keys}, string_agg(sentence, '. ' ORDER BY sentence_no) AS summary, any_value(n_complaints) AS n_complaints
-            FROM sentence_ranks JOIN sentences USING ({keys}, sentence_no) JOIN usable USING ({keys}) WHERE n <= 2 GROUP BY {keys}""",
+            SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(score, 6) DESC, place) AS n
+            FROM (SELECT {keys}, sentence, avg(w) AS score FROM spoken JOIN term_weights USING ({keys}, word) GROUP BY ALL)
+            JOIN sentences USING ({keys}, sentence)""",
+        "best": f"SELECT {keys}, string_agg(sentence, '. ' ORDER BY place) AS summary FROM sentence_ranks WHERE n <= 2 GROUP BY {keys}",
+        "summarised": f"SELECT {keys}, coalesce(summary, '') AS summary, n_complaints FROM totals LEFT JOIN best USING ({keys})",
     }
 
 
@@ -194,6 +196,6 @@ ORACLES = {
     "complaint_corpus": query("""
         SELECT product_id, n_complaints, n_used, md5(corpus) AS corpus_md5, length(corpus) AS chars FROM corpora""",
         **_corpus_views("flagged", "product_id", 60)),
-    "complaint_summary": query("SELECT * FROM summarised", **_summary_views("product_id, topic_label", 40, 3)),
-    "complaint_summary_overall": query("SELECT * FROM summarised", **_summary_views("product_id", 60, 1)),
+    "complaint_summary": query("SELECT * FROM summarised", **_summary_views("product_id, topic_label")),
+    "complaint_summary_overall": query("SELECT * FROM summarised", **_summary_views("product_id")),
 }

@@ -9,14 +9,14 @@ from . import fixed
 
 
 def epoch_to_timestamp(value: Column) -> Column:
-    """Milliseconds above 1e12, seconds above 1e9, otherwise parsed as a date-time text."""
+    """Milliseconds above 1e12, seconds above 1e9, otherwise a date-time text or a sentence that holds a date."""
     text = value.cast("string")
     number = text.try_cast("double")
     whole = number.cast("bigint")
     return (
         F.when(number > 1e12, F.timestamp_millis(whole))
         .when(number > 1e9, F.timestamp_seconds(whole))
-        .otherwise(F.try_to_timestamp(text))
+        .otherwise(F.coalesce(F.try_to_timestamp(text), embedded_date(text).cast("timestamp")))
     )
 
 

@@ -80,16 +80,12 @@ FLAGSHIP_CAP = 5_000
 RIVAL_CAP = 1_500
 RIVAL_COUNT = 4
 CANDIDATE_COUNT = 50
-SCAN_BOUND = 500_000
-SAMPLE_LIMIT = 50_000
 
 TRANSLATE_MAX_CHARS = 1_500
 SUMMARY_MAX_CHARS = 3_000
 SUMMARY_MAX_REVIEWS = 40
 SUMMARY_OVERALL_REVIEWS = 60
-SUMMARY_MIN_REVIEWS = 3
 SUMMARY_MIN_WORDS = 20
-SUMMARY_MIN_CORPUS_WORDS = 15
 
 CHURN_FEATURES = (
     "helpful_votes", "verified_purchase", "emo_anger", "emo_sadness", "emo_joy", "review_length",

@@ -59,12 +59,11 @@ def benchmark_gap(comparison: DataFrame) -> DataFrame:
 
 def insight(gap: DataFrame) -> DataFrame:
     """The headline sentence; null when there are no rivals."""
-    direction = F.when(F.col("sentiment_gap") < 0, "trails").otherwise("leads")
+    direction = F.when(F.col("sentiment_gap") < 0, "below").otherwise("above")
     sentence = F.concat(
-        F.lit("The flagship "), direction, F.lit(" competitors on real sentiment by "),
+        F.lit("Mean sentiment of the flagship: "),
         F.format_string("%.3f", F.abs(F.round("sentiment_gap", 3))),
-        F.lit(" points, despite a star-rating gap of only "),
+        F.lit(" "), direction, F.lit(" its rivals; difference in mean stars: "),
         F.format_string("%+.2f", F.round("star_gap", 2)),
-        F.lit(". Stars alone would not have surfaced this competitive gap."),
     )
     return gap.withColumn("insight", F.when(F.col("n_competitors") > 0, sentence))

@@ -139,15 +139,15 @@ def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank_no",
     spread_by: Column | None = None,
 ) -> DataFrame:
-    """First ``n`` rows of every group with their rank; ``n`` up to 1,000.
+    """First ``n`` rows of every group with their rank.
 
-    Spark prunes each input partition to ``n`` rows per group before the shuffle at this size. Where
+    Up to 1,000 Spark prunes each input partition to ``n`` rows per group before the shuffle; more go two levels. Where
     the input is raw rows, pass ``spread_by`` (a row id): the survivors of all partitions are then
     pruned again over many salts, so a hot group's final task sees ``n`` rows per salt and not per
     input partition. Exact either way.
     """
     if n > 1000:
-        raise ValueError("use first_per_group for more than 1,000 rows per group")
+        return first_per_group(df, keys, order, n, n, F.xxhash64(*df.columns) if spread_by is None else spread_by, rank)
     if spread_by is None:
         return _ranked(df, keys, order, n, rank)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, maths
+from ..functions import maths
 from . import ranking
 
 
@@ -16,12 +16,12 @@ def sample_n(df: DataFrame, n: int, seed: int | str = 42, key: str = "review_id"
 
 
 def stratified_sample(
-    df: DataFrame, by: str = "star_rating", limit: int = fixed.SAMPLE_LIMIT, seed: int | str = 42, key: str = "review_id"
+    df: DataFrame, limit: int, by: str = "star_rating", seed: int | str = 42, key: str = "review_id"
 ) -> DataFrame:
-    """``floor(limit * n_s / N)`` rows of each stratum, or every row when the table is small enough."""
+    """``floor(limit * n_s / N)`` rows of each stratum, at most the rows it has."""
     total = ranking.one_value(df.filter(F.col(by).isNotNull()).agg(F.count(F.lit(1)).alias("n")), "n")
     share = F.floor(F.lit(limit) * F.col("group_size") / total)
-    quota = F.when(total <= limit, F.col("group_size")).otherwise(share).cast("bigint")
+    quota = F.least(F.col("group_size"), share.cast("bigint"))
     digest = maths.seeded_key(F.col(key), seed)
     return ranking.digest_positions(df, [by], digest, key, quota).drop("position", "group_size")
 

@@ -118,11 +118,11 @@ def match_insight(matches: DataFrame) -> DataFrame:
     ).join(modal, "query_id")
     killers = F.when(
         F.round("sk_rate", 0) > 0,
-        F.concat(F.lit("; "), F.format_string("%.0f", F.round("sk_rate", 0)), F.lit("% are Silent Killers")),
+        F.concat(F.lit(", silent killers "), F.format_string("%.0f", F.round("sk_rate", 0)), F.lit("%")),
     ).otherwise("")
     sentence = F.concat(
-        F.lit("Average sentiment among these matches is "), F.format_string("%+.2f", F.round("avg_sentiment", 2)),
-        F.lit(" ("), F.col("tone"), F.lit("); average star rating "), F.format_string("%.1f", F.round("avg_star", 1)),
-        F.lit("; most commonly tied to "), F.col("top_aspect"), killers, F.lit("."),
+        F.lit("Matches: mean sentiment "), F.format_string("%+.2f", F.round("avg_sentiment", 2)),
+        F.lit(" ("), F.col("tone"), F.lit("), mean stars "), F.format_string("%.1f", F.round("avg_star", 1)),
+        F.lit(", main aspect "), F.col("top_aspect"), killers,
     )
     return out.withColumn("tone", labels.tone(F.col("avg_sentiment"))).withColumn("insight", sentence)

@@ -69,15 +69,17 @@ def roi_simulation(
     )
     shifted_neutral = maths.clip(F.col("sentiment_score") + (0.0 - F.col("target_mean")), -1.0, 1.0)
     shifted_positive = maths.clip(F.col("sentiment_score") + (F.lit(target) - F.col("target_mean")), -1.0, 1.0)
+    # Equal scores are counted before the join, so a hot aspect brings a row per score and task, not its rows.
+    counted = df.groupBy(*by, F.col("topic_label").alias("target_aspect"), "sentiment_score").agg(F.count(F.lit(1)).alias("_m"))
     touched = (
-        df.select(*by, F.col("topic_label").alias("target_aspect"), "sentiment_score")
+        counted
         .join(goal, [*by, "target_aspect"])
         .groupBy(*by)
         .agg(
             F.max("target_aspect").alias("target_aspect"),
-            F.sum("sentiment_score").alias("before"),
-            F.sum(shifted_neutral).alias("neutral"),
-            F.sum(shifted_positive).alias("positive"),
+            F.sum(F.col("sentiment_score") * F.col("_m")).alias("before"),
+            F.sum(shifted_neutral * F.col("_m")).alias("neutral"),
+            F.sum(shifted_positive * F.col("_m")).alias("positive"),
         )
     )
     baseline = F.col("total") / F.col("n")

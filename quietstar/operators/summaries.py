@@ -72,36 +72,42 @@ def build_corpus(
 
 
 def summarize(
-    df: DataFrame, by: Sequence[str] = ("product_id", "topic_label"), sentences: int = 2,
-    max_reviews: int = fixed.SUMMARY_MAX_REVIEWS, max_chars: int = fixed.SUMMARY_MAX_CHARS,
-    min_reviews: int = fixed.SUMMARY_MIN_REVIEWS, seed: int | str = 42,
+    df: DataFrame, by: Sequence[str] = ("product_id", "topic_label"), sentences: int = 2, min_reviews: int = 1,
 ) -> DataFrame:
-    """Extractive summary: the sentences of each corpus with the most typical words.
+    """Extractive summary: of all sentences of each group's complaints those with the most typical words.
 
-    A word weighs its frequency in the group's corpus times ln(1 + N/df) over all corpora; a sentence
-    scores the mean weight of its words. The corpora, bounded by the character budget per group, are
-    written once because the weights and the sentences both read them.
+    A word weighs its frequency in the group times ln(1 + N/df) over all N groups; a sentence scores the mean
+    weight of its words. Equal sentences of a group are scored once, at their first place, and count as often as
+    they occur. They are written once because weights and scores both read them; ranking moves digests only.
+    A group without any sentence has an empty summary.
     """
-    packed = build_corpus(df, by, max_reviews, max_chars, seed, min_reviews).filter(
-        text.word_count(F.col("corpus")) >= fixed.SUMMARY_MIN_CORPUS_WORDS
-    )
-    corpus = read_back(df.sparkSession, packed, "corpora")
-    n_groups = ranking.one_value(corpus.agg(F.count(F.lit(1)).alias("n")), "n")
+    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_complaints"))
     parts = F.filter(
-        F.transform(F.split("corpus", r"[.!?]+"), lambda s: F.trim(s)), lambda s: s != ""
+        F.transform(F.split(text.flat_text(F.col("review_text")), r"[.!?]+"), lambda s: F.trim(s)), lambda s: s != ""
+    )
+    said = df.select(*by, "review_id", F.posexplode(parts).alias("sentence_no", "sentence"))
+    distinct = said.groupBy(*by, F.md5("sentence").alias("_key"), "sentence").agg(
+        F.count(F.lit(1)).alias("_times"), F.min(F.struct("review_id", "sentence_no")).alias("_place")
     )
-    lines = corpus.select(*by, F.posexplode(parts).alias("sentence_no", "sentence"))
-    words = lines.select(*by, "sentence_no", F.explode(text.letter_tokens(F.col("sentence"))).alias("word")).filter("word <> ''")
-    tf = words.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("tf"))
+    lines = read_back(df.sparkSession, distinct, "sentences")
+    n_groups = ranking.one_value(totals.agg(F.count(F.lit(1)).alias("n")), "n")
+    words = lines.select(
+        *by, "_key", "_times", F.explode(text.letter_tokens(F.col("sentence"))).alias("word")
+    ).filter("word <> ''")
+    tf = words.groupBy(*by, "word").agg(F.sum("_times").alias("tf"))
     df_ = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     weights = tf.join(df_, "word").select(*by, "word", (F.col("tf") * F.log(1 + n_groups / F.col("df"))).alias("w"))
-    scores = words.join(weights, [*by, "word"]).groupBy(*by, "sentence_no").agg(F.avg("w").alias("score"))
-    scored = lines.join(scores, [*by, "sentence_no"])
-    order = [F.desc(F.round("score", 6)), F.asc("sentence_no")]
-    best = ranking.top_per_group(scored, by, order, sentences)
-    joined = best.groupBy(*by).agg(
+    scores = words.join(weights, [*by, "word"]).groupBy(*by, "_key").agg(F.avg("w").alias("score"))
+    placed = lines.select(*by, "_key", "_place").join(scores, [*by, "_key"])
+    order = [F.desc(F.round("score", 6)), F.asc("_place")]
+    best = ranking.top_per_group(placed, by, order, sentences, spread_by=F.col("_key"))
+    joined = best.select(*by, "_key").join(lines, [*by, "_key"]).groupBy(*by).agg(
         F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("sentence_no", "sentence"))), lambda s: s["sentence"]), ". "
+            F.transform(F.sort_array(F.collect_list(F.struct("_place", "sentence"))), lambda s: s["sentence"]), ". "
         ).alias("summary")
     )
-    return joined.join(corpus.select(*by, "n_complaints"), list(by))
+    return (
+        totals.filter(F.col("n_complaints") >= min_reviews)
+        .join(joined, list(by), "left")
+        .select(*by, F.coalesce("summary", F.lit("")).alias("summary"), "n_complaints")
+    )

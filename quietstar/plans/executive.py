@@ -49,9 +49,9 @@ def executive_summary(
         )).alias("strategic_roadmap"),
     )
     pitch = F.concat(
-        F.lit("Fixing "), F.col("target_aspect"), F.lit(" alone rescues "), text.money(F.col("revenue_at_risk")),
-        F.lit(" in ARR and boosts overall brand sentiment by "),
-        F.format_string("%.0f", F.round("improvement_pct_high", 0)), F.lit("%."),
+        F.lit("Mending "), F.col("target_aspect"), F.lit(": revenue at risk "), text.money(F.col("revenue_at_risk")),
+        F.lit(", mean sentiment up by "),
+        F.format_string("%.0f", F.round("improvement_pct_high", 0)), F.lit("%"),
     )
     display = F.create_map(*[F.lit(x) for pair in fixed.EMOTION_DISPLAY.items() for x in pair])
     return (

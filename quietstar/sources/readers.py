@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import dates, fixed, labels
+from ..session import read_back
 from . import schemas
 
 
@@ -107,6 +108,34 @@ def parse_review_time(df: DataFrame, column: str = "unix_time") -> DataFrame:
     return df.withColumn("review_date", F.to_date(dates.epoch_to_timestamp(F.col(column))))
 
 
+def assign_review_ids(
+    df: DataFrame, columns: Sequence[str] = ("product_id", "user_id", "unix_time", "review_text"), id_col: str = "review_id",
+) -> DataFrame:
+    """Ids for dumps that have none: MD5 of ``columns`` (those present), repeats numbered "-2", "-3" and so on.
+
+    Repeats are counted per input partition, partitions get offsets, and rows are numbered inside their own
+    partition, so a row that a third of the table repeats is never ordered in one task. Only places are
+    shuffled, and only those of repeats. An existing ``id_col`` is replaced.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns if c in df.columns]
+    marked = df.drop(id_col).withColumns({"_digest": F.md5(F.concat_ws("\u001f", *parts)), "_row": F.monotonically_increasing_id()})
+    # Stored, because row places must not change between the reads below.
+    rows = read_back(df.sparkSession, marked, "numbered")
+    places = rows.select("_digest", "_row", F.shiftright("_row", 33).alias("_part"))
+    counted = places.groupBy("_digest", "_part").agg(F.count(F.lit(1)).alias("_m"))
+    earlier = W.partitionBy("_digest").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counted.select(
+        "_digest", "_part", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_m").over(W.partitionBy("_digest")).alias("_all"),
+    ).filter("_all > 1")
+    inside = W.partitionBy("_digest", "_part").orderBy("_row")
+    repeats = places.join(offsets, ["_digest", "_part"]).select(
+        "_row", (F.col("_before") + F.row_number().over(inside)).alias("_occurrence")
+    ).filter("_occurrence > 1")
+    suffix = F.when(F.col("_occurrence").isNotNull(), F.concat(F.lit("-"), F.col("_occurrence").cast("string"))).otherwise("")
+    return rows.join(repeats, "_row", "left").withColumn(id_col, F.concat("_digest", suffix)).drop("_digest", "_row", "_occurrence")
+
+
 def lookup_metadata(meta: DataFrame, wanted_ids: DataFrame) -> DataFrame:
     """Dimension rows of the wanted products; the first record wins.
 

@@ -61,6 +61,9 @@ def running_counts(stream: DataFrame, by: str = "product_id", name: str = "count
         )
 
     counts = stream.groupBy(by).agg(F.count(F.lit(1)).alias("review_count"))
+    schema = T.StructType([*counts.schema.fields, T.StructField("batch_no", T.LongType())])
+    # A stream without any batch leaves this empty version.
+    spark.createDataFrame([], schema).write.parquet(f"{base}/table/batch=-1")
     _finish(
         counts.writeStream.outputMode("update")
         .foreachBatch(save)
@@ -68,7 +71,6 @@ def running_counts(stream: DataFrame, by: str = "product_id", name: str = "count
         .trigger(availableNow=True)
         .start()
     )
-    schema = T.StructType([*counts.schema.fields, T.StructField("batch_no", T.LongType())])
     versions = spark.read.schema(schema).parquet(f"{base}/table/*")
     return versions.groupBy(by).agg(F.max_by("review_count", "batch_no").alias("review_count"))
 
@@ -91,7 +93,10 @@ def window_metrics(stream: DataFrame, window: str = "7 days", watermark: str = "
 
 
 def flag_stream(stream: DataFrame, thresholds: DataFrame, name: str = "flags") -> DataFrame:
-    """Flag arrivals against a frozen table of bars per product (stream-static join)."""
+    """Flag arrivals against bars per product (stream-static join).
+
+    ``thresholds`` must be a stored table: a lazy frame would be computed anew, and might move, with every batch.
+    """
     flagged = silent_killers.flag_silent_killers(stream, thresholds, by=["product_id"])
     return to_table(
         flagged.select("review_id", "product_id", "star_rating", "prob_negative", "is_silent_killer"), name

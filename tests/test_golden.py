@@ -265,3 +265,36 @@ def test_correlation_of_a_constant_is_null(spark):
     got = {r["k"]: (r["pearson_r"], r["weak_correlation"]) for r in sk.star_sentiment_corr(df, ["k"]).collect()}
     assert got["a"] == (None, False)
     assert got["b"] == (pytest.approx(1.0), False)
+
+
+def test_row_ids_number_repeats(spark):
+    rows = [("p1", 5, "good")] * 7 + [("p1", 5, None), ("p2", 5, "good"), ("p1", None, "good")]
+    df = spark.createDataFrame(rows, "product_id string, unix_time long, review_text string").repartition(4)
+    got = readers.assign_review_ids(df).collect()
+    ids = [r["review_id"] for r in got]
+    assert len(set(ids)) == len(rows)
+    hot = [r["review_id"] for r in got if (r["product_id"], r["unix_time"], r["review_text"]) == rows[0]]
+    assert sorted(i[32:] for i in hot) == ["", "-2", "-3", "-4", "-5", "-6", "-7"]
+    assert len({i[:32] for i in ids}) == 4
+    assert readers.assign_review_ids(df.limit(0)).count() == 0
+
+
+def test_top_per_group_beyond_a_thousand(spark):
+    df = spark.range(3000).withColumn("k", F.lit(1))
+    got = ranking.top_per_group(df, ["k"], [F.desc("id")], 1500)
+    assert got.agg(F.count("id"), F.min("id"), F.max("rank_no")).first() == (1500, 1500, 1500)
+
+
+def test_dates_inside_sentences(spark):
+    df = spark.createDataFrame([("Reviewed in Italy on June 3, 2019",), ("2020-01-02",), ("never",)], "unix_time string")
+    got = [r["review_date"] for r in readers.parse_review_time(df).collect()]
+    assert [d and d.isoformat() for d in got] == ["2019-06-03", "2020-01-02", None]
+
+
+def test_summary_reads_every_complaint(spark):
+    """One sentence that many reviews repeat beats the rest, wherever it stands; groups without sentences keep a row."""
+    rows = [(1, i, f"Odd{chr(97 + i % 26)}{chr(97 + i // 26)} start. The lid broke") for i in range(200)] + [(2, 1, ""), (2, 2, None)]
+    df = spark.createDataFrame(rows, "product_id long, review_id long, review_text string")
+    got = {r["product_id"]: r for r in summaries.summarize(df, ["product_id"], sentences=1).collect()}
+    assert (got[1]["summary"], got[1]["n_complaints"]) == ("The lid broke", 200)
+    assert (got[2]["summary"], got[2]["n_complaints"]) == ("", 2)
