@@ -18,7 +18,7 @@ go; rows without an id are judged as one id; an empty table of documents or item
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,11 @@ from . import common as C
 Q = 10
 BUDGET = 0.08
 BLOCK_CHARS = 2_000_000
-WINDOW = 1_000_000
+#: Characters read at once, small enough for the arrays over them to stay in a core's cache.
+WINDOW = 1 << 15
+#: Regions aligned side by side.
+ALIGNED = 256
 BROADCAST_IDS = 1_000_000
-_TABLE_BITS = 22
 
 
 def _lower_table() -> np.ndarray:
@@ -100,13 +102,15 @@ class Index:
         self.item, self.at = item[order], at[order]
         self.grams, self.first = np.unique(gram[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(gram)))
-        self.table = np.zeros(1 << _TABLE_BITS, bool)
-        self.table[(self.grams >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+        # About one in 32 slots is taken, so that most q-grams of a text end at a small table.
+        self.shift = np.uint64(64 - max(10, (32 * len(self.grams)).bit_length()))
+        self.table = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.table[(self.grams >> self.shift).astype(np.int64)] = True
         self.longest = int((self.length + 3 * self.budget).max()) + q + 2 if len(grams) else 0
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text position, item, item position of every shared q-gram."""
-        where = np.flatnonzero(self.table[(grams >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
+        where = np.flatnonzero(self.table[(grams >> self.shift).astype(np.int64)])
         slot = np.minimum(np.searchsorted(self.grams, grams[where]), max(len(self.grams) - 1, 0))
         same = self.grams[slot] == grams[where] if len(where) else np.zeros(0, bool)
         where, slot = where[same], slot[same]
@@ -116,38 +120,63 @@ class Index:
         return np.repeat(where, many), self.item[posting], self.at[posting]
 
 
-def align(item: np.ndarray, region: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
-    """Edits, start and end in ``region`` of the item's best place with diagonals ``low`` to ``high``; None over the budget."""
-    wide = high - low + 1
-    far = np.int64(1 << 30)
-    lanes = np.arange(wide)
-    cost = np.zeros(wide, np.int64)
-    begin = low + lanes
-    outside = (begin < 0) | (begin > len(region))
-    cost[outside] = far
-    for i, c in enumerate(item):
-        place = low + lanes + i
-        inside = (place >= 0) & (place < len(region))
-        letter = np.where(inside, region[np.clip(place, 0, len(region) - 1)], 0)
-        step = cost + np.where(inside & (letter == c), 0, np.where(inside, 1, far))
+_OUTSIDE = np.uint32(0xFFFFFFFF)
+_FAR = np.int64(1 << 30)
+
+
+def align(items: list[np.ndarray], regions: list[np.ndarray], low: list[int], high: list[int], budget: list[int]) -> list[tuple[int, int, int] | None]:
+    """For each item edits, start and end in its region of its best place with diagonals ``low`` to ``high``; None over the budget.
+
+    All are aligned side by side, one row of each at a time; those over their budget leave, the longest items end last.
+    """
+    out: list[tuple[int, int, int] | None] = [None] * len(items)
+    if not items:
+        return out
+    at = np.array(sorted(range(len(items)), key=lambda i: -len(items[i])))
+    m, least, most = np.array([len(items[i]) for i in at]), np.array(low)[at], np.array(budget)[at]
+    wide = np.array(high)[at] - least + 1
+    lanes = np.arange(wide.max())
+    letters = np.full((len(at), int(m[0])), _OUTSIDE, np.uint32)
+    # The text by diagonal: lane j of row i stands at i + j.
+    text = np.full((len(at), int(m[0]) + len(lanes)), _OUTSIDE, np.uint32)
+    size = np.array([len(regions[i]) for i in at])
+    for r, i in enumerate(at):
+        letters[r, : m[r]] = items[i]
+        part = regions[i][max(0, least[r]) : max(0, least[r] + text.shape[1])]
+        text[r, max(0, -least[r]) : max(0, -least[r]) + len(part)] = part
+    beyond = lanes >= wide[:, None]
+    begin = least[:, None] + lanes
+    cost = np.where(beyond | (begin < 0) | (begin > size[:, None]), _FAR, 0)
+    for i in range(int(m[0])):
+        letter = text[:, i : i + len(lanes)]
+        step = cost + np.where(letter == letters[:, i, None], 0, np.where(letter == _OUTSIDE, _FAR, 1))
         # An item character without a text character moves one lane down, a text character without one moves up.
-        gap = np.append(cost[1:] + 1, far)
-        start = np.where(gap < step, np.append(begin[1:], 0), begin)
-        now = np.minimum(step, gap)
-        run = np.minimum.accumulate(now - lanes)
-        came = np.maximum.accumulate(np.where(now - lanes == run, lanes, 0))
-        cost, begin = run + lanes, start[came]
-        if cost.min() > budget:
-            return None
-    best = int(np.argmin(cost))
-    return int(cost[best]), int(begin[best]), low + best + len(item)
-
-
-def find_items(text: str, index: Index) -> list[tuple[int, int, int, int]]:
-    """(item id, start, end, edits) of the items in a text: the best place in each region, in code points."""
-    out: dict[tuple[int, int, int], int] = {}
+        gap, from_gap = np.full_like(cost, _FAR), np.zeros_like(begin)
+        gap[:, :-1], from_gap[:, :-1] = cost[:, 1:] + 1, begin[:, 1:]
+        start = np.where(gap < step, from_gap, begin)
+        now = np.minimum(step, gap) - lanes
+        run = np.minimum.accumulate(now, axis=1)
+        came = np.maximum.accumulate(np.where(now == run, lanes, 0), axis=1)
+        cost, begin = run + lanes, np.take_along_axis(start, came, 1)
+        cost[beyond] = _FAR
+        ended = m == i + 1
+        if ended.any() or i % 16 == 15:
+            within = cost.min(1) <= most
+            for r in np.flatnonzero(ended & within):
+                best = int(np.argmin(cost[r]))
+                out[at[r]] = int(cost[r, best]), int(begin[r, best]), int(least[r]) + best + int(m[r])
+            stay = within & ~ended
+            if not stay.any():
+                break
+            if not stay.all():
+                at, m, least, most, letters, text, beyond, cost, begin = (x[stay] for x in (at, m, least, most, letters, text, beyond, cost, begin))
+    return out
+
+
+def regions_of(text: str, index: Index) -> Iterator[tuple[int, int, np.ndarray, int, int]]:
+    """Regions that reach the lemma's bound: item, place of the region, its letters, lowest and highest diagonal in it."""
     if not index.ids or len(text) < index.q:
-        return []
+        return
     step = max(WINDOW, 2 * index.longest)
     for begin in range(0, len(text), step):
         codes = folded(text[begin : begin + step + index.longest])
@@ -169,20 +198,52 @@ def find_items(text: str, index: Index) -> list[tuple[int, int, int, int]]:
             low = b * (k + 1) - shift
             high = low + 2 * k + 1
             left = max(0, low - k)
-            region = codes[left : max(0, high) + len(index.codes[i]) + k]
-            place = align(index.codes[i], region, low - left - k, high - left + k, k)
-            if place:
-                edits, start, end = place
-                spot = (index.ids[i], begin + left + start, begin + left + end)
-                out[spot] = min(edits, out.get(spot, edits))
-    # Of places of one item that overlap, the one with fewest edits stays.
+            region = codes[left : max(0, high) + len(index.codes[i]) + k].copy()
+            yield i, begin + left, region, low - left - k, high - left + k
+
+
+def _best(places: dict[tuple[int, int, int], int]) -> list[tuple[int, int, int, int]]:
+    """Of places of one item that overlap, the one with fewest edits stays."""
     kept: list[tuple[int, int, int, int]] = []
-    for (i, start, end), edits in sorted(out.items(), key=lambda x: (x[0][0], x[1], x[0][1:])):
+    for (i, start, end), edits in sorted(places.items(), key=lambda x: (x[0][0], x[1], x[0][1:])):
         if not any(j == i and start < e and s < end for j, s, e, _ in kept):
             kept.append((i, start, end, edits))
     return sorted(kept)
 
 
+def find_in_texts(texts: Iterable[str | None], index: Index) -> list[list[tuple[int, int, int, int]]]:
+    """Per text (item id, start, end, edits) of its items: the best place in each region, in code points.
+
+    Regions of all texts are verified together, ``ALIGNED`` at a time.
+    """
+    found: list[dict[tuple[int, int, int], int]] = []
+    held: list[tuple] = []
+
+    def verify() -> None:
+        items = [x[1] for x in held]
+        places = align([index.codes[i] for i in items], [x[3] for x in held], [x[4] for x in held], [x[5] for x in held], [int(index.budget[i]) for i in items])
+        for (row, i, left, *_), place in zip(held, places, strict=True):
+            if place:
+                edits, start, end = place
+                spot = (index.ids[i], left + start, left + end)
+                found[row][spot] = min(edits, found[row].get(spot, edits))
+        held.clear()
+
+    for row, text in enumerate(texts):
+        found.append({})
+        for region in regions_of(text or "", index):
+            held.append((row, *region))
+            if len(held) >= ALIGNED:
+                verify()
+    verify()
+    return [_best(x) for x in found]
+
+
+def find_items(text: str, index: Index) -> list[tuple[int, int, int, int]]:
+    """The items of one text, see :func:`find_in_texts`."""
+    return find_in_texts([text], index)[0]
+
+
 _HIT = "id long, item long, start long, end long, edits long"
 
 
@@ -197,8 +258,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows: list[tuple] = []
-                for i, text in zip(batch.column(0), batch.column(1), strict=True):
-                    rows += [(i.as_py(), *hit) for hit in find_items(text.as_py() or "", shared.value)]
+                found = find_in_texts((t.as_py() for t in batch.column(1)), shared.value)
+                for i, hits in zip(batch.column(0), found, strict=True):
+                    rows += [(i.as_py(), *hit) for hit in hits]
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "item", "start", "end", "edits"])
 
