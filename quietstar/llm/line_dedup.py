@@ -23,6 +23,8 @@ from . import common as C
 
 WINDOW = 2
 SPREAD = 4
+#: Cut lines and documents with any up to here (some 16 MB) are broadcast to the texts, more are joined by shuffle.
+BROADCAST_LINES = 1_000_000
 
 
 def chunk_ends(lines: Column) -> Column:
@@ -79,7 +81,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     cut = read_back(spark, cut.select(F.col("id").alias("cut_id"), "lines_cut", "gone"), "cut")
     named = [c for c in docs.columns if c.lower() != "lines_cut"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in named]).alias(C.ROW), F.col(id_col).alias("own"), F.col(text_col).alias("body"))
-    joined = rows.join(cut, F.col("own").eqNullSafe(F.col("cut_id")), "left")
+    held = cut.agg(F.coalesce(F.sum("lines_cut"), F.lit(0)) + F.count(F.lit(1))).first()[0]
+    joined = rows.join(F.broadcast(cut) if held <= BROADCAST_LINES else cut, F.col("own").eqNullSafe(F.col("cut_id")), "left")
     lines = F.split("body", "\n", -1)
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("body")).otherwise(kept)
