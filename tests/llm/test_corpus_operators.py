@@ -321,6 +321,30 @@ def test_repeated_chunks_go_but_their_first_place_stays(spark):
     assert got[20].text is None and got[21].text == "" and got[22].text == got[23].text == "own line"
 
 
+def test_runs_of_two_lines_go_wherever_they_stand(spark):
+    draw, fresh = random.Random(4), iter(range(10**6))
+    runs = [[f"run {r} line {i}" for i in range(2 + r % 4)] for r in range(24)]
+    texts = []
+    for i in range(60):
+        lines = []
+        for _ in range(draw.randint(1, 3)):
+            lines += [f"own {next(fresh)}" for _ in range(draw.randint(1, 3))] + draw.choice(runs)
+        texts.append((i if i % 7 else None, "\n".join(lines)))
+    texts += [(70, "x\nx\nx\ny"), (71, "run 0 line 0\nalone"), (72, "only here\nand here"), (72, "run 0 line 0\nrun 0 line 1")]
+    place = lambda row: (row[0] is None, row[0] or 0, hashlib.md5(row[1].encode()).digest())
+    met, want = set(), {}
+    for row in sorted(texts, key=place):
+        lines, gone = row[1].split("\n"), set()
+        for j, pair in enumerate(zip(lines, lines[1:])):
+            gone |= {j, j + 1} if pair in met else set()
+            met.add(pair)
+        want[row] = ("\n".join(x for j, x in enumerate(lines) if j not in gone), len(gone))
+    frame = documents(spark, texts).withColumn("keep_id", F.col("text"))
+    got = {(r.doc_id, r.keep_id): (r.text, r.lines_cut) for r in line_dedup.dedup_lines(frame).collect()}
+    assert got == want
+    assert {x for _, t in texts for x in t.split("\n")} == {x for t, _ in got.values() for x in t.split("\n") if t}
+
+
 def test_line_dedup_odd_rows(odd, none):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "lines_cut"] and got.count() == len(ODD) and line_dedup.dedup_lines(none).count() == 0
