@@ -11,9 +11,6 @@ from ..sources import adapters as A
 from .common import labelled, labelled_stage, rounded
 from .sql import query, rnd
 
-# Boosting rounds of the registered queries; the library default is the published 300.
-TREES = 5
-
 
 def _table(spark, sf):
     return churn.training_table(labelled_stage(spark, sf))
@@ -40,7 +37,7 @@ def _folds(spark, sf):
 
 def _split_scores(spark, sf):
     split = read_back(spark, churn.stratified_split(_table(spark, sf)), "churn-split")
-    model = churn.fit_churn(split.filter(~F.col("is_test")), trees=TREES)
+    model = churn.fit_churn(split.filter(~F.col("is_test")))
     return split, model
 
 
@@ -56,7 +53,7 @@ def _importance(spark, sf):
 
 def _cv(spark, sf):
     table = read_back(spark, churn.stratified_folds(_table(spark, sf), k=5), "churn-folds")
-    return churn.cross_validate(table, k=5, trees=TREES)
+    return churn.cross_validate(table, k=5)
 
 
 def _audit(spark, sf):
@@ -75,7 +72,7 @@ QUERIES = {
     "churn_scores": _scores,
     "churn_cv": _cv,
     "feature_importance": _importance,
-    "ml_metrics": lambda s, d: models.ml_metrics(labelled(s, d), A.table(s, d, "embeddings"), trees=TREES),
+    "ml_metrics": lambda s, d: models.ml_metrics(labelled(s, d), A.table(s, d, "embeddings")),
 }
 
 _MARKED = {"marked": "SELECT doc_id, toxic AS y, quality, round(n_chars / 1000.0::double, 1) AS v FROM labels JOIN documents USING (doc_id)"}

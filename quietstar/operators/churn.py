@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, maths
+from ..session import shared_dir
 from . import ranking
 
 LABEL = "is_silent_killer"
@@ -73,6 +74,9 @@ def fit_churn(
     step: float = 0.05, seed: int = 42,
 ) -> PipelineModel:
     """Boosted trees, weighted by class balance of the training rows only."""
+    context = train.sparkSession.sparkContext
+    if not context.getCheckpointDir():  # else the plan of the residuals grows with every round
+        context.setCheckpointDir(shared_dir(train.sparkSession, "boosting"))
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="_features"),
         GBTClassifier(

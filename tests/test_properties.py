@@ -216,3 +216,18 @@ def test_repeated_reviews_count_once_under_a_cap(spark):
     chosen = spark.createDataFrame([("p", True)], "product_id string, is_flagship boolean")
     assert discovery.cap_per_product(df, chosen, flagship_cap=3, rival_cap=1).count() == 3
     assert discovery.cap_per_product(df, chosen, flagship_cap=9, rival_cap=1).count() == 5
+
+
+def test_registered_churn_queries_boost_in_full(spark, sf_dir, monkeypatch):
+    from quietstar.catalog import models
+
+    class Reached(Exception):
+        pass
+
+    def booster(**given):
+        raise Reached(given["maxIter"])
+
+    monkeypatch.setattr(churn, "GBTClassifier", booster)
+    for name in ("churn_scores", "churn_cv", "feature_importance", "ml_metrics"):
+        with pytest.raises(Reached, match="^300$"):
+            models.QUERIES[name](spark, sf_dir)
