@@ -12,17 +12,18 @@ at once is bounded. Texts are read where they are: only hits and ids are shuffle
 the longest region, so memory doesn't grow with its length.
 
 Defined results: null and empty texts hold nothing; items of fewer than ``Q`` characters (or null) have no q-gram and are never
-found; equal items are each reported; rows repeated with one id share the hits of that id, and all rows of an id with a hit
-go; rows without an id are judged as one id; an empty table of documents or items gives no hit.
+found; equal items are each reported; every row is judged by its own text, also where it shares its id or has none (for
+:func:`drop_contaminated` see there); an empty table of documents or items gives no hit.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import read_back
@@ -244,11 +245,11 @@ def find_items(text: str, index: Index) -> list[tuple[int, int, int, int]]:
     return find_in_texts([text], index)[0]
 
 
-_HIT = "id long, item long, start long, end long, edits long"
+_HIT = "id long, own binary, item long, start long, end long, edits long"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``id``, ``item``, ``start``, ``end``, ``edits`` for every region of a document that holds an item."""
+    """``id``, ``own`` (digest of the text), ``item``, ``start``, ``end``, ``edits`` for every region of a document that holds an item."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
@@ -259,10 +260,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             for batch in batches:
                 rows: list[tuple] = []
                 found = find_in_texts((t.as_py() for t in batch.column(1)), shared.value)
-                for i, hits in zip(batch.column(0), found, strict=True):
-                    rows += [(i.as_py(), *hit) for hit in hits]
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "item", "start", "end", "edits"])
+                for i, text, hits in zip(batch.column(0), batch.column(1), found, strict=True):
+                    own = hashlib.md5(text.as_py().encode()).digest() if hits else None
+                    rows += [(i.as_py(), own, *hit) for hit in hits]
+                names = ["id", "own", "item", "start", "end", "edits"]
+                cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "own" else pa.int64()) for k, c in zip(names, cols, strict=True)], names)
 
         return texts.mapInArrow(run, _HIT)
 
@@ -283,20 +286,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, ``contaminated``, ``n_leaks``, ``leaks`` (``item:start:end:edits``, by item and place, comma-joined)."""
-    found = leaks(docs, benchmark, id_col, text_col).groupBy("id").agg(
+    found = leaks(docs, benchmark, id_col, text_col).groupBy("id", "own").agg(
         F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("item", "start", "end", "edits"))).alias("all")
     )
     spot = F.transform("all", lambda x: F.concat_ws(":", x["item"], x["start"], x["end"], x["edits"]))
-    found = read_back(docs.sparkSession, found.select(F.col("id").alias("hit"), "n", F.array_join(spot, ",").alias("leaks")), "found")
-    rows = docs.select(F.col(id_col).alias("id"))
-    return rows.join(found, F.col("id").cast("long").eqNullSafe(F.col("hit")), "left").select(
+    found = read_back(docs.sparkSession, found.select(F.col("id").alias("hit"), F.col("own").alias("hit_own"), "n", F.array_join(spot, ",").alias("leaks")), "found")
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text_col)).alias("own"))
+    return rows.join(found, F.col("id").cast("long").eqNullSafe(F.col("hit")) & (F.col("own") == F.col("hit_own")), "left").select(
         F.col("id").alias(id_col), F.col("n").isNotNull().alias("contaminated"), F.coalesce("n", F.lit(0)).cast("long").alias("n_leaks"), F.coalesce("leaks", F.lit("")).alias("leaks")
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no item, with the columns of ``docs``."""
-    gone = read_back(docs.sparkSession, leaks(docs, benchmark, id_col, text_col).select(F.col("id").alias("gone")).distinct(), "gone")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_ids: bool = True) -> DataFrame:
+    """The documents that hold no item, with the columns of ``docs``.
+
+    ``whole_ids``: rows with one id are parts of one document and go together; else each row is judged by its own text. Rows
+    without an id always are.
+    """
+    def key(row_id: Column, own: Column) -> Column:
+        return F.when(row_id.isNotNull(), F.lit("").cast("binary")).otherwise(own) if whole_ids else own
+
+    gone = leaks(docs, benchmark, id_col, text_col).select(F.col("id").alias("gone"), key(F.col("id"), F.col("own")).alias("gone_own")).distinct()
+    gone = read_back(docs.sparkSession, gone, "gone")
     few = gone.count() <= BROADCAST_IDS
-    rows = C.carried(docs, F.col(id_col).cast("long").alias("own"))
-    return C.released(rows.join(F.broadcast(gone) if few else gone, F.col("own").eqNullSafe(F.col("gone")), "left_anti"))
+    rows = C.carried(docs, F.col(id_col).cast("long").alias("own_id"), key(F.col(id_col), F.unhex(F.md5(text_col))).alias("own"))
+    same = F.col("own_id").eqNullSafe(F.col("gone")) & (F.col("own") == F.col("gone_own"))
+    return C.released(rows.join(F.broadcast(gone) if few else gone, same, "left_anti"))

@@ -50,7 +50,7 @@ BROADCAST_IDS = 1_000_000
 #: A link: NUM * union <= DEN * intersection.
 NUM, DEN = 4, 5
 
-_COUNTED = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
+_COUNTED = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("own", pa.binary()), ("cls", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
 
 
 def needed(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
@@ -85,7 +85,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints.append(digest)
         ids = batch.column(0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(ids), np.int32)), ids, pa.array(cls, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())],
+            [pa.array(np.zeros(len(ids), np.int32)), ids, batch.column(2), pa.array(cls, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())],
             schema=_COUNTED,
         )
     used = [i for i in range(len(groups) // CHUNK) if groups[i * CHUNK : (i + 1) * CHUNK].any()]
@@ -93,7 +93,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bodies = [groups[i * CHUNK : (i + 1) * CHUNK].astype(np.int64).tobytes() for i in used]
         none = pa.nulls(len(used), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(used), np.int32)), none, pa.array(used, pa.int64()), none, pa.array(bodies, pa.binary())], schema=_COUNTED
+            [pa.array(np.ones(len(used), np.int32)), none, pa.nulls(len(used), pa.binary()), pa.array(used, pa.int64()), none, pa.array(bodies, pa.binary())], schema=_COUNTED
         )
 
 
@@ -331,21 +331,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per document: id, ``n_shingles``, ``component_id`` (smallest id reachable by links, itself included).
 
     Defined results: a null text, an empty one and one of white space have no shingles and are linked with nothing; a text of
-    fewer than five words is one shingle; rows repeated with one id are each returned; a row without an id gets the smallest
-    id among equal sets' links, or null, but links no others; an empty table gives an empty result.
+    fewer than five words is one shingle; rows repeated with one id are each returned; a row without an id links like any
+    other and gets the smallest id of its component, or null where no row of it has one; an empty table gives an empty result.
     """
+    found = _near_rows(docs, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("keep.id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _near_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per document: ``id``, ``own`` (digest of the text), ``n`` and ``keep`` (id and digest of the first row of its component)."""
     with C.small_batches(docs.sparkSession):
-        return _near_classes(docs, id_col, text_col)
+        return _linked_rows(docs, id_col, text_col)
 
 
-def _near_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _linked_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counted = read_back(spark, texts.mapInArrow(_count, "kind int, id long, cls long, n long, body binary"), "counted")
+    marked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.unhex(F.md5(text_col)).alias("own"))
+    texts = marked.select("id", "text")
+    counted = read_back(spark, marked.mapInArrow(_count, "kind int, id long, own binary, cls long, n long, body binary"), "counted")
     frequencies = spark.sparkContext.broadcast(_frequencies(counted))
-    rows = counted.where("kind = 0").select("id", "cls", "n", "body")
+    rows = counted.where("kind = 0").select("id", "own", "cls", "n", "body")
+    # Nulls sort first in a struct: an id that is missing must not come before one that is there.
     classes = rows.where("n > 0").groupBy("cls", "n").agg(
-        F.min("id").alias("least"), F.when(F.min("body") != F.max("body"), F.raise_error(F.lit("two sets share a class; change the digest")).cast("long")).alias("clash")
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own")).alias("least"), F.when(F.min("body") != F.max("body"), F.raise_error(F.lit("two sets share a class; change the digest")).cast("long")).alias("clash")
     ).where("clash IS NULL").drop("clash")
 
     star = "token long, a long, an long, b long, bn long"
@@ -357,11 +365,12 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     stars = read_back(spark, stars.mapInArrow(_reduce_stars, star), "stars")
 
     members = stars.select(F.col("a").alias("cls"), F.col("an").alias("n")).union(stars.select("b", "bn")).distinct()
-    wanted = read_back(spark, classes.join(members, ["cls", "n"]).select(F.col("least").alias("id")), "wanted")
+    wanted = read_back(spark, classes.join(members, ["cls", "n"]).select(F.col("least.id").alias("least_id"), F.col("least.own").alias("least_own")), "wanted")
     few = wanted.count() <= BROADCAST_IDS
-    chosen = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").select("id", "text")
+    same = F.col("id").eqNullSafe(F.col("least_id")) & (F.col("own") == F.col("least_own"))
+    chosen = marked.join(F.broadcast(wanted) if few else wanted, same, "left_semi").select("id", "text")
     sets = read_back(spark, chosen.mapInArrow(_sets, "cls long, n long, point binary, tokens array<long>"), "sets")
-    # Only a repeated id brings a class twice; where none does, the sets need no shuffle of their own.
+    # Only a row repeated with its id brings a class twice; where none does, the sets need no shuffle of their own.
     if sets.groupBy("cls", "n").count().where("count > 1").limit(1).count():
         sets = read_back(spark, sets.dropDuplicates(["cls", "n"]), "sets")
 
@@ -417,17 +426,27 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     comps = _linked_by(spark, links)
     least = comps.join(classes, ["cls", "n"]).groupBy("comp", "compn").agg(F.min("least").alias("least"))
     reached = comps.join(least, ["comp", "compn"]).select("cls", "n", F.col("least").alias("linked"))
-    labels = read_back(spark, classes.join(reached, ["cls", "n"], "left").select("cls", "n", F.coalesce("linked", "least").alias("component")), "labels")
-    return rows.join(labels, ["cls", "n"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")
-    )
+    labels = read_back(spark, classes.join(reached, ["cls", "n"], "left").select("cls", "n", F.coalesce("linked", "least").alias("keep")), "labels")
+    return rows.join(labels, ["cls", "n"], "left").select("id", "own", "n", "keep")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, and every document without shingles; columns of ``docs``."""
-    found = near_classes(docs, id_col, text_col)
-    gone = found.where(f"n_shingles > 0 AND {id_col} > component_id").select(F.col(id_col).alias("gone")).distinct()
+    """One row of each component, and every document without shingles; columns of ``docs``.
+
+    The row with the smallest id stays, of rows that share it, or of rows of which none has an id, the one with the smallest
+    digest; rows repeated with id and text are one.
+    """
+    stays = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("own") == F.col("keep.own"))
+    found = _near_rows(docs, id_col, text_col).where("n > 0").select("id", "own", stays.alias("stays"))
+    keyed = found.groupBy("id", "own").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    # Rows that go, and rows that stay but stand there several times.
+    gone = keyed.where("NOT stays OR rows > 1").select(F.col("id").alias("gone"), F.col("own").alias("gone_own"), F.expr("stays").alias("again"))
     gone = read_back(docs.sparkSession, gone, "gone")
-    few = gone.count() <= BROADCAST_IDS
-    rows = C.carried(docs, F.col(id_col).alias("gone"))
-    return C.released(rows.join(F.broadcast(gone) if few else gone, "gone", "left_anti"))
+    total, again = gone.agg(F.count(F.lit(1)), F.count_if("again")).first()
+    sent = lambda df: F.broadcast(df) if total <= BROADCAST_IDS else df
+    rows = C.carried(docs, F.col(id_col).cast("long").alias("own_id"), F.unhex(F.md5(text_col)).alias("own"))
+    same = F.col("own_id").eqNullSafe(F.col("gone")) & (F.col("own") == F.col("gone_own"))
+    out = rows.join(sent(gone), same, "left_anti")
+    if again:
+        out = out.unionByName(rows.join(sent(gone.where("again")), same, "left_semi").dropDuplicates(["own_id", "own"]))
+    return C.released(out)

@@ -227,6 +227,29 @@ def test_contamination_of_odd_rows(spark, odd, none):
     assert decontamination.drop_contaminated(odd, items.limit(0)).count() == len(ODD)
 
 
+def test_rows_without_an_id_of_their_own_are_judged_by_their_text(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    held = documents(spark, [(None, f"x {item} y"), (None, "clean"), (None, None), (8, item), (8, "clean too"), (9, "fine")])
+    kept = corpus_pipeline.decontamination_stage(spark, held, SF)
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == ["(8, 'clean too')", "(9, 'fine')", "(None, 'clean')", "(None, None)"]
+    whole = decontamination.drop_contaminated(held, spark.read.parquet(f"{SF}/benchmark.parquet"))
+    assert sorted(str((r.doc_id, r.text)) for r in whole.collect()) == ["(9, 'fine')", "(None, 'clean')", "(None, None)"]
+
+
+def test_near_copies_without_an_id_of_their_own(spark):
+    base = [[f"{k}{i}" for i in range(60)] for k in "abc"]
+    near = lambda words, n: " ".join([*words, *(f"end{n}x{i}" for i in range(n))])
+    rows = [(None, near(base[0], n)) for n in (0, 1, 2)] + [(None, near(base[1], n)) for n in (0, 1)] + [(4, near(base[1], 2))]
+    rows += [(7, near(base[2], 0)), (7, near(base[2], 1)), (7, "quite another text"), (1, "linked to none"), (None, None), (None, "")]
+    rows += [(None, near(base[0], 0)), (4, near(base[1], 2))]
+    kept = [(r.doc_id, r.text) for r in ngram_join.drop_near_copies(documents(spark, rows)).collect()]
+    assert sum((t or "").startswith("a0 ") for _, t in kept) == 1 and [i for i, t in kept if (t or "").startswith("b0 ")] == [4]
+    assert sum((t or "").startswith("c0 ") for _, t in kept) == 1 and {(7, "quite another text"), (1, "linked to none"), (None, None), (None, "")} <= set(kept)
+    assert len(kept) == 7
+    found = [r.component_id for r in ngram_join.near_classes(documents(spark, rows)).collect() if r.doc_id is None]
+    assert sorted(map(str, found)) == ["4", "4"] + ["None"] * 6
+
+
 # mixing -----------------------------------------------------------------------------------
 
 
