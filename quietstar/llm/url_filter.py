@@ -9,7 +9,8 @@ Rules meet urls by join on the host's suffixes, once for each distinct (host, pa
 (see :mod:`components`); group results are combined on the map side and written before joins, so hot hosts are split.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, no aliases and is allowed; null html
-has no links; links that are neither absolute nor from the root are none; of rules equal in host and path ``allow`` counts;
+has no links; all canonical and refresh tags of a page count; a link is resolved against the page's url by RFC 3986 (dot segments
+of a relative one are taken away, ``<base>`` isn't read), one that is only a fragment or has a scheme without ``//`` is none; of rules equal in host and path ``allow`` counts;
 repeated rows are each judged; an empty table gives an empty result; other columns don't matter.
 """
 
@@ -52,14 +53,38 @@ def address(rest: Column) -> Column:
     return F.when(host_of(rest) != "", out)
 
 
-def linked(link: Column, host: Column) -> Column:
-    """What follows the scheme of a link found on ``host``: absolute, without a scheme, or from the root; else null."""
+def without_dots(path: Column) -> Column:
+    """``path``, which begins with a slash, with ``.`` and ``..`` segments resolved; none leads above the root."""
+    parts = F.slice(F.split(path, "/", -1), 2, F.length(path) + 1)
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    last = F.element_at(parts, -1).isin(".", "..")
+    done = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(done, "/"), F.when(last & (F.size(done) > 0), "/").otherwise(""))
+
+
+def linked(link: Column, rest: Column) -> Column:
+    """What follows the scheme of a link found on the page whose url :func:`after_scheme` made ``rest``; null where it is none."""
+    host, path = host_of(rest), path_of(rest)
+    own, query = F.regexp_extract(link, r"^[^?#]*", 0), F.regexp_extract(link, r"^[^?#]*([?#].*)$", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^.*/", 0))
     return (
-        F.when(F.instr(link, "://") > 0, after_scheme(link)).when(link.startswith("//"), F.substring(link, 3, 100_000))
-        .when(link.startswith("/"), F.concat(host, link))
+        F.when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), after_scheme(link)).when(link.startswith("//"), F.substring(link, F.lit(3), F.length(link)))
+        .when((link == "") | link.startswith("#") | link.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") | (host == ""), None)
+        .when(link.startswith("?"), F.concat(host, path, link))
+        .when(link.startswith("/"), F.concat(host, without_dots(own), query))
+        .otherwise(F.concat(host, without_dots(F.concat(folder, own)), query))
     )
 
 
+def targets_of(html: Column, tag: str, target: str) -> Column:
+    """The targets of all such tags in order."""
+    return F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, target, 1))
+
+
 def judged(places: DataFrame, rules: DataFrame) -> DataFrame:
     """``host``, ``path``, ``rule``, ``verdict`` of the distinct (host, path) that a rule fits. Rules: host, path, verdict."""
     labels = F.split("host", r"\.")
@@ -79,10 +104,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     spark = pages.sparkSession
     rest = after_scheme(F.coalesce(F.col(url_col), F.lit("")))
     html = F.coalesce(F.col(html_col), F.lit(""))
-    canonical, refresh = F.regexp_extract(html, CANONICAL, 0), F.regexp_extract(html, REFRESH, 0)
+    found = F.concat(targets_of(html, CANONICAL, HREF), targets_of(html, REFRESH, TARGET))
     rows = pages.select(
         F.col(id_col).alias("id"), host_of(rest).alias("host"), path_of(rest).alias("path"), address(rest).alias("at"),
-        F.filter(F.array(linked(F.regexp_extract(canonical, HREF, 1), host_of(rest)), linked(F.regexp_extract(refresh, TARGET, 1), host_of(rest))), lambda x: x != "").alias("links"),
+        F.filter(F.transform(found, lambda x: linked(x, rest)), lambda x: x != "").alias("links"),
     )
     rows = read_back(spark, rows, "pages")
     links = rows.where("at IS NOT NULL").select("at", F.explode("links").alias("rest"))

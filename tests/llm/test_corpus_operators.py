@@ -395,6 +395,26 @@ def test_verdicts_spread_over_aliases(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, html string"), rules).count() == 0
 
 
+def test_all_links_of_a_page_are_resolved(spark):
+    rest = F.lit("host.org/a/b/page?q=1")
+    wanted = {
+        "x.html": "host.org/a/b/x.html", "../x": "host.org/a/x", "../../../x?y=../z": "host.org/x?y=../z", "./": "host.org/a/b/", "..": "host.org/a/", "?id=3": "host.org/a/b/page?id=3",
+        "/r/../s": "host.org/s", "//other.net/p": "other.net/p", "https://o.net/../p": "o.net/../p", "#top": None, "": None, "mailto:a@b.c": None, "x?u=http://o.net/": "host.org/a/b/x?u=http://o.net/",
+        "/": "host.org/", "/r?u=http://o.net/": "host.org/r?u=http://o.net/",
+    }
+    rows = spark.createDataFrame([(k,) for k in wanted], "link string").select("link", url_filter.linked(F.col("link"), rest).alias("to")).collect()
+    assert {r.link: r.to for r in rows} == wanted
+    tag = '<link rel="canonical" href="{}">'
+    pages = [
+        (1, "http://block.net/es/a", None), (2, "http://m.org/d/x", tag.format("y.html")), (3, "http://m.org/d/y.html", tag.format("http://none.org/") + tag.format("//block.net/es/a")),
+        (4, "http://m.org/e/x", '<meta http-equiv="refresh" content="9"><meta http-equiv="refresh" content="0; url=../d/x">'), (5, "http://m.org/f", None),
+        (6, "http://m.org", tag.format("d/x")), (7, "http://n.org/z", tag.format("//block.net/es/" + "k" * 100_100)), (8, "http://block.net/fr", tag.format("?a=1")),
+    ]
+    rules = spark.createDataFrame([("block.net", "/es/", "block")], "host string, path string, verdict string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert got == {i: "block" if i in (1, 2, 3, 4, 6, 7) else "allow" for i in range(1, 9)}
+
+
 # pipeline ---------------------------------------------------------------------------------
 
 
