@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontamination, exact_dedup, language, line_dedup, mixing, ngram_join, pii, quality, toxicity, url_filter
+from . import decontamination, exact_dedup, katz, language, line_dedup, mixing, ngram_join, pii, quality, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", C.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.katz_scores(table(spark, sf_dir, "documents"), ~C.held_out(F.col("id"), 7, 2))
+    held = C.held_out(F.col("doc_id"), 7, 2).alias("held_out")
+    return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -81,6 +87,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_katz_scores": op11_katz_scores,
 }
 
 ORACLES = {
