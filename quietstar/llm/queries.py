@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontamination, exact_dedup, katz, language, line_dedup, mixing, ngram_join, pii, quality, toxicity, url_filter
+from . import decontamination, exact_dedup, katz, language, line_dedup, mixing, ngram_join, pii, prefix_trie, quality, term_search, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,14 @@ def op11_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -88,6 +96,8 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
     "op11_katz_scores": op11_katz_scores,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
@@ -96,4 +106,47 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY body)""",
+    "op12_ranked_search": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        s AS (SELECT count(*)::BIGINT AS n, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+        t AS (SELECT doc_id, term, count(*) AS tf, any_value(size) AS size
+              FROM (SELECT doc_id, len(terms) AS size, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+        w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term, n),
+        r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * size * n) // l))))::BIGINT AS score
+              FROM q JOIN t USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM r WHERE score > 0 QUALIFY rank <= 50""",
+    "op13_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+            FROM conversations WHERE conv_id IS NOT NULL),
+        i AS (
+            SELECT c, xor(4294967295, list_reduce(
+                       list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                       lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) % 9 AS h
+            FROM (SELECT DISTINCT c FROM t)),
+        o AS (
+            SELECT i.c, p, r, x FROM i JOIN t ON t.c = i.c - i.c % 5 AND p <= h
+            UNION ALL SELECT i.c, 1000 + p, r, x FROM i JOIN t ON t.c = i.c AND p > h),
+        s AS (SELECT c, coalesce(list(struct_pack(r := r, x := x) ORDER BY p) FILTER (WHERE p IS NOT NULL), []) AS s FROM i LEFT JOIN o USING (c) GROUP BY c),
+        f AS (SELECT c, d, s[1:d] AS k, d = len(s) AS ends FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM s)),
+        n AS (
+            SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+            FROM f GROUP BY k, d),
+        m AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+        b AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN m USING (k, d)),
+        u AS (
+            SELECT k[1:e] AS k, e AS d, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+                   sum((n_convs - 1) * CASE WHEN d > 0 THEN strlen(k[d].x) ELSE 0 END)::BIGINT AS saved_tokens
+            FROM (SELECT *, unnest(range(d + 1)) AS e FROM b) GROUP BY 1, 2)
+        SELECT b.conv_id, b.d AS depth, a.conv_id AS parent_conv_id, b.n_convs, b.n_children, n_leaves, saved_tokens, b.ends_sha256
+        FROM b JOIN u USING (k, d) LEFT JOIN n a ON a.d = b.d - 1 AND a.k = b.k[1:b.d - 1]""",
 }
