@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..session import read_back
 from . import common as C
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Tokens for each bucket of keys.
 BUCKET = 1 << 21
 LARGE = 5
