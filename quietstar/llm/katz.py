@@ -50,7 +50,7 @@ START, END = np.uint64(0), np.uint64(1)
 def pack(values: np.ndarray) -> bytes:
     """An array as compressed planes of bytes."""
     values = np.ascontiguousarray(values)
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
 
 
 def unpack(packed: bytes, dtype: type) -> np.ndarray:
