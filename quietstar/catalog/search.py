@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import maths, text
-from ..operators import aspects, search
+from ..operators import aspects, search, vector_index
 from ..sources import adapters as A
 from .common import labelled_stage, rounded
 from .sql import query, rnd
@@ -48,9 +48,24 @@ def _text_search(spark, sf):
     return search.semantic_search(search.embed(rows, model), questions, 3, key="review_id")
 
 
+def _index_search(spark, sf):
+    """The searches of ``semantic_search`` over inverted lists."""
+    index = vector_index.build_index(A.table(spark, sf, "embeddings"))
+    return rounded(vector_index.search_index(index, _centroids(spark, sf), 6))
+
+
+def _recall(spark, sf):
+    """What the inverted lists find of the exact neighbours of every twentieth vector, and the share of rows they read for it."""
+    vectors = A.table(spark, sf, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return rounded(vector_index.search_recall(vector_index.build_index(vectors), vectors, asked))
+
+
 QUERIES = {
     "cosine_similarity": _similarity,
     "semantic_search": lambda s, d: rounded(_search(s, d)),
+    "semantic_search_lsh": _index_search,
+    "search_recall": _recall,
     "copilot_insight": _insight,
     "embedding_index": _index,
     "text_search": _text_search,

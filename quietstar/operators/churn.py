@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, maths
-from ..session import shared_dir
 from . import ranking
+from .boosting import BoostedModel, GBTClassifier
 
 LABEL = "is_silent_killer"
 
@@ -69,30 +65,27 @@ def class_weights(df: DataFrame) -> DataFrame:
     return df.withColumn("weight", F.when(F.col("label") == 1, ranking.one_value(balance, "w")).otherwise(1.0))
 
 
-def fit_churn(
-    train: DataFrame, features: Sequence[str] = fixed.CHURN_FEATURES, trees: int = 300, depth: int = 5,
+def fit_together(
+    df: DataFrame, training: Sequence[Column], features: Sequence[str] = fixed.CHURN_FEATURES, trees: int = 300, depth: int = 5,
     step: float = 0.05, seed: int = 42,
-) -> PipelineModel:
-    """Boosted trees, weighted by class balance of the training rows only."""
-    context = train.sparkSession.sparkContext
-    if not context.getCheckpointDir():  # else the plan of the residuals grows with every round
-        context.setCheckpointDir(shared_dir(train.sparkSession, "boosting"))
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="_features"),
-        GBTClassifier(
-            featuresCol="_features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=step,
-            subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, cacheNodeIds=False,
-        ),
-    ]).fit(class_weights(train))
-
-
-def predict_churn(df: DataFrame, model: PipelineModel) -> DataFrame:
-    scored = model.transform(df)
-    return scored.select(
-        *df.columns,
-        vector_to_array("probability")[1].alias("churn_risk_score"),
-        F.col("prediction").cast("int").alias("churn_risk_label"),
+) -> BoostedModel:
+    """One model of boosted trees for each condition in ``training``, all in one training; each is weighted by the class balance of
+    its own training rows."""
+    booster = GBTClassifier(
+        featuresCol=list(features), labelCol="label", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8,
+        featureSubsetStrategy=0.8, seed=seed,
     )
+    return booster.fit(df, training)
+
+
+def fit_churn(train: DataFrame, features: Sequence[str] = fixed.CHURN_FEATURES, **fit: float) -> BoostedModel:
+    return fit_together(train, [F.lit(True)], features, **fit)
+
+
+def predict_churn(df: DataFrame, model: BoostedModel, number: Column | int = 0) -> DataFrame:
+    """Score and label of each row by the model of that ``number``."""
+    scored = model.transform(df, number, "churn_risk_score")
+    return scored.withColumn("churn_risk_label", (F.col("churn_risk_score") > 0.5).cast("int"))
 
 
 def attach_predictions(df: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -101,11 +94,11 @@ def attach_predictions(df: DataFrame, predictions: DataFrame) -> DataFrame:
     return df.join(scores, "review_id", "left").na.fill(0, ["churn_risk_score", "churn_risk_label"])
 
 
-def feature_importance(model: PipelineModel, features: Sequence[str] = fixed.CHURN_FEATURES) -> DataFrame:
+def feature_importance(model: BoostedModel, number: int = 0) -> DataFrame:
+    """Share of the gain of all splits by feature."""
     from pyspark.sql import SparkSession
 
-    values = [(f, float(v)) for f, v in zip(features, model.stages[-1].featureImportances.toArray())]
-    frame = SparkSession.active().createDataFrame(values, "feature string, importance double")
+    frame = SparkSession.active().createDataFrame(list(model.importances(number).items()), "feature string, importance double")
     return frame.orderBy(F.desc("importance"), F.asc("feature"))
 
 
@@ -126,28 +119,35 @@ def classification_metrics(df: DataFrame, label: str = "label", predicted: str =
     )
 
 
+def fold_numbers(folded: DataFrame) -> list[int]:
+    return [r[0] for r in folded.select("fold").distinct().orderBy("fold").collect()]
+
+
+def fold_scores(folded: DataFrame, folds: Sequence[int], model: BoostedModel, first: int = 0) -> DataFrame:
+    """AUROC of each fold under the model that did not learn from it, with the mean and the population deviation over them.
+
+    The model of the first of ``folds`` has the number ``first``.
+    """
+    number = F.array_position(F.array(*[F.lit(f).cast("long") for f in folds]), F.col("fold").cast("long")) - 1 + first
+    scores = ranking.auroc(predict_churn(folded, model, number), "churn_risk_score", "label", ["fold"]).select("fold", "auroc")
+    everything = W.partitionBy(F.lit(0))
+    return scores.withColumn("mean_auroc", F.avg("auroc").over(everything)).withColumn(
+        "std_auroc", F.stddev_pop("auroc").over(everything)
+    )
+
+
 def cross_validate(
-    df: DataFrame, features: Sequence[str] = fixed.CHURN_FEATURES, k: int = 5, seed: int = 42, **fit: int
+    df: DataFrame, features: Sequence[str] = fixed.CHURN_FEATURES, k: int = 5, seed: int = 42, **fit: float
 ) -> DataFrame:
     """AUROC per fold, every fold of the table, with the mean and the population deviation over them. ``k`` folds are made
     where the table has none.
 
-    The fold table should be cached or written by the caller: every fold reads it twice.
+    The models of all folds are trained together. The fold table should be cached or written by the caller: it is read three times.
     """
     folded = df if "fold" in df.columns else stratified_folds(df, k, seed)
-    present = [r[0] for r in folded.select("fold").distinct().orderBy("fold").collect()]
-    parts = []
-    for fold in present:
-        model = fit_churn(folded.filter(F.col("fold") != fold), features, seed=seed, **fit)
-        scored = predict_churn(folded.filter(F.col("fold") == fold), model)
-        parts.append(ranking.auroc(scored, "churn_risk_score", "label").select(F.lit(fold).alias("fold"), "auroc"))
-    scores = parts[0]
-    for part in parts[1:]:
-        scores = scores.unionByName(part)
-    everything = W.partitionBy(F.lit(0))
-    return scores.withColumn("mean_auroc", F.avg("auroc").over(everything)).withColumn(
-        "std_auroc", F.stddev_pop("auroc").over(everything)
-    )
+    folds = fold_numbers(folded)
+    model = fit_together(folded, [F.col("fold") != f for f in folds], features, seed=seed, **fit)
+    return fold_scores(folded, folds, model)
 
 
 def leakage_audit(df: DataFrame, features: Sequence[str], label: str = LABEL) -> DataFrame:

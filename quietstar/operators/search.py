@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, StopWordsRemover, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,7 +16,10 @@ from pyspark.sql import types as T
 from ..functions import labels
 from . import ranking
 
+#: Queries in a block, vectors in a chunk, blocks that are broadcast together.
 BLOCK = 1024
+CHUNK = 2048
+PASS = 16
 
 
 def normalize_index(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -45,60 +48,77 @@ def embed(df: DataFrame, model: PipelineModel) -> DataFrame:
     return model.transform(df).select(*df.columns, vector_to_array("_unit", "float32").alias("embedding"))
 
 
+def best_rows(sims: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest of each row of ``sims``, ties by name; only what reaches the ``k``-th value is sorted."""
+    k = min(k, sims.shape[1])
+    out = np.empty((len(sims), k), np.int64)
+    if not out.size:
+        return out
+    least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+    for i, row in enumerate(sims):
+        some = np.flatnonzero(row >= least[i])
+        out[i] = some[np.lexsort((names[some], -row[some]))[:k]]
+    return out
+
+
+def unit_rows(vectors: list) -> np.ndarray:
+    """Vectors as rows of length one; those of length nought stay, null and shorter ones become nought."""
+    width = max((len(v) for v in vectors if v is not None), default=0)
+    x = np.array([v if v is not None and len(v) == width else [0.0] * width for v in vectors], float).reshape(len(vectors), width)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition in chunks of at most ``CHUNK``, one row each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(at, CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array([part.column(i).to_pylist()], pa.list_(part.schema.field(i).type)) for i in (0, 1)], ["keys", "vectors"])
+
+
+def _best_of_chunks(k: int, schema: T.StructType):
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, keys, vectors = (batch.column(c)[i].values for c in ("asked", "keys", "vectors"))
+                q, x = unit_rows(asked.field("q").to_pylist()), unit_rows(vectors.to_pylist())
+                if q.shape[1] != x.shape[1]:
+                    continue
+                sims = np.round(q @ x.T, 9)
+                found = best_rows(sims, keys.to_numpy(zero_copy_only=False), k)
+                ids = asked.field("query_id").take(pa.array(np.repeat(np.arange(len(q)), found.shape[1])))
+                yield pa.RecordBatch.from_arrays([ids, keys.take(pa.array(found.ravel())), pa.array(np.take_along_axis(sims, found, 1).ravel())], names)
+
+    return run
+
+
 def semantic_search(index: DataFrame, queries: DataFrame, k: int = 6, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """The ``k`` most similar index rows per query, exactly.
 
-    ``queries``: query_id, q. Query vectors are taken in blocks of bounded size; per block, each task
-    multiplies its rows with the block and keeps its own best ``k`` per query, so what is shuffled is
-    k rows per query and task, never a row pair. More queries mean more blocks, not a larger one.
+    ``queries``: query_id, q. Queries are packed into rows of about ``BLOCK`` and the index into rows of ``CHUNK`` vectors; each chunk
+    meets each block once, as matrices, and keeps its best ``k`` per query, so what is shuffled is k rows per query and chunk,
+    never a row pair. Up to ``PASS`` blocks are broadcast to one reading of the index; more queries take more readings.
     """
-    numbered = queries.select(F.col("query_id"), F.col("q").cast("array<double>").alias("q")).orderBy("query_id")
-    result, block = None, []
-    for row in numbered.toLocalIterator():
-        block.append((row["query_id"], row["q"]))
-        if len(block) == BLOCK:
-            result, block = _union(result, _search_block(index, queries.schema["query_id"].dataType, block, k, vector, key)), []
-    if block or result is None:
-        result = _union(result, _search_block(index, queries.schema["query_id"].dataType, block, k, vector, key))
-    return result
-
-
-def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
-
-
-def _search_block(index: DataFrame, id_type: T.DataType, block: list, k: int, vector: str, key: str) -> DataFrame:
-    ids = [i for i, _ in block]
-    q = np.asarray([v for _, v in block], dtype=float) if block else np.zeros((0, 1))
-    norms = np.linalg.norm(q, axis=1, keepdims=True)
-    q = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
+    n_blocks = max(1, -(-asked.count() // BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")
+    blocks = asked.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
+    rows = index.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    kinds = [T.ArrayType(rows.schema[c].dataType) for c in ("key", "vector")]
+    chunks = rows.mapInArrow(_packed, T.StructType([T.StructField("keys", kinds[0]), T.StructField("vectors", kinds[1])]))
     schema = T.StructType([
-        T.StructField("query_id", id_type), index.schema[key], T.StructField("similarity", T.DoubleType()),
+        T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("key", rows.schema["key"].dataType), T.StructField("similarity", T.DoubleType()),
     ])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_ids = np.empty((len(ids), 0), dtype=object)
-        best = np.empty((len(ids), 0))
-        for frame in batches:
-            if not len(frame) or not ids:
-                continue
-            x = np.stack(frame[vector].to_numpy()).astype(float)
-            length = np.linalg.norm(x, axis=1, keepdims=True)
-            x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-            sims = np.round(q @ x.T, 9)
-            names = np.broadcast_to(frame[key].to_numpy(), sims.shape)
-            sims, names = np.hstack([best, sims]), np.hstack([best_ids, names.astype(object)])
-            order = np.stack([np.lexsort((names[i].astype(frame[key].dtype), -sims[i]))[:k] for i in range(len(ids))])
-            best, best_ids = np.take_along_axis(sims, order, 1), np.take_along_axis(names, order, 1)
-        if best.shape[1]:
-            width = best.shape[1]
-            yield pd.DataFrame({
-                "query_id": np.repeat(ids, width), key: best_ids.ravel(), "similarity": best.ravel(),
-            })
-
-    found = index.select(key, vector).mapInPandas(run, schema)
-    order = [F.desc("similarity"), F.asc(key)]
-    return ranking.top_per_group(found, ["query_id"], order, k, spread_by=F.col(key))
+    found = None
+    for first in range(0, n_blocks, PASS):
+        part = blocks if n_blocks <= PASS else blocks.where(F.col("block").between(first, first + PASS - 1))
+        met = chunks.crossJoin(F.broadcast(part.select("asked"))).mapInArrow(_best_of_chunks(k, schema), schema)
+        found = met if found is None else found.unionByName(met)
+    best = ranking.top_per_group(found, ["query_id"], [F.desc("similarity"), F.asc("key")], k, spread_by=F.col("key"))
+    return best.select("query_id", F.col("key").alias(key), "similarity", "rank_no")
 
 
 def match_insight(matches: DataFrame) -> DataFrame:

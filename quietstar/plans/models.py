@@ -13,13 +13,16 @@ from ..session import read_back
 def ml_metrics(labelled: DataFrame, index: DataFrame, trees: int = 300, folds: int = 5) -> DataFrame:
     """One row: churn scores and cross-validation, anomaly counts, forecast availability, index size."""
     spark = labelled.sparkSession
-    table = read_back(spark, churn.stratified_folds(churn.training_table(labelled), k=folds), "churn-table")
-    split = churn.stratified_split(table)
-    train, test = split.filter(~F.col("is_test")), split.filter("is_test")
-    model = churn.fit_churn(train, trees=trees)
+    folded = churn.stratified_folds(churn.training_table(labelled), k=folds)
+    table = read_back(spark, churn.stratified_split(folded), "churn-table")
+    numbers = churn.fold_numbers(table)
+    # The final model is number 0; those of the folds follow, all of one training.
+    training = [~F.col("is_test"), *[F.col("fold") != f for f in numbers]]
+    model = churn.fit_together(table, training, trees=trees)
+    train, test = table.filter(~F.col("is_test")), table.filter("is_test")
     scored = read_back(spark, churn.predict_churn(test, model), "churn-test")
     metrics = churn.classification_metrics(scored)
-    cv = churn.cross_validate(table, k=folds, trees=trees).agg(
+    cv = churn.fold_scores(table, numbers, model, first=1).agg(
         F.max("mean_auroc").alias("cv_auroc_mean"), F.max("std_auroc").alias("cv_auroc_std")
     )
     monthly = read_back(spark, trend.monthly_metrics(labelled), "monthly")
