@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import aspects, drilldown, strategy
-from ..plans import executive
+from ..plans import executive, topics
 from ..sources import adapters as A
 from .common import labelled, labelled_stage, rounded, stats, topical, topical_stage
 from .sql import CLEAN, query, rnd, words
@@ -60,6 +60,10 @@ def _topics(spark, sf):
     return assigned.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _texts(spark, sf):
+    return aspects.with_clean_text(A.reviews(spark, sf)).select("product_id", "review_id", "clean_text")
+
+
 def _purity(spark, sf):
     vectors = A.table(spark, sf, "embeddings")
     return aspects.cluster_purity(aspects.cluster_vectors(vectors, "embedding", k=10, min_size=20), "topic_id", "label")
@@ -107,6 +111,8 @@ QUERIES = {
     "topic_terms": lambda s, d: rounded(aspects.top_terms(_weights(s, d), 10)),
     "topic_labels": _topic_labels,
     "topic_clusters": _topics,
+    "product_topics": lambda s, d: rounded(topics.product_topics(_texts(s, d))),
+    "discovered_topics": lambda s, d: rounded(topics.discovered_topics(_texts(s, d), rules=A.ASPECTS)),
     "cluster_purity": _purity,
     "cluster_projection": _projection,
     "representative_quotes": _quotes,

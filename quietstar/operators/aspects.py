@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, maths, text
+from ..session import read_back
 from . import columns, ranking
 
 Rules = Sequence[tuple[str, Sequence[str]]]
@@ -113,11 +114,12 @@ def cluster_purity(df: DataFrame, cluster: str, truth: str) -> DataFrame:
 
 def class_tfidf(
     df: DataFrame, topic_col: str = "topic_label", text_col: str = "clean_text", bigrams: bool = True,
-    stop_words: Sequence[str] | None = None, damp: bool = True,
+    stop_words: Sequence[str] | None = None, damp: bool = True, by: Sequence[str] = (),
 ) -> DataFrame:
     """Term weights per topic: L1-normalised frequency (damped by a square root) times ln(1 + A/f).
 
-    Counts combine before every shuffle, so only (topic, term) and term rows travel.
+    The texts are read and split once: counts by topic and term combine before the shuffle and are stored, and sizes, corpus
+    counts and the mean size come from them. With ``by`` each such group is a corpus of its own.
     """
     stops = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else list(stop_words)
     words = F.filter(F.split(F.col(text_col), " "), lambda w: w != "")
@@ -125,37 +127,42 @@ def class_tfidf(
         kept = F.filter(words, lambda w: ~w.isin(*stops))
     else:
         kept = words
-    base = df.select(F.col(topic_col), kept.alias("_w"))
+    keys = list(by)
+    base = df.select(*keys, F.col(topic_col), kept.alias("_w"))
     if bigrams:
         # Each word beside its successor; the last word has none and yields no pair.
         successor = F.slice(F.col("_w"), F.lit(2), F.greatest(F.size("_w"), F.lit(1)))
-        beside = base.select(topic_col, F.explode(F.arrays_zip(F.col("_w").alias("a"), successor.alias("b"))).alias("p"))
+        beside = base.select(*keys, topic_col, F.explode(F.arrays_zip(F.col("_w").alias("a"), successor.alias("b"))).alias("p"))
         pair = F.concat("p.a", F.lit(" "), "p.b")
-        terms = beside.select(topic_col, F.explode(F.array("p.a", pair)).alias("term")).filter("term IS NOT NULL")
+        terms = beside.select(*keys, topic_col, F.explode(F.array("p.a", pair)).alias("term")).filter("term IS NOT NULL")
     else:
-        terms = base.select(topic_col, F.explode("_w").alias("term"))
-    tf = terms.groupBy(topic_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = tf.groupBy(topic_col).agg(F.sum("tf").alias("_size"))
-    corpus = tf.groupBy("term").agg(F.sum("tf").alias("_f"))
-    average = ranking.one_value(sizes.agg(F.avg("_size").alias("a")), "a")
+        terms = base.select(*keys, topic_col, F.explode("_w").alias("term"))
+    tf = read_back(df.sparkSession, terms.groupBy(*keys, topic_col, "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+    sizes = tf.groupBy(*keys, topic_col).agg(F.sum("tf").alias("_size"))
+    corpus = tf.groupBy(*keys, "term").agg(F.sum("tf").alias("_f"))
+    if keys:
+        sizes = sizes.withColumn("_average", F.avg("_size").over(W.partitionBy(*keys)))
+        average = F.col("_average")
+    else:
+        average = ranking.one_value(sizes.agg(F.avg("_size").alias("a")), "a")
     share = F.col("tf") / F.col("_size")
     weight = (F.sqrt(share) if damp else share) * F.log(1 + average / F.col("_f"))
-    return tf.join(sizes, topic_col).join(corpus, "term").select(topic_col, "term", "tf", weight.alias("weight"))
+    return tf.join(sizes, [*keys, topic_col]).join(corpus, [*keys, "term"]).select(*keys, topic_col, "term", "tf", weight.alias("weight"))
 
 
-def top_terms(weights: DataFrame, k: int = 10, topic_col: str = "topic_label") -> DataFrame:
-    return ranking.top_per_group(weights, [topic_col], [F.desc(F.round("weight", 9)), F.asc("term")], k)
+def top_terms(weights: DataFrame, k: int = 10, topic_col: str = "topic_label", by: Sequence[str] = ()) -> DataFrame:
+    return ranking.top_per_group(weights, [*by, topic_col], [F.desc(F.round("weight", 9)), F.asc("term")], k)
 
 
 def label_topics(
-    terms: DataFrame, rules: Rules = fixed.ASPECT_RULES, overrides: Mapping[str, str] = fixed.ASPECT_OVERRIDES,
+    terms: DataFrame, rules: Rules = fixed.ASPECT_RULES, overrides: Mapping[str, str] = fixed.ASPECT_OVERRIDES, by: Sequence[str] = (),
 ) -> DataFrame:
-    """Name each topic after the rule that shares most of its top terms.
+    """Name each topic (of each group of ``by``) after the rule that shares most of its top terms.
 
     ``terms``: topic_id, term, rank_no. The first best rule wins; without any overlap the name is
     "Aspect N+1", then ``overrides`` applies. A topic has at most ten top terms.
     """
-    words = terms.filter("rank_no <= 10").groupBy("topic_id").agg(F.collect_set("term").alias("_terms"))
+    words = terms.filter("rank_no <= 10").groupBy(*by, "topic_id").agg(F.collect_set("term").alias("_terms"))
     overlaps = [
         F.size(F.array_intersect(F.col("_terms"), F.array(*[F.lit(w) for w in synonyms]))) for _, synonyms in rules
     ]
@@ -167,7 +174,7 @@ def label_topics(
     return (
         words.withColumn("_auto", automatic)
         .withColumn("topic_label", F.when(F.col("topic_id") == fixed.OUTLIER_TOPIC, fixed.OUTLIER_LABEL).otherwise(override))
-        .select("topic_id", "topic_label", top.cast("bigint").alias("overlap"))
+        .select(*by, "topic_id", "topic_label", top.cast("bigint").alias("overlap"))
     )
 
 
