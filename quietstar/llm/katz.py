@@ -23,7 +23,9 @@ learned text every token is unknown and has probability one; an empty table give
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_back
+from ..session import read_back, shared_dir
 from . import common as C
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Tokens for each bucket of keys.
 BUCKET = 1 << 21
 LARGE = 5
@@ -337,6 +339,18 @@ def _finish(train_tokens: int):
     return run
 
 
+@contextmanager
+def _by_chunk_table(spark: SparkSession, chunks: DataFrame) -> Iterator[DataFrame]:
+    """The chunks as a table bucketed by chunk in the shared folder: answers come to them, so the texts are never shuffled."""
+    name = f"chunks_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks.write.bucketBy(parts, "chunk").option("path", shared_dir(spark, "chunks")).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def _gathered(answers: DataFrame, name: str, *columns: str) -> DataFrame:
     """A chunk's answers side by side."""
     return answers.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("bucket", *columns)).alias(name))
@@ -351,10 +365,8 @@ def katz_scores(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.select("id", "text", F.coalesce(learnable, F.lit(False)).alias("learn"))
-    with C.small_batches(spark):
-        chunks = read_back(spark, rows.mapInArrow(_to_chunks(chunk), _CHUNKS), "chunks")
-    # A row is a chunk from here on, and a task's batch one of them.
-    with C.small_batches(spark, 1):
+    with C.small_batches(spark), _by_chunk_table(spark, rows.mapInArrow(_to_chunks(chunk), _CHUNKS)) as chunks, C.small_batches(spark, 1):
+        # A row is a chunk from here on, and a task's batch one of them.
         size = chunks.agg(F.count(F.lit(1)), F.sum(F.size(F.filter("learn", lambda x: x)))).first()
         texts = int(size[1] or 0)
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size[0] * chunk // BUCKET)
@@ -367,7 +379,7 @@ def katz_scores(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text
         asked = parts.where("bucket IS NOT NULL").select("bucket", "chunk", "keys", "followers", "kept", "backed", "wanted")
         weights = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_weigh, "chunk long, bucket int, logs binary")
         weights = read_back(spark, weights, "weights")
-        scored = parts.where("bucket IS NULL").drop("bucket").join(chunks.select("chunk", "learn"), "chunk")
+        scored = parts.where("bucket IS NULL").drop("bucket", "keys", "followers", "kept", "backed", "wanted").join(chunks.select("chunk", "learn"), "chunk")
         scored = scored.join(_gathered(weights, "weights", "logs"), "chunk", "left")
         out = "id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
         done = read_back(spark, scored.mapInArrow(_finish(word.total), out), "scored")
