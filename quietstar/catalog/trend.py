@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import anomalies, forecast, trend
+from ..session import read_back
 from .common import labelled, lines_flagged, rounded
 from .sql import query, rnd
 
@@ -16,6 +17,11 @@ def _monthly(spark, sf):
     return trend.monthly_metrics(labelled(spark, sf))
 
 
+def _stored(spark, sf):
+    """Monthly rows written once, for what reads them more than once."""
+    return read_back(spark, _monthly(spark, sf), "monthly")
+
+
 def _text_month(df, *columns, digits=6):
     return rounded(df.select("product_id", F.date_format("month", "yyyy-MM-dd").alias("month"), *columns), digits)
 
@@ -28,8 +34,8 @@ def _overall(spark, sf, width=3, min_rows=3):
     )
 
 
-def _forecast(spark, sf, resamples=500):
-    return forecast.forecast(_monthly(spark, sf), resamples=resamples)
+def _forecast(spark, sf, interval=True):
+    return forecast.forecast(_stored(spark, sf), interval=interval)
 
 
 QUERIES = {
@@ -59,21 +65,19 @@ QUERIES = {
         F.coalesce("smooth_sentiment", F.lit(-9.0)).alias("smooth_sentiment"),
         F.coalesce("sentiment_delta", F.lit(-9.0)).alias("sentiment_delta"), "is_changepoint",
     ),
-    "monthly_anomalies": lambda s, d: anomalies.isolation_forest(_monthly(s, d)).select(
+    "monthly_anomalies": lambda s, d: anomalies.isolation_forest(_stored(s, d)).select(
         "product_id", "month", "review_count", "anomaly_score", "anomaly_prob", "is_anomaly"
     ),
     "monthly_anomalies_robust": lambda s, d: _text_month(
         anomalies.robust_anomaly(_monthly(s, d)), "robust_z", "is_anomaly", digits=9
     ),
-    "top_anomalies": lambda s, d: anomalies.top_anomalies(anomalies.isolation_forest(_monthly(s, d))).select(
+    "top_anomalies": lambda s, d: anomalies.top_anomalies(anomalies.isolation_forest(_stored(s, d))).select(
         "product_id", "rank_no", "month", "anomaly_prob"
     ),
-    "sentiment_forecast": lambda s, d: rounded(_forecast(s, d, 1).select(
+    "sentiment_forecast": lambda s, d: rounded(_forecast(s, d, interval=False).select(
         "product_id", F.date_format("month", "yyyy-MM-dd").alias("month"), "fitted", "is_forecast", "direction"
     ), 5),
-    "forecast_bootstrap_ci": lambda s, d: _forecast(s, d).filter("is_forecast").select(
-        "product_id", "month", "fitted", "ci_lo", "ci_hi"
-    ),
+    "forecast_bootstrap_ci": lambda s, d: _text_month(_forecast(s, d).filter("is_forecast"), "fitted", "ci_lo", "ci_hi", digits=5),
     "forecast_sufficient_stats": lambda s, d: rounded(forecast.sufficient_stats(_monthly(s, d))),
 }
 
@@ -128,7 +132,43 @@ _FIT = {
         FROM horizon JOIN solved USING (product_id)""",
 }
 
+_AWAY = {1: "p.x", 2: "p.x * p.x", 3: "p.x * p.x * p.x"}
+
+
+def _fold(value: str) -> str:
+    return f"list_reduce(list_transform(picks, lambda p: {value}), lambda a, b: a + b)"
+
+
+# The same fit over months picked by digests, 500 times, folded in the same order.
+_BOOT = {
+    **_FIT,
+    "series": """
+        SELECT product_id, list(struct_pack(x := x1, y := round(y, 9)) ORDER BY month) AS points, max(c) AS c, max(t) AS t_last, max(n)::bigint AS n, max(month) AS last_month
+        FROM placed GROUP BY ALL""",
+    "resampled": """
+        SELECT product_id, r, c, t_last, n,
+          list_transform(range(n), lambda j: points[1 + ('0x' || substr(md5(product_id || '|' || r::varchar || '|' || j::varchar || '|42'), 1, 8))::bigint % n]) AS picks
+        FROM series, (SELECT unnest(range(500)) AS r)""",
+    "boot_means": f"SELECT *, {_fold('p.y')} / n AS m0, " + ", ".join(f"{_fold(_AWAY[i])} / n AS m{i}" for i in (1, 2, 3)) + " FROM resampled",
+    "boot_sums": "SELECT * EXCLUDE (picks), " + ", ".join(
+        _fold(f"({_AWAY[i]} - m{i}) * ({_AWAY[j]} - m{j})") + (f" + 10 / ({' * '.join(['c'] * (2 * i))})" if i == j else "") + f" AS a{i}{j}"
+        for i in (1, 2, 3) for j in (1, 2, 3) if j >= i
+    ) + ", " + ", ".join(_fold(f"({_AWAY[i]} - m{i}) * (p.y - m0)") + f" AS b{i}" for i in (1, 2, 3)) + " FROM boot_means",
+    "boot_first": "SELECT * REPLACE (a22 - a12 / a11 * a12 AS a22, a23 - a12 / a11 * a13 AS a23, b2 - a12 / a11 * b1 AS b2, a33 - a13 / a11 * a13 AS a33, b3 - a13 / a11 * b1 AS b3) FROM boot_sums",
+    "boot_second": "SELECT * REPLACE (a33 - a23 / a22 * a23 AS a33, b3 - a23 / a22 * b2 AS b3) FROM boot_first",
+    "boot_third": "SELECT *, coalesce(b3 / nullif(a33, 0), 0) AS k3 FROM boot_second",
+    "boot_fourth": "SELECT *, coalesce((b2 - a23 * k3) / nullif(a22, 0), 0) AS k2 FROM boot_third",
+    "boot_fits": "SELECT *, coalesce((b1 - a12 * k2 - a13 * k3) / nullif(a11, 0), 0) AS k1 FROM boot_fourth",
+    "boot_values": """
+        SELECT product_id, i, m0 + k1 * (x - m1) + k2 * (x * x - m2) + k3 * (x * x * x - m3) AS v
+        FROM (SELECT *, (t_last + 30 * i) / c AS x FROM boot_fits, (SELECT unnest(generate_series(1, 6)) AS i))""",
+    "bounds": "SELECT product_id, i, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM boot_values GROUP BY ALL",
+}
+
 ORACLES = {
+    "forecast_bootstrap_ci": query(f"""
+        SELECT product_id, strftime(month, '%Y-%m-%d') AS month, {rnd("fitted", "fitted", 5)}, {rnd("lo", "ci_lo", 5)}, {rnd("hi", "ci_hi", 5)}
+        FROM fits JOIN bounds USING (product_id, i) WHERE is_forecast""", **_BOOT),
     "monthly_metrics": query(f"SELECT product_id, {_M}, review_count, sk_count, " + ", ".join(
         rnd(c, c) for c in ("mean_sentiment", "mean_anger", "mean_sadness", "sk_rate", "urgency")) + " FROM monthly"),
     "monthly_sk_join": query(f"""

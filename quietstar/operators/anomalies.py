@@ -1,96 +1,125 @@
 """Unusual months: isolation forest and a robust companion score.
 
 Both run on monthly rows, so a product's group is its calendar (a few hundred rows), not its reviews.
+
+The forest is grown for all products and trees together: a month stands once in each tree of its product, and each level of all
+trees is one window over (product, tree, node), for which the rows are laid out once. Trees are independent rows, so no product is
+bound to one task. Draws are hashes of product, tree and node: the same months give the same forest in any partitioning.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import columns
+from . import ranking
 
 FEATURES = ("mean_sentiment", "sk_rate", "urgency", "review_count")
+EULER = 0.5772156649015329
 
 
-def _average_path(n: np.ndarray | float) -> np.ndarray:
+def average_path(n: Column) -> Column:
     """Mean depth of an unsuccessful search in a binary tree of ``n`` points."""
-    n = np.asarray(n, dtype=float)
-    safe = np.maximum(n, 3)
-    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, 2 * (np.log(safe - 1) + np.euler_gamma) - 2 * (safe - 1) / safe))
-
-
-def _forest_scores(points: np.ndarray, trees: int, seed: int) -> np.ndarray:
-    """Anomaly score of every point; all trees grow together, one level at a time."""
-    rng = np.random.default_rng(seed)
-    n, width = points.shape
-    size = min(256, n)
-    limit = int(np.ceil(np.log2(max(size, 2))))
-    picks = np.argsort(rng.random((trees, n)), axis=1)[:, :size]
-    sample = points[picks].reshape(-1, width)
-    everything = np.tile(points, (trees, 1))
-    # Node of each row within its level, -1 once it has reached a leaf.
-    own, routed = np.zeros(trees * size, dtype=int), np.zeros(trees * n, dtype=int)
-    own_tree, routed_tree = np.repeat(np.arange(trees), size), np.repeat(np.arange(trees), n)
-    depth = np.zeros(trees * n)
-    for level in range(limit + 1):
-        slots = trees * 2 ** level
-        live, moving = np.flatnonzero(own >= 0), np.flatnonzero(routed >= 0)
-        node, at = own_tree[live] * 2 ** level + own[live], routed_tree[moving] * 2 ** level + routed[moving]
-        count = np.bincount(node, minlength=slots)
-        low, high = np.full((slots, width), np.inf), np.full((slots, width), -np.inf)
-        np.minimum.at(low, node, sample[live])
-        np.maximum.at(high, node, sample[live])
-        usable = high > low
-        leaf = (count <= 1) | ~usable.any(axis=1) | (level == limit)
-        ending = leaf[at]
-        depth[moving[ending]] = level + _average_path(count[at[ending]])
-        feature = np.where(usable, rng.random((slots, width)), -1.0).argmax(axis=1)
-        row = np.arange(slots)
-        floor = np.where(leaf, 0.0, low[row, feature])
-        cut = floor + rng.random(slots) * np.where(leaf, 0.0, high[row, feature] - floor)
-        own[live] = np.where(leaf[node], -1, 2 * own[live] + (sample[live, feature[node]] > cut[node]))
-        routed[moving] = np.where(ending, -1, 2 * routed[moving] + (everything[moving, feature[at]] > cut[at]))
-    norm = float(_average_path(size))
-    mean_depth = depth.reshape(trees, n).mean(axis=0)
-    return np.power(2.0, -mean_depth / norm) if norm > 0 else np.full(n, 0.5)
+    m = F.greatest(n, F.lit(3)).cast("double")
+    return F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(2 * (F.log(m - 1) + EULER) - 2 * (m - 1) / m)
+
+
+def draw(*parts: Column) -> Column:
+    """A number from 0 up to 1 from a hash of ``parts``."""
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)).cast("double") / float(1 << 53)
+
+
+def _values(features: Sequence[str]) -> list[Column]:
+    return [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(features)]
+
+
+def grow_forest(
+    monthly: DataFrame, features: Sequence[str] = FEATURES, by: Sequence[str] = ("product_id",), trees: int = 200, sample: int = 256, seed: int = 42,
+) -> DataFrame:
+    """A row per month and tree: ``tree``, ``_size`` (months the tree is grown from, at most ``sample``), ``depth`` at which the
+    month is isolated, and ``path``: its nodes as (node, feature, cut, n), a leaf having no feature."""
+    keys = [F.col(c) for c in by]
+    per_product, per_tree = W.partitionBy(*keys), W.partitionBy(*keys, "tree")
+    rows = monthly.select(*keys, "month", *_values(features)).withColumn("_n", F.count(F.lit(1)).over(per_product))
+    rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).repartition(*keys, "tree")
+    place = F.row_number().over(per_tree.orderBy(F.xxhash64(*keys, "tree", "month", F.lit(seed)), "month"))
+    rows = rows.withColumn("_drawn", (F.col("_n") <= sample) | (place <= sample)).withColumn("_size", F.least(F.col("_n"), F.lit(sample)))
+    rows = rows.withColumns({"_node": F.lit(0).cast("long"), "depth": F.lit(None).cast("double"), "path": F.array().cast("array<struct<node:bigint,feature:int,cut:double,n:bigint>>")})
+    limit = F.ceil(F.log2(F.greatest("_size", F.lit(2)).cast("double")))
+    own = range(len(features))
+    for level in range(math.ceil(math.log2(max(sample, 2))) + 1):
+        in_node = W.partitionBy(*keys, "tree", "_node")
+        seen = lambda f, c: f(F.when(F.col("_drawn"), F.col(c))).over(in_node)
+        rows = rows.withColumns({"_count": F.count_if("_drawn").over(in_node)} | {f"_lo{i}": seen(F.min, f"_x{i}") for i in own} | {f"_hi{i}": seen(F.max, f"_x{i}") for i in own})
+        luck = [F.when(F.col(f"_hi{i}") > F.col(f"_lo{i}"), draw(*keys, F.col("tree"), F.col("_node"), F.lit(i), F.lit(seed))).otherwise(-1.0) for i in own]
+        best = F.greatest(*luck) if len(luck) > 1 else luck[0]
+        rows = rows.withColumn("_best", best)
+        feature = F.coalesce(*[F.when(x == F.col("_best"), F.lit(i)) for i, x in enumerate(luck)])
+        leaf = (F.col("_count") <= 1) | (F.col("_best") < 0) | (F.lit(level) >= limit)
+        rows = rows.withColumns({"_feature": F.when(~leaf, feature), "_done": F.col("depth").isNotNull()})
+        pick = lambda prefix: F.coalesce(*[F.when(F.col("_feature") == i, F.col(f"{prefix}{i}")) for i in own])
+        cut = pick("_lo") + draw(*keys, F.col("tree"), F.col("_node"), F.lit(-1), F.lit(seed)) * (pick("_hi") - pick("_lo"))
+        rows = rows.withColumns({"_cut": cut, "_value": pick("_x")})
+        step = F.struct(F.col("_node").alias("node"), F.col("_feature").alias("feature"), F.col("_cut").alias("cut"), F.col("_count").alias("n"))
+        rows = rows.withColumns({
+            "path": F.when(F.col("_done"), F.col("path")).otherwise(F.array_append("path", step)),
+            "depth": F.when(~F.col("_done") & F.col("_feature").isNull(), level + average_path(F.col("_count"))).otherwise(F.col("depth")),
+            "_node": F.when(F.col("_done") | F.col("_feature").isNull(), F.col("_node")).otherwise(2 * F.col("_node") + 1 + (F.col("_value") > F.col("_cut")).cast("long")),
+        })
+    return rows.select(*by, "month", "tree", "_size", "depth", "path")
+
+
+def forest_nodes(grown: DataFrame, by: Sequence[str] = ("product_id",)) -> DataFrame:
+    """The forest as a table of nodes: keys, ``tree``, ``_size``, ``node`` (children of ``i`` are ``2i+1`` and ``2i+2``), ``feature``
+    and ``cut``, or ``n`` months in a leaf."""
+    return grown.select(*by, "tree", "_size", F.explode("path").alias("p")).select(*by, "tree", "_size", "p.*").distinct()
+
+
+def route(months: DataFrame, nodes: DataFrame, features: Sequence[str] = FEATURES, by: Sequence[str] = ("product_id",), levels: int = 8) -> DataFrame:
+    """``depth`` at which a stored forest isolates each of ``months``, per tree, by a join for each level."""
+    roots = nodes.where("node = 0").select(*by, "tree", "_size")
+    rows = months.select(*by, "month", *_values(features)).join(roots, list(by)).withColumns({"_node": F.lit(0).cast("long"), "depth": F.lit(None).cast("double")})
+    table = nodes.select(*by, "tree", F.col("node").alias("_node"), "feature", "cut", "n")
+    for level in range(levels + 1):
+        rows = rows.join(table, [*by, "tree", "_node"], "left")
+        value = F.coalesce(*[F.when(F.col("feature") == i, F.col(f"_x{i}")) for i in range(len(features))])
+        # A side that no month of the forest went to has no node: a leaf of none.
+        ends = F.col("depth").isNull() & F.col("feature").isNull()
+        rows = rows.withColumns({
+            "depth": F.when(ends, level + average_path(F.coalesce("n", F.lit(0)))).otherwise(F.col("depth")),
+            "_node": F.when(F.col("feature").isNull(), F.lit(-1)).otherwise(2 * F.col("_node") + 1 + (value > F.col("cut")).cast("long")),
+        }).drop("feature", "cut", "n")
+    return rows.select(*by, "month", "tree", "_size", "depth")
+
+
+def path_scores(depths: DataFrame, by: Sequence[str] = ("product_id",)) -> DataFrame:
+    """``anomaly_prob`` per month: near one where trees isolate it early, one half where nothing can be told."""
+    mean = depths.groupBy(*by, "month").agg(F.avg("depth").alias("_depth"), F.max("_size").alias("_size"))
+    norm = average_path(F.col("_size"))
+    return mean.select(*by, "month", F.when(norm > 0, F.round(F.pow(F.lit(2.0), -F.col("_depth") / norm), 9)).otherwise(0.5).alias("anomaly_prob"))
 
 
 def isolation_forest(
     monthly: DataFrame, features: Sequence[str] = FEATURES, by: Sequence[str] = ("product_id",), trees: int = 200,
-    contamination: float = 0.1, seed: int = 42,
+    contamination: float = 0.1, seed: int = 42, sample: int = 256,
 ) -> DataFrame:
     """Anomaly label (-1 or 1), score (higher is stranger) and flag per month of each product.
 
-    One forest per product, grown where its months are; rows are flagged when their score lies above
+    One forest per product, each tree grown from at most ``sample`` of its months; rows are flagged when their score lies above
     the (1 - contamination) percentile of their own product.
     """
-    names, keys = list(features), list(by)
-    schema = T.StructType(
-        monthly.schema.fields
-        + [
-            T.StructField("anomaly_score", T.IntegerType()),
-            T.StructField("anomaly_prob", T.DoubleType()),
-            T.StructField("is_anomaly", T.BooleanType()),
-        ]
+    scores = path_scores(grow_forest(monthly, features, by, trees, sample, seed), by)
+    bar = F.percentile("anomaly_prob", F.lit(1 - contamination)).over(W.partitionBy(*by))
+    flagged = scores.withColumn("is_anomaly", F.col("anomaly_prob") > bar)
+    out = monthly.join(flagged, [*by, "month"])
+    return out.select(
+        *[monthly[c] for c in monthly.columns], F.when(F.col("is_anomaly"), -1).otherwise(1).alias("anomaly_score"), "anomaly_prob", "is_anomaly"
     )
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("month").reset_index(drop=True)
-        own = seed + zlib.crc32("|".join(str(frame[k].iloc[0]) for k in keys).encode())
-        with np.errstate(invalid="ignore"):
-            score = _forest_scores(frame[names].astype(float).fillna(0.0).to_numpy(), trees, own)
-        flag = score > np.percentile(score, 100 * (1 - contamination))
-        return frame.assign(anomaly_score=np.where(flag, -1, 1).astype("int32"), anomaly_prob=score, is_anomaly=flag)
-
-    return columns.spread_groups(monthly, keys).groupBy(*keys).applyInPandas(run, schema)
-
 
 def robust_anomaly(
     monthly: DataFrame, features: Sequence[str] = FEATURES, by: Sequence[str] = ("product_id",), bar: float = 3.5
@@ -113,7 +142,5 @@ def robust_anomaly(
 
 
 def top_anomalies(scored: DataFrame, n: int = 3, by: Sequence[str] = ("product_id",)) -> DataFrame:
-    from . import ranking
-
     order = [F.desc(F.round("anomaly_prob", 9)), F.asc("month")]
     return ranking.top_per_group(scored.filter("is_anomaly"), by, order, n)
