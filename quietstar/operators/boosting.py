@@ -5,7 +5,8 @@ round costs as much as there are distinct cells and not as there are rows. Each
 stored cells that adds up the gradient histograms of all models together (the folds of a cross-validation and the final model,
 told apart by a bit each); only the histograms, whose size rests on the parameters alone, reach the driver, which picks the
 splits. Running margins stay in the tasks and are written to the shared folder every ``WRITTEN`` rounds, which keeps the plan
-short and survives lost executors.
+short and survives lost executors. Up to ``CELLS`` cells, counted first, are one block; there is nothing to add up then, and the
+same steps run in a task for each model, many rounds at a time, to the same trees.
 
 Gradients are rounded to a fixed grain, so sums don't rest on the order in which tasks end, and rows are drawn by a hash of
 their cell: the same table gives the same trees however it is partitioned.
@@ -14,7 +15,7 @@ their cell: the same table gives the same trees however it is partitioned.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 from ..session import read_back
 from . import ranking
 
-#: Cells for one task, and rounds between two writes of the margins.
+#: Cells for one task, and rounds between two writes of the margins: where jobs add up blocks, and where one block is all.
 CELLS = 500_000
 WRITTEN = 16
+TOGETHER = 50
 GRAIN = float(1 << 20)
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,6 +73,19 @@ def _to_block(models: int):
     return run
 
 
+def _each_block(run: Callable[[int, dict], tuple[list, dict]]):
+    """Trees and the block after them, of each model's block."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for model, packed in zip(batch.column(0), batch.column(1), strict=True):
+                done = [pickle.dumps(x) for x in run(model.as_py(), pickle.loads(packed.as_py()))]
+                columns = [pa.array([model.as_py()], pa.int32()), *[pa.array([x], pa.binary()) for x in done]]
+                yield pa.RecordBatch.from_arrays(columns, ["model", "trees", "block"])
+
+    return work
+
+
 def _mixed(parts: np.ndarray) -> np.ndarray:
     out = np.zeros(parts.shape[1], np.uint64)
     for part in parts:
@@ -139,23 +154,43 @@ def _advance(tree: Tree, depth: int, block: dict) -> dict:
     return block | {"margin": margin}
 
 
-def _histograms(tree: Tree, level: int, bins: int, weights: list[float], share: float, salts: tuple[int, int], block: dict) -> np.ndarray:
+#: Numbers of models and what their positive rows weigh.
+Models = Sequence[tuple[int, float]]
+
+
+def _gradients(models: Models, share: float, salts: tuple[int, int], block: dict) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each model the cells it learns from in a round, with their gradients and curvatures."""
+    out = []
+    for i, (m, weight) in enumerate(models):
+        some = np.flatnonzero(block["mask"] >> m & 1)
+        label = block["label"][some]
+        rows = drawn_rows(block["own"][some], block["rows"][some], share, *salts, m) * np.where(label > 0, weight, 1.0)
+        chance = 1 / (1 + np.exp(-block["margin"][i, some]))
+        out.append((some, *(np.rint(x * GRAIN) / GRAIN for x in (rows * (chance - label), rows * chance * (1 - chance)))))
+    return out
+
+
+def _histograms(tree: Tree, level: int, bins: int, gradients: list[tuple[np.ndarray, np.ndarray, np.ndarray]], block: dict) -> np.ndarray:
     """Sums of gradient and curvature by model, node of ``level``, feature and bin."""
-    codes, first = block["bins"], 2**level - 1
-    out = np.zeros((len(weights), 2**level, len(codes), bins, 2))
-    for m, weight in enumerate(weights):
-        node = descend(codes, tree.feature[m], tree.threshold[m], level) - first
-        some = np.flatnonzero((block["mask"] >> m & 1 > 0) & (node >= 0))
-        rows = drawn_rows(block["own"][some], block["rows"][some], share, *salts, m) * np.where(block["label"][some] > 0, weight, 1.0)
-        chance = 1 / (1 + np.exp(-block["margin"][m, some]))
-        sums = [np.rint(x * GRAIN) / GRAIN for x in (rows * (chance - block["label"][some]), rows * chance * (1 - chance))]
-        for f in range(len(codes)):
-            key = node[some] * bins + codes[f, some]
-            for i, x in enumerate(sums):
-                out[m, :, f, :, i] = np.bincount(key, x, minlength=2**level * bins).reshape(-1, bins)
+    first, width = 2**level - 1, len(block["bins"])
+    out = np.zeros((len(gradients), 2**level, width, bins, 2))
+    for i, (some, *sums) in enumerate(gradients):
+        codes = block["bins"][:, some]
+        node = descend(codes, tree.feature[i], tree.threshold[i], level) - first
+        there = node >= 0
+        if not there.all():
+            codes, node, sums = codes[:, there], node[there], [x[there] for x in sums]
+        for f in range(width):
+            key = node * bins + codes[f]
+            for j, x in enumerate(sums):
+                out[i, :, f, :, j] = np.bincount(key, x, minlength=2**level * bins).reshape(-1, bins)
     return out
 
 
+def _block_sums(tree: Tree, level: int, bins: int, models: Models, share: float, salts: tuple[int, int], block: dict) -> np.ndarray:
+    return _histograms(tree, level, bins, _gradients(models, share, salts, block), block)
+
+
 # training -----------------------------------------------------------------------------------
 
 
@@ -258,11 +293,43 @@ class GBTClassifier:
         if not totals[0]:
             return model
         parts = -(-totals[0] // CELLS)
-        blocks = read_back(spark, cells.repartition(parts, *[c for c in cells.columns if c != "rows"]).mapInArrow(_to_block(models), "block binary"), "blocks")
-        state, filled = self._state(blocks), []
+        alone = parts == 1
+        laid = cells.repartition(parts, *[c for c in cells.columns if c != "rows"])
+        blocks = read_back(spark, laid.mapInArrow(_to_block(1 if alone else models), "block binary"), "blocks")
+        grow = self._in_one_task if alone else self._over_tasks
+        model.rounds.extend(grow(spark, blocks, list(enumerate(weights)), max(len(e) for e in edges) + 1))
+        return model
+
+    def _in_one_task(self, spark: SparkSession, blocks: DataFrame, models: Models, bins: int) -> list[Tree]:
+        """One block holds all cells, so its sums are complete: a task for each model goes on by itself for ``TOGETHER`` rounds."""
+        out: list[Tree] = []
+        blocks = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(len(models) - 1))).alias("model"), "block").repartition(len(models))
+        for first in range(0, self.rounds, TOGETHER):
+            run = partial(self._rounds, range(first, min(first + TOGETHER, self.rounds)), models, bins)
+            done = read_back(spark, blocks.mapInArrow(_each_block(run), "model int, trees binary, block binary"), "rounds")
+            grown = [pickle.loads(row[0]) for row in done.orderBy("model").select("trees").collect()]
+            out.extend(Tree(*map(np.concatenate, zip(*trees, strict=True))) for trees in zip(*grown, strict=True))
+            blocks = done.select("model", "block")
+        return out
+
+    def _rounds(self, numbers: range, models: Models, bins: int, model: int, block: dict) -> tuple[list[tuple], dict]:
+        trees: list[Tree] = []
+        for number in numbers:
+            gradients = _gradients([models[model]], self.row_share, (self.seed, number), block)
+            sums = lambda tree, level, block=block, gradients=gradients: _histograms(tree, level, bins, gradients, block)
+            trees.append(self._grow(sums, number, len(models), [model]))
+            block = _advance(trees[-1], self.depth, block)
+        return [(t.feature, t.threshold, t.value, t.gain) for t in trees], block
+
+    def _over_tasks(self, spark: SparkSession, blocks: DataFrame, models: Models, bins: int) -> list[Tree]:
+        """A job for each level adds up the sums of all blocks."""
+        state, filled, out = self._state(blocks), [], []
         for number in range(self.rounds):
-            tree = self._grow(state, number, weights, edges)
-            model.rounds.append(tree)
+            sums = lambda tree, level, state=state, number=number: state.map(
+                partial(_block_sums, tree, level, bins, models, self.row_share, (self.seed, number))
+            ).treeReduce(np.add)
+            tree = self._grow(sums, number, len(models), range(len(models)))
+            out.append(tree)
             # The first job of a round fills its state from the one before, which can go then.
             for old in filled:
                 old.unpersist()
@@ -272,23 +339,24 @@ class GBTClassifier:
                 filled, state = [*filled, state], self._state(read_back(spark, packed, "margins"))
         for old in [*filled, state]:
             old.unpersist()
-        return model
+        return out
 
     def _state(self, blocks: DataFrame) -> RDD:
         return blocks.rdd.map(lambda r: pickle.loads(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def _grow(self, state: RDD, number: int, weights: list[float], edges: list[list[float]]) -> Tree:
-        models, width = len(weights), len(self.features)
+    def _grow(self, sums_of: Callable[[Tree, int], np.ndarray], number: int, total: int, grown: Sequence[int]) -> Tree:
+        """A tree for each of the models ``grown`` of ``total``; ``sums_of`` gives the histograms of a level of the tree so far."""
+        width = len(self.features)
         draw = np.random.default_rng([self.seed, number])
         taken = max(1, round(self.feature_share * width))
-        allowed = np.zeros((models, width), bool)
-        for m in range(models):
+        allowed = np.zeros((total, width), bool)
+        for m in range(total):
             allowed[m, draw.permutation(width)[:taken]] = True
+        allowed, models = allowed[list(grown)], len(grown)
         tree = Tree.empty(models, self.depth)
-        bins = max(len(e) for e in edges) + 1
         alive = np.ones((models, 1), bool)
         for level in range(self.depth):
-            sums = state.map(partial(_histograms, tree, level, bins, weights, self.row_share, (self.seed, number))).treeReduce(np.add)
+            sums = sums_of(tree, level)
             first = 2**level - 1
             if level == 0:
                 whole = sums[:, 0, 0].sum(axis=1)
