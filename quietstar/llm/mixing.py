@@ -7,11 +7,12 @@ evaluates ``2^LEVELS - 1`` exponents between the bounds, which is as good as ``L
 driver, not the sources.
 
 *Realisation.* Documents fall into ``2^BLOCK_BITS`` blocks of their source by a digest of their id. For each pass over a source
-the blocks are permuted by a digest; whole blocks are taken while they fit the source's budget, and of the block that doesn't
-fit whole, documents in digest order while they fit. Token sums by (source, block) are combined on the map side, so a source
-with a third of all rows is as many small rows as any other; no window holds more than a source's blocks or one block's
-documents by their digests. A copy's ``stream_block`` is its place in the mixture: each of the ``STREAM_BLOCKS`` blocks holds
-every source in proportion to its weight.
+the blocks are permuted by a digest; whole blocks are taken while they fit the source's budget. Of the block that doesn't fit
+whole, documents are taken in digest order while they fit; what is too long is skipped, and the shortest of the rest fill the room
+that is left. A source with a budget of which no document with tokens fits gets its first one, so it is never missing. Token sums
+by (source, block) are combined on the map side, so a source with a third of all rows is as many small rows as any other; no
+window holds more than a source's blocks or one block's documents by their digests. A copy's ``stream_block`` is its place in the
+mixture: each of the ``STREAM_BLOCKS`` blocks holds every source in proportion to its weight.
 
 Defined results: a null source is a source of its own; null or wordless texts have no tokens and are taken with their block; a
 source without tokens is not drawn; rows repeated with one id share their digest and are taken or left together; an empty
@@ -131,24 +132,39 @@ def mix_sources(
     planned = planned.where("before < take").withColumn("room", F.col("take") - F.col("before"))
     planned = read_back(spark, planned.select("source", "block", "epoch", "before", "take", "t", "room"), "planned")
 
-    # One block of a source at most fits in part: its documents are taken in digest order while they fit.
-    part = planned.where("t > room").select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "room")
-    inside = narrow.join(part, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).groupBy("source", "block", "epoch", "room", "key").agg(F.sum("t").alias("t"))
-    upto = W.partitionBy("source", "block", "epoch").orderBy("key")
-    cut = inside.withColumn("upto", F.sum("t").over(upto)).where("upto <= room").groupBy("source", "block", "epoch").agg(F.max("key").alias("last"))
-    cut = cut.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("epoch").alias("e"), "last")
-    on = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")) & (F.col("epoch") == F.col("e"))
-    limit = F.when(F.col("t") <= F.col("room"), F.lit((1 << 60) - 1)).otherwise(F.coalesce("last", F.lit(-1)))
-    plan = planned.join(cut, on, "left").select(
-        F.col("source").alias("s"), F.col("block").alias("b"), "epoch", limit.alias("limit"),
-        F.least(F.floor(F.col("before") * STREAM_BLOCKS / F.col("take")), F.lit(STREAM_BLOCKS - 1)).cast("int").alias("stream_block"),
-    ).where("limit >= 0")
-    plan = read_back(spark, plan, "plan")
+    # One block of a source at most fits in part.
+    part = planned.where("t > room").select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "room", "before", "take")
+    at_part = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
+    inside = narrow.join(part, at_part).groupBy("source", "block", "epoch", "room", "before", "take", "key").agg(F.sum("t").alias("t"))
+    chosen = read_back(spark, _fitting(inside).withColumn("stream_block", _stream_block()), "chosen")
+    chosen = chosen.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("key").alias("k"), "epoch", "stream_block")
+    whole = planned.where("t <= room").select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", _stream_block().alias("stream_block"))
+    whole = read_back(spark, whole, "plan")
 
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in named]).alias(C.ROW), F.col(id_col).alias("id"), F.col(source_col).alias("source"), tokens_of(F.col(text_col)).alias("n_tokens"),
     ).withColumn("key", digest)
     rows = rows.withColumn("block", F.shiftright("key", 60 - BLOCK_BITS))
-    on = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")) & (F.col("key") <= F.col("limit"))
-    taken = rows.join(plan, on).withColumn("mix_key", _key(F.lit(seed), F.col("epoch"), F.col("id")))
+    taken = rows.join(whole, at_part).unionByName(rows.join(chosen, at_part & (F.col("key") == F.col("k"))).drop("k"))
+    taken = taken.withColumn("mix_key", _key(F.lit(seed), F.col("epoch"), F.col("id")))
     return taken.select(f"{C.ROW}.*", "epoch", "stream_block", "mix_key", "n_tokens")
+
+
+def _stream_block() -> Column:
+    return F.least(F.floor(F.col("before") * STREAM_BLOCKS / F.col("take")), F.lit(STREAM_BLOCKS - 1)).cast("int")
+
+
+def _fitting(inside: DataFrame) -> DataFrame:
+    """The documents of blocks that fit in part (a row per digest) that are taken."""
+    block = W.partitionBy("source", "block", "epoch")
+    upto = F.sum("t").over(block.orderBy("key"))
+    rows = inside.withColumn("upto", upto).withColumn("first", F.col("upto") <= F.col("room"))
+    rows = rows.withColumn("left", F.col("room") - F.coalesce(F.max(F.when(F.col("first"), F.col("upto"))).over(block), F.lit(0)))
+    rows = rows.withColumn("rest", ~F.col("first") & (F.col("t") <= F.col("left")))
+    short = block.orderBy(F.desc("rest"), "t", "key").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("fill", F.sum(F.when(F.col("rest"), F.col("t")).otherwise(0)).over(short))
+    rows = rows.withColumn("taken", F.col("first") | (F.col("rest") & (F.col("fill") <= F.col("left"))))
+    # Nothing of the source stands before this block, and nothing with tokens fits.
+    rows = rows.withColumn("none", (F.col("before") == 0) & (F.coalesce(F.max(F.when(F.col("taken"), F.col("t"))).over(block), F.lit(0)) == 0))
+    lead = F.row_number().over(block.orderBy(F.desc(F.col("t") > 0), "key"))
+    return rows.withColumn("lead", lead).where("taken OR (none AND lead = 1)").select("source", "block", "epoch", "key", "before", "take")

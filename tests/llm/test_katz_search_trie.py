@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quietstar.llm import common as C
-from quietstar.llm import katz, prefix_trie, queries, term_search
+from quietstar.llm import katz, mixing, prefix_trie, queries, term_search
 
 SF = "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, id long, learn string, chunk string, query long, score double"
@@ -291,3 +291,56 @@ def test_held_out_rows_are_not_learned_from(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = katz.katz_scores(docs, ~C.held_out(F.col("id"), 7, 2)).select("doc_id", "learned").collect()
     assert all(r.learned == (zlib.crc32(str(r.doc_id).encode()) % 7 != 2) for r in rows)
+
+
+# mixing: long documents -------------------------------------------------------------------
+
+
+def sourced(spark, rows):
+    return spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(rows)], "doc_id long, text string, source string")
+
+
+def test_a_source_of_one_long_document_is_not_missing(spark):
+    docs = sourced(spark, [("long", 50_000), *[("a", 100)] * 120, *[("b", 79)] * 100])
+    rows = mixing.mix_sources(docs, keep=("doc_id", "source")).toPandas()
+    assert set(rows["source"]) == {"long", "a", "b"} and (rows[rows["source"] == "long"]["n_tokens"] == 50_000).all()
+
+
+def test_documents_that_do_not_fit_make_way_for_those_that_do(spark):
+    draw = random.Random(2)
+    docs = sourced(spark, [(s, draw.choice([3, 10, 40, 2000])) for s in "abcd" for _ in range(80)])
+    tokens = {r.source: r.tokens for r in mixing.source_tokens(docs).collect()}
+    for budget in (3000.0, 20_000.0, 90_000.0):
+        exponent = mixing.find_exponent(mixing.source_tokens(docs), budget, mixing.REPETITIONS)
+        wanted = {r.source: r["take"] for r in mixing.mixture_weights(mixing.source_tokens(docs), exponent, budget).collect()}
+        rows = mixing.mix_sources(docs, budget, keep=("doc_id", "source")).toPandas()
+        taken = rows.groupby("source").n_tokens.sum()
+        assert set(taken.index) == set(tokens)
+        # Under the budget, but for a source of which nothing fits.
+        assert all(taken[s] <= wanted[s] or len(rows[rows.source == s]) == 1 for s in tokens)
+        assert rows.groupby(["doc_id", "epoch"]).size().max() == 1
+
+
+def test_a_block_is_filled_as_by_hand(spark):
+    draw, rows = random.Random(6), []
+    for block in range(40):
+        room, before = draw.randint(0, 120), draw.choice([0, 5])
+        rows += [("s", block, 0, room, before, 1000, key, draw.choice([0, 1, 7, 30, 80, 200])) for key in range(draw.randint(1, 9))]
+    inside = spark.createDataFrame(rows, "source string, block long, epoch int, room long, before long, take long, key long, t long")
+    got = {(r.block, r.key) for r in mixing._fitting(inside).collect()}
+    want = set()
+    for block in range(40):
+        docs = [(r[6], r[7]) for r in rows if r[1] == block]
+        room, before = next((r[3], r[4]) for r in rows if r[1] == block)
+        used, taken = 0, []
+        for key, t in docs:
+            if used + t > room:
+                break
+            used, taken = used + t, [*taken, (key, t)]
+        for key, t in sorted((x for x in docs if x not in taken), key=lambda x: (x[1], x[0])):
+            if used + t <= room:
+                used, taken = used + t, [*taken, (key, t)]
+        if before == 0 and not any(t for _, t in taken):
+            taken += [next((x for x in docs if x[1]), docs[0])]
+        want |= {(block, key) for key, _ in taken}
+    assert got == want
