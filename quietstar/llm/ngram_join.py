@@ -7,7 +7,8 @@ Tokens are 5-word shingles. Three kinds of groups are used, all by the token's h
   the documents with a token among their first form a cell, and linked documents meet in a cell (no link is lost);
 * 128 *coordinates*: the counts of a set's tokens by coordinate are its point. The sum of the coordinate minima of two points
   is at least their overlap. A cell's points stand in an R-tree whose nodes keep coordinate maxima; a branch is left when its
-  bound is under the overlap that 0.8 needs. Surviving pairs are verified with the whole sets.
+  bound is under the overlap that 0.8 needs. Surviving pairs are bounded again by points of as many coordinates as their sets
+  ask for, and then verified with the whole sets.
 
 The cells alone would leave all pairs of a large family of copies. So a first round links each cell's members to one of them
 (combined on the map side: a token that a third of all rows hold reaches a reducer once per task), verifies these stars and
@@ -186,23 +187,38 @@ def _reduce_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _stars(token[alone], b[alone], bn[alone], False)
 
 
-_SET = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("tokens", pa.list_(pa.int64()))])
+def fine_point(tokens: np.ndarray) -> bytes:
+    """Counts by as many coordinates as hold two tokens or fewer each, a power of two; 255 stands for any larger count."""
+    width = max(COORDINATES, 1 << (len(tokens) // 2).bit_length())
+    counts = np.bincount((tokens >> np.uint64(27)).astype(np.int64) & (width - 1), minlength=width)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def fine_bound(x: bytes, y: bytes) -> int:
+    """Most tokens that two sets can share; the longer point is folded to the shorter one's coordinates."""
+    sides = [np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y)]
+    width = min(map(len, sides))
+    sides = [np.where(v == 255, 1 << 40, v).reshape(-1, width).sum(0) for v in sides]
+    return int(np.minimum(*sides).sum())
+
+
+_SET = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("fine", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 #: Tokens that a batch of sets holds before it is handed on.
 SET_TOKENS = 250_000
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class, size, point and tokens, once for each class a task meets."""
+    """Class, size, points and tokens, once for each class a task meets."""
     met: set[tuple[int, int]] = set()
     for batch in batches:
         rows: list[tuple] = []
         size = 0
 
         def made() -> pa.RecordBatch:
-            ends = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
-            values = np.concatenate([r[3] for r in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
+            ends = np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32)
+            values = np.concatenate([r[4] for r in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-            cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), lists]
+            cols = [*(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)), *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3)), lists]
             return pa.RecordBatch.from_arrays(cols, schema=_SET)
 
         for text in batch.column(1):
@@ -211,7 +227,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key in met:
                 continue
             met.add(key)
-            rows.append((*key, point(tokens), tokens))
+            rows.append((*key, point(tokens), fine_point(tokens), tokens))
             size += len(tokens)
             if size >= SET_TOKENS:
                 yield made()
@@ -238,8 +254,15 @@ def _bounded(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.select(range(4))
 
 
+def _finely_bounded(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Pairs that reach the overlap they need in fine coordinates too: long sets are alike in coarse ones."""
+    sides = [batch.column(i).to_pylist() for i in range(1, 6) if i != 2]
+    keep = [fine_bound(x, y) >= needed(n, m) for n, m, x, y in zip(*sides, strict=True)]
+    return batch.filter(pa.array(keep, pa.bool_())).select(range(4))
+
+
 def _tried(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` with ``link``: bound by points first, the rest verified with the whole sets."""
+    """``pairs`` with ``link``: bound by points first, then by fine ones, the rest verified with the whole sets."""
     def with_column(df: DataFrame, side: str, column: str, held: DataFrame = sets) -> DataFrame:
         part = held.select(F.col("cls").alias(side), F.col("n").alias(f"{side}n"), F.col(column).alias(f"{side}_{column}"))
         return df.join(part, [side, f"{side}n"])
@@ -247,6 +270,8 @@ def _tried(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     order = ("a", "an", "b", "bn")
     by_point = with_column(with_column(pairs, "a", "point"), "b", "point").select(*order, "a_point", "b_point")
     near = read_back(sets.sparkSession, by_point.mapInArrow(C.per_batch(_bounded), _PAIR), "near")
+    by_fine = with_column(with_column(near, "a", "fine"), "b", "fine").select(*order, "a_fine", "b_fine")
+    near = read_back(sets.sparkSession, by_fine.mapInArrow(C.per_batch(_finely_bounded), _PAIR), "nearer")
     # Only the sets of pairs that are near move.
     asked = near.select(F.col("a").alias("cls"), F.col("an").alias("n")).union(near.select("b", "bn")).distinct()
     asked = read_back(sets.sparkSession, asked, "asked")
@@ -369,7 +394,7 @@ def _linked_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     few = wanted.count() <= BROADCAST_IDS
     same = F.col("id").eqNullSafe(F.col("least_id")) & (F.col("own") == F.col("least_own"))
     chosen = marked.join(F.broadcast(wanted) if few else wanted, same, "left_semi").select("id", "text")
-    sets = read_back(spark, chosen.mapInArrow(_sets, "cls long, n long, point binary, tokens array<long>"), "sets")
+    sets = read_back(spark, chosen.mapInArrow(_sets, "cls long, n long, point binary, fine binary, tokens array<long>"), "sets")
     # Only a row repeated with its id brings a class twice; where none does, the sets need no shuffle of their own.
     if sets.groupBy("cls", "n").count().where("count > 1").limit(1).count():
         sets = read_back(spark, sets.dropDuplicates(["cls", "n"]), "sets")

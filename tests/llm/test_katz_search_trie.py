@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quietstar.llm import common as C
-from quietstar.llm import katz, mixing, prefix_trie, queries, term_search
+from quietstar.llm import katz, mixing, ngram_join, prefix_trie, queries, term_search
 
 SF = "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, id long, learn string, chunk string, query long, score double"
@@ -344,3 +344,20 @@ def test_a_block_is_filled_as_by_hand(spark):
             taken += [next((x for x in docs if x[1]), docs[0])]
         want |= {(block, key) for key, _ in taken}
     assert got == want
+
+
+# n-gram join: fine points -----------------------------------------------------------------
+
+
+def test_fine_points_bound_overlaps_from_above():
+    draw = np.random.default_rng(12)
+    for n, m, shared in ((5, 6, 5), (200, 220, 150), (3000, 2500, 2400), (9000, 8000, 10), (40, 5000, 40)):
+        tokens = draw.integers(0, 1 << 63, n + m - shared).astype(np.uint64) * np.uint64(2)
+        a, b = np.sort(tokens[:n]), np.sort(tokens[n - shared :])
+        bound = ngram_join.fine_bound(ngram_join.fine_point(a), ngram_join.fine_point(b))
+        assert bound >= shared and ngram_join.fine_bound(ngram_join.fine_point(a), ngram_join.fine_point(a)) >= n
+    assert bound < 40 * 1.01
+    far = ngram_join.fine_bound(*(ngram_join.fine_point(draw.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2)) for _ in range(2)))
+    assert far < ngram_join.needed(20_000, 20_000) * 0.8
+    same = np.full(600, 7, np.uint64)  # one coordinate, over 255
+    assert ngram_join.fine_bound(ngram_join.fine_point(same), ngram_join.fine_point(same)) >= 600
