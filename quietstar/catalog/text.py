@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, labels, text
-from ..operators import aspects, quality, sentiment, summaries
+from ..operators import aspects, languages, quality, sentiment, summaries
 from ..session import read_back
 from ..sources import adapters as A
 from .common import flagged, labelled, rounded, scored
-from .sql import CLEAN, TOKENS, hits, query, rnd, word_count
+from .sql import CLEAN, TOKENS, h, hits, query, rnd, word_count
 
 DICTIONARY = {"der": "the", "die": "the", "le": "the", "la": "the", "el": "the", "und": "and", "et": "and", "y": "and"}
 
@@ -32,6 +32,13 @@ def _languages(spark, sf):
     return sentiment.detect_language(A.reviews(spark, sf), A.LANGUAGES)
 
 
+def _learned_languages(spark, sf):
+    """Four fifths of the rows are learned from; the language of all is told."""
+    rows = A.reviews(spark, sf).select("review_id", "lang", "review_text").withColumn("held_out", A.salted_hash(F.col("review_id"), "l") % 5 == 0)
+    model = languages.learn_languages(rows.where("NOT held_out"))
+    return languages.tell_languages(rows, model).join(rows.select("review_id", "lang", "held_out"), "review_id")
+
+
 def _sentiment_model(spark, sf):
     r = A.reviews(spark, sf)
     model = sentiment.fit_sentiment(r)
@@ -90,6 +97,10 @@ QUERIES = {
     "language_accuracy": lambda s, d: rounded(_languages(s, d).groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col("lang") == F.col("detected_lang")).cast("double")).alias("accuracy")
     )),
+    "detect_language_learned": lambda s, d: _learned_languages(s, d).select("review_id", "detected_lang", "held_out"),
+    "language_accuracy_learned": lambda s, d: rounded(_learned_languages(s, d).where("held_out").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("lang") == F.col("detected_lang")).cast("double")).alias("accuracy")
+    )),
     "language_counts": lambda s, d: quality.value_counts(_languages(s, d), "detected_lang"),
     "translate_selective": lambda s, d: sentiment.translate_selective(
         _languages(s, d), sentiment.dictionary_translator(DICTIONARY)
@@ -110,6 +121,28 @@ _DETECTED = "CASE WHEN greatest(v0, v1, v2, v3) = 0 THEN 'en' " + " ".join(
 _LANG = f"""SELECT *, {_DETECTED} AS detected_lang
     FROM (SELECT *, {", ".join(f"{hits(w)} AS v{i}" for i, w in enumerate(A.LANGUAGES.values()))}
           FROM (SELECT *, {TOKENS} AS tokens FROM reviews))"""
+_LEARNED = {
+    "letters": f"""
+        SELECT review_id, lang, out, word, count(*) AS n
+        FROM (SELECT review_id, lang, {h('review_id', 'l')} % 5 = 0 AS out, unnest({TOKENS}) AS word FROM reviews) WHERE word <> '' GROUP BY ALL""",
+    "learned_grams": """
+        SELECT lang, gram, sum(n)::bigint AS c FROM (SELECT lang, n, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i, 3))) AS gram
+        FROM letters WHERE NOT out AND lang IS NOT NULL) GROUP BY ALL""",
+    "gram_totals": "SELECT lang, sum(c) AS total, (SELECT count(DISTINCT gram) FROM learned_grams) AS v FROM learned_grams GROUP BY ALL",
+    "gram_weights": """
+        SELECT gram, lang, ln((coalesce(c, 0) + 1) / (total + v)::double) AS w
+        FROM (SELECT DISTINCT gram FROM learned_grams) CROSS JOIN gram_totals LEFT JOIN learned_grams USING (gram, lang)""",
+    "word_grams": """
+        SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i, 3))) AS gram FROM (SELECT DISTINCT word FROM letters)""",
+    "word_weights": "SELECT word, lang AS guess, sum(w) AS w, count(*) AS known FROM word_grams JOIN gram_weights USING (gram) GROUP BY ALL",
+    "guesses": "SELECT review_id, guess, sum(n * w) AS score, sum(n * known) AS known FROM letters JOIN word_weights USING (word) GROUP BY ALL",
+    "guessed": """
+        SELECT review_id, guess, known FROM guesses QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY round(score, 6) DESC, guess) = 1""",
+    "spelled": "SELECT review_id, sum(n * length(word)) AS every FROM letters GROUP BY ALL",
+    "told_languages": f"""
+        SELECT review_id, lang, {h('review_id', 'l')} % 5 = 0 AS held_out, CASE WHEN known >= 0.5 * every THEN guess ELSE 'unknown' END AS detected_lang
+        FROM reviews LEFT JOIN guessed USING (review_id) LEFT JOIN spelled USING (review_id)""",
+}
 _WORD_CASE = "CASE " + " ".join(f"WHEN w = '{k}' THEN '{v}'" for k, v in DICTIONARY.items()) + " ELSE w END"
 _TYPES = ", ".join(f"CASE WHEN contains(lower(review_text), '{k}') THEN '{k}' END" for k in A.TYPE_KEYWORDS)
 _COMPLAINT = "sentiment_score < -0.1 OR star_rating <= 2 OR is_silent_killer"
@@ -183,6 +216,9 @@ ORACLES = {
     "detect_language": query("SELECT review_id, detected_lang FROM tongues", tongues=_LANG),
     "language_accuracy": query(f"""
         SELECT lang, count(*) AS n, {rnd("avg((lang = detected_lang)::int)", "accuracy")} FROM tongues GROUP BY ALL""", tongues=_LANG),
+    "detect_language_learned": query("SELECT review_id, detected_lang, held_out FROM told_languages", **_LEARNED),
+    "language_accuracy_learned": query(f"""
+        SELECT lang, count(*) AS n, {rnd("avg((lang = detected_lang)::int)", "accuracy")} FROM told_languages WHERE held_out GROUP BY ALL""", **_LEARNED),
     "language_counts": query("SELECT detected_lang, count(*) AS n FROM tongues GROUP BY ALL", tongues=_LANG),
     "translate_selective": query(f"""
         SELECT review_id, detected_lang <> 'en' AS was_translated,
