@@ -9,7 +9,7 @@ from ..functions import dates, labels, maths
 from ..operators import quality, sampling
 from ..plans import executive
 from ..session import shared_dir
-from ..sources import adapters as A, readers, schemas, sinks
+from ..sources import adapters as A, dimension, readers, schemas, sinks
 from .common import labelled, lines, rounded, scored
 from .sql import query, rnd, word_count
 
@@ -103,16 +103,28 @@ def _summary(spark, sf):
     ), 4)
 
 
-def _patch(spark, sf):
-    """Brands resolved for products ordered at full size; a title only for an even supplier."""
+def _identity(spark, sf):
+    """Brands of products ordered at full size; a title only for an even supplier."""
     li = A.table(spark, sf, "lineitem").filter("l_quantity >= 50")
-    identity = li.groupBy(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("product_id")).agg(
+    return li.groupBy(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("product_id")).agg(
         F.max("l_suppkey").alias("s")
     ).select(
         "product_id", F.concat(F.lit("Maker "), F.col("s").cast("string")).alias("brand"),
         F.when(F.col("s") % 2 == 0, F.concat(F.lit("Item "), F.col("s").cast("string"))).otherwise("").alias("title"),
     )
-    return sinks.patch_products(A.parts(spark, sf), identity)
+
+
+def _patch(spark, sf):
+    return sinks.patch_products(A.parts(spark, sf), _identity(spark, sf))
+
+
+def _updated(spark, sf):
+    """The same through a stored dimension; the second update finds nothing to change."""
+    path = shared_dir(spark, "dimension")
+    dimension.create_dimension(A.parts(spark, sf), path, buckets=16)
+    for _ in range(2):
+        dimension.update_dimension(spark, path, _identity(spark, sf), sinks.patch_products)
+    return dimension.read_dimension(spark, path)
 
 
 def _invalid(spark, sf):
@@ -194,6 +206,7 @@ QUERIES = {
     "default_columns": _defaults,
     "write_stage_roundtrip": _stage,
     "patch_dimension": _patch,
+    "update_dimension": _updated,
     "drop_invalid_rows": _invalid,
     "parse_review_time": _times,
     "extract_embedded_date": _embedded,
@@ -315,3 +328,5 @@ ORACLES = {
                 min(CASE WHEN emotional_intensity >= 0.40 * 1.5 THEN 'Short-Term (0-3 months)' ELSE 'Mid-Term (3-6 months)' END) AS first_tier
               FROM stats GROUP BY ALL) f USING (product_id)"""),
 }
+
+ORACLES["update_dimension"] = ORACLES["patch_dimension"]
