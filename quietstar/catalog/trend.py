@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import anomalies, forecast, trend
+from ..operators import anomalies, forecast, quality, ranking, rollups, silent_killers, trend
 from ..session import read_back
 from .common import labelled, lines_flagged, rounded
 from .sql import query, rnd
@@ -22,6 +22,24 @@ def _stored(spark, sf):
     return read_back(spark, _monthly(spark, sf), "monthly")
 
 
+def _rolled(spark, sf):
+    rows = labelled(spark, sf).select(
+        "review_id", "product_id", "lang", "review_date", "star_rating", "prob_negative", "sentiment_score", "is_silent_killer", "emo_anger", "emo_sadness"
+    )
+    return read_back(spark, rollups.roll_up(rows, ["review_id", "lang"]), "rollup")
+
+
+def _sketched(spark, sf):
+    """Estimates from the rollup beside the exact answers."""
+    rolled, rows = _rolled(spark, sf), labelled(spark, sf)
+    exact = quality.distinct_counts(rows, ["review_id", "lang"])
+    bar = ranking.one_value(rollups.threshold_from_rollup(rolled), "threshold")
+    pairs = [(c, F.col(c), ranking.one_value(exact, c)) for c in ("review_id", "lang")] + [("p10", bar, silent_killers.threshold_value(rows))]
+    return rollups.distinct_from_rollup(rolled).select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), e.cast("double").alias("estimate"), x.cast("double").alias("exact")) for n, e, x in pairs
+    ])).alias("r")).select("r.*")
+
+
 def _text_month(df, *columns, digits=6):
     return rounded(df.select("product_id", F.date_format("month", "yyyy-MM-dd").alias("month"), *columns), digits)
 
@@ -42,6 +60,10 @@ QUERIES = {
     "monthly_metrics": lambda s, d: _text_month(
         _monthly(s, d), "review_count", "sk_count", "mean_sentiment", "mean_anger", "mean_sadness", "sk_rate", "urgency"
     ),
+    "rollup_monthly_metrics": lambda s, d: _text_month(
+        rollups.monthly_from_rollup(_rolled(s, d)), "review_count", "sk_count", "mean_sentiment", "mean_anger", "mean_sadness", "sk_rate", "urgency"
+    ),
+    "rollup_sketches": _sketched,
     "monthly_sk_join": lambda s, d: _text_month(
         trend.monthly_sk_join(lines_flagged(s, d), 3), "review_count", "sk_count", "sk_rate"
     ),
@@ -200,3 +222,5 @@ ORACLES = {
         FROM (SELECT *, t / s AS x FROM (SELECT *, greatest(max(t) OVER (PARTITION BY product_id), 1)::double AS s
               FROM (SELECT *, date_diff('day', min(month) OVER (PARTITION BY product_id), month)::double AS t FROM monthly))) GROUP BY ALL"""),
 }
+
+ORACLES["rollup_monthly_metrics"] = ORACLES["monthly_metrics"]
