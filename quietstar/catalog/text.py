@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, labels, text
-from ..operators import aspects, languages, quality, sentiment, summaries
+from ..operators import aspects, languages, quality, sentiment, summaries, translation
 from ..session import read_back
 from ..sources import adapters as A
 from .common import flagged, labelled, rounded, scored
@@ -13,6 +13,9 @@ from .sql import CLEAN, TOKENS, h, hits, query, rnd, word_count
 
 DICTIONARY = {"der": "the", "die": "the", "le": "the", "la": "the", "el": "the", "und": "and", "et": "and", "y": "and"}
 
+#: Phrases of the synthetic texts, the longer ones before the words they are made of.
+PHRASES = {"in der": "within the", "de la": "of the", "und die": "and also", "la": "the", "der": "the", "die": "this", "und": "and", "los": "those", "et les": "and their", "et": "plus"}
+
 
 def _scores(spark, sf):
     """Label and score lists in a shuffled order and mixed case, back to named columns."""
@@ -32,6 +35,16 @@ def _languages(spark, sf):
     return sentiment.detect_language(A.reviews(spark, sf), A.LANGUAGES)
 
 
+def _marked():
+    """Stands for a model: what it gets comes back with one letter changed."""
+    return lambda part: part.assign(translated=part["piece"].str.replace("e", "3", regex=False))
+
+
+def _in_pieces(spark, sf):
+    done = translation.translate_pieces(_languages(spark, sf).select("review_id", "detected_lang", "review_text"), _marked)
+    return done.select("review_id", "was_translated", F.md5("review_text").alias("text_md5"))
+
+
 def _learned_languages(spark, sf):
     """Four fifths of the rows are learned from; the language of all is told."""
     rows = A.reviews(spark, sf).select("review_id", "lang", "review_text").withColumn("held_out", A.salted_hash(F.col("review_id"), "l") % 5 == 0)
@@ -109,6 +122,10 @@ QUERIES = {
     "dominant_emotion": lambda s, d: sentiment.score_emotions(A.reviews(s, d), A.EMOTIONS).select(
         "review_id", "dominant_emotion", "dominant_emotion_display"
     ),
+    "translate_phrases": lambda s, d: sentiment.translate_selective(
+        _languages(s, d), translation.phrase_translator(PHRASES)
+    ).select("review_id", "was_translated", F.md5("review_text").alias("text_md5")),
+    "translate_pieces": _in_pieces,
     "complaints": lambda s, d: summaries.complaints(flagged(s, d)).select("review_id", "product_id"),
     "complaint_corpus": _corpus,
     "complaint_summary": _summary,
@@ -121,6 +138,20 @@ _DETECTED = "CASE WHEN greatest(v0, v1, v2, v3) = 0 THEN 'en' " + " ".join(
 _LANG = f"""SELECT *, {_DETECTED} AS detected_lang
     FROM (SELECT *, {", ".join(f"{hits(w)} AS v{i}" for i, w in enumerate(A.LANGUAGES.values()))}
           FROM (SELECT *, {TOKENS} AS tokens FROM reviews))"""
+_PHRASE_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in PHRASES.items()) + "}"
+_PHRASED = {
+    "tongues": _LANG,
+    "cut_words": r"""
+        SELECT review_id, detected_lang, review_text, CASE WHEN detected_lang <> 'en' THEN regexp_extract_all(review_text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') ELSE [] END AS parts FROM tongues""",
+    # From left to right: two words that are a phrase, else one, else the part itself.
+    "walked": f"""
+        SELECT review_id, detected_lang, review_text, list_reduce(range(1, len(parts) + 1), lambda acc, i:
+            CASE WHEN acc.skip > 0 THEN {{'skip': acc.skip - 1, 'out': acc.out}}
+                 WHEN {_PHRASE_MAP}[lower(array_to_string(parts[i:i + 2], ''))] IS NOT NULL AND i + 2 <= len(parts)
+                   THEN {{'skip': 2::bigint, 'out': list_append(acc.out, {_PHRASE_MAP}[lower(array_to_string(parts[i:i + 2], ''))])}}
+                 ELSE {{'skip': 0::bigint, 'out': list_append(acc.out, coalesce({_PHRASE_MAP}[lower(parts[i])], parts[i]))}} END,
+            {{'skip': 0::bigint, 'out': []::varchar[]}}).out AS done FROM cut_words""",
+}
 _LEARNED = {
     "letters": f"""
         SELECT review_id, lang, out, word, count(*) AS n
@@ -219,6 +250,12 @@ ORACLES = {
     "detect_language_learned": query("SELECT review_id, detected_lang, held_out FROM told_languages", **_LEARNED),
     "language_accuracy_learned": query(f"""
         SELECT lang, count(*) AS n, {rnd("avg((lang = detected_lang)::int)", "accuracy")} FROM told_languages WHERE held_out GROUP BY ALL""", **_LEARNED),
+    "translate_phrases": query("""
+        SELECT review_id, detected_lang <> 'en' AS was_translated, md5(CASE WHEN detected_lang = 'en' THEN review_text ELSE array_to_string(done, '') END) AS text_md5
+        FROM walked""", **_PHRASED),
+    "translate_pieces": query("""
+        SELECT review_id, detected_lang <> 'en' AS was_translated, md5(CASE WHEN detected_lang = 'en' THEN review_text ELSE replace(review_text, 'e', '3') END) AS text_md5
+        FROM tongues""", tongues=_LANG),
     "language_counts": query("SELECT detected_lang, count(*) AS n FROM tongues GROUP BY ALL", tongues=_LANG),
     "translate_selective": query(f"""
         SELECT review_id, detected_lang <> 'en' AS was_translated,
