@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +158,17 @@ def test_search_matches_brute_force(spark, searched, limits, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute_search(docs, items, 10)
 
 
+def test_postings_are_cut_into_chunks(monkeypatch):
+    monkeypatch.setattr(term_search, "CHUNK_DOCS", 4)
+    texts = [b"a b a", None, b"", b"c", b"A-b", b"a"] + [b"b"] * 4
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10), pa.int64()), pa.array(texts, pa.binary())], ["id", "text"])
+    rows = [r.to_pylist()[0] for r in term_search._to_postings(SimpleNamespace(value={b"a": 0, b"b": 1}))(iter([batch]))]
+    assert [r["ids"] for r in rows] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+    assert [(r["n"], r["l"]) for r in rows] == [(2, 4), (4, 5), (2, 2)]
+    assert [(r["terms"], r["dfs"]) for r in rows] == [([0, 1], [1, 1]), ([0, 1], [2, 3]), ([1], [2])]
+    assert katz.unpack(rows[0]["tfs"], np.int64).tolist() == [2, 1] and katz.unpack(rows[1]["docs"], np.uint16).tolist() == [0, 1, 0, 2, 3]
+
+
 def test_accumulators_stop_and_scores_stay_exact():
     draw = np.random.default_rng(2)
     rare = [(np.sort(draw.choice(5000, 40, replace=False)), draw.integers(800, 1000, 40)) for _ in range(6)]
@@ -276,8 +289,17 @@ def test_trie_of_no_conversations(spark):
     assert prefix_trie.prefix_trie(conversations(spark, [(None, 1, "a", "b")])).count() == 0
 
 
-def test_ends_over_many_strings(spark, monkeypatch):
+def test_ids_are_joined_in_bounded_strings(monkeypatch):
     monkeypatch.setattr(prefix_trie, "JOINED", 7)
+    node = [[1] * 20 + [2] * 3, [5] * 23, [6] * 23, list(range(-3, 20))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in node], [*prefix_trie.KEY, "conv"])
+    strings = next(prefix_trie._joined(iter([batch]))).to_pylist()
+    assert all(r["ids"].count(",") < 7 for r in strings) and [r["first"] for r in strings] == sorted(r["first"] for r in strings)
+    hashed = {tuple(r[k] for k in prefix_trie.KEY): r["ends"] for b in prefix_trie._hashed(pa.RecordBatch.from_pylist([{k: r[k] for k in [*prefix_trie.KEY, "first", "ids"]}]) for r in strings) for r in b.to_pylist()}
+    assert hashed == {(d, 5, 6): hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() for d, ids in ((1, range(-3, 17)), (2, range(17, 20)))}
+
+
+def test_ends_over_many_strings(spark):
     rows = [(c, 0, "user", "hello") for c in range(0, 1000, 5)] + [(c, 0, "user", "hello") for c in range(1, 1000, 5)]
     got = prefix_trie.prefix_trie(conversations(spark, rows))
     assert sorted(map(tuple, got.collect()), key=str) == brute_trie(rows)
