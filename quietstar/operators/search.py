@@ -114,8 +114,10 @@ def semantic_search(index: DataFrame, queries: DataFrame, k: int = 6, vector: st
     ])
     found = None
     for first in range(0, n_blocks, PASS):
-        part = blocks if n_blocks <= PASS else blocks.where(F.col("block").between(first, first + PASS - 1))
-        met = chunks.crossJoin(F.broadcast(part.select("asked"))).mapInArrow(_best_of_chunks(k, schema), schema)
+        last = min(first + PASS, n_blocks) - 1
+        part = blocks if n_blocks <= PASS else blocks.where(F.col("block").between(first, last))
+        dealt = chunks.withColumn("block", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        met = dealt.join(F.broadcast(part), "block").mapInArrow(_best_of_chunks(k, schema), schema)
         found = met if found is None else found.unionByName(met)
     best = ranking.top_per_group(found, ["query_id"], [F.desc("similarity"), F.asc("key")], k, spread_by=F.col("key"))
     return best.select("query_id", F.col("key").alias(key), "similarity", "rank_no")
