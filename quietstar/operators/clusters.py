@@ -34,16 +34,17 @@ CANDIDATES = 64
 
 def text_vectors(df: DataFrame, text_col: str = "clean_text", dims: int = 512) -> DataFrame:
     """``features``: unit TF-IDF vectors of the words and word pairs of a text without stop words, hashed to a fixed width."""
-    model = Pipeline(stages=[
+    hashed = Pipeline(stages=[
         Tokenizer(inputCol=text_col, outputCol="_words"),
         StopWordsRemover(inputCol="_words", outputCol="_kept"),
         NGram(n=2, inputCol="_kept", outputCol="_pairs"),
         SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__"),
         HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=dims),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_unit"),
     ]).fit(df)
-    return model.transform(df).select(*df.columns, vector_to_array("_unit").alias("features"))
+    # Texts are split and hashed once; document frequencies and vectors both read the stored counts.
+    counts = read_back(df.sparkSession, hashed.transform(df).select(*df.columns, "_tf"), "hashed-terms")
+    weigh = Pipeline(stages=[IDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="_unit")]).fit(counts)
+    return weigh.transform(counts).select(*df.columns, vector_to_array("_unit").alias("features"))
 
 
 def farthest_first(vectors: np.ndarray, k: int) -> np.ndarray:
@@ -64,7 +65,7 @@ def nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _matrix(table: pa.Table, column: str) -> np.ndarray:
-    return search.unit_rows(table.column(column).to_pylist())
+    return search.unit_matrix(table.column(column))
 
 
 def _first(k: int):
@@ -121,7 +122,9 @@ def cluster_groups(
     sizes = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     sizes = read_back(spark, sizes, "group-blocks")
     block = F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")
-    laid = rows.join(sizes, "grp").select("grp", block.alias("block"), "key", "vector").repartition("grp", "block").persist(StorageLevel.MEMORY_AND_DISK)
+    laid = rows.join(sizes, "grp").select("grp", block.alias("block"), "key", "vector").repartition("grp", "block")
+    # Sorted before it is kept, so that no round sorts the vectors again.
+    laid = laid.sortWithinPartitions("grp", "block").persist(StorageLevel.MEMORY_AND_DISK)
     place = F.md5(F.concat_ws("|", F.col("key").cast("string"), F.lit(str(seed))))
     drawn = ranking.top_per_group(rows.select("grp", place.alias("digest"), "key"), ["grp"], ["digest", "key"], CANDIDATES, "place", F.col("key"))
     drawn = drawn.join(rows, ["grp", "key"]).select("grp", "place", "vector")
@@ -134,7 +137,8 @@ def cluster_groups(
         unit = F.transform("sum", lambda x: F.round(F.try_divide(x, F.col("length")), 9))
         new = moved.groupBy("grp", "cluster").agg(total.alias("sum")).withColumn("length", length)
         new = new.select("grp", "cluster", F.when(F.col("length") > 0, unit).otherwise(F.col("sum")).alias("centre"))
-        # A cluster that lost all its rows keeps its centre.
+        # Stored before it is read twice: the sums are the costly part. A cluster that lost all its rows keeps its centre.
+        new = read_back(spark, new, "moved")
         kept = centres.join(new, ["grp", "cluster"], "left_anti")
         new = read_back(spark, new.unionByName(kept), "centres")
         same = new.join(centres.withColumnRenamed("centre", "old"), ["grp", "cluster"]).where("centre <> old").isEmpty()

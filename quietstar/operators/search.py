@@ -69,6 +69,18 @@ def unit_rows(vectors: list) -> np.ndarray:
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
+def unit_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """``unit_rows`` of a list column, without a Python object for each number where all rows have one width."""
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    values = [part.flatten() for part in parts]
+    widths = {int(w) for part in parts for w in np.unique(np.diff(part.offsets.to_numpy()))}
+    if len(widths) != 1 or any(part.null_count for part in parts) or any(v.null_count for v in values):
+        return unit_rows(column.to_pylist())
+    x = np.concatenate([v.to_numpy(zero_copy_only=False) for v in values]).astype(float, copy=False).reshape(len(column), widths.pop())
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a partition in chunks of at most ``CHUNK``, one row each."""
     for batch in batches:
