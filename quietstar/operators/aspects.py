@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, NGram, Normalizer, SQLTransformer, StopWordsRemover, Tokenizer
@@ -213,16 +214,19 @@ def project_2d(df: DataFrame, text_col: str = "clean_text", vocabulary: int = 50
     from pyspark.mllib.linalg.distributed import RowMatrix
     from pyspark.mllib.util import MLUtils
 
-    model = Pipeline(stages=[
+    counted = Pipeline(stages=[
         Tokenizer(inputCol=text_col, outputCol="_words"),
         StopWordsRemover(inputCol="_words", outputCol="_kept"),
         CountVectorizer(inputCol="_kept", outputCol="_tf", vocabSize=vocabulary),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_row"),
     ]).fit(df)
-    rows = model.transform(df).select(*df.columns, "_row")
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows.select("_row"), "_row"))
-    axes = matrix.computeSVD(2).V.toArray()
+    counts = read_back(df.sparkSession, counted.transform(df).select("_tf"), "term-counts")
+    weigh = Pipeline(stages=[IDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="_row")]).fit(counts)
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(weigh.transform(counts).select("_row"), "_row"))
+    # The root of the Gram matrix has its singular vectors and as many rows as terms; no step of their search reads the texts.
+    values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+    root = (vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T
+    axes = RowMatrix(df.sparkSession.sparkContext.parallelize(root.tolist(), 1)).computeSVD(2).V.toArray()
+    rows = weigh.transform(counted.transform(df)).select(*df.columns, "_row")
     dense = F.col("_dense")
     out = rows.withColumn("_dense", vector_to_array("_row"))
     for i, name in enumerate(("x", "y")):
