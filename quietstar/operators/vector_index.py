@@ -29,6 +29,8 @@ from . import ranking, search
 PIECE = 4096
 BLOCK = 1024
 MAX_LISTS = 4096
+#: Similarities to centroids that a task holds at once.
+SIMILARITIES = 1 << 20
 #: Vectors that centroids are fitted on, and rows that probes are measured on.
 FIT_ROWS = 20_000
 TRIED_ROWS = 200
@@ -66,18 +68,32 @@ def fit_centroids(df: DataFrame, key: str, vector: str, lists: int, total: int,
     return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
 
 
+def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A matrix as a column of lists."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows.ravel()).cast(kind))
+
+
 def _nearest(centroids: np.ndarray, probes: int):
-    """Adds ``probed``: the ``probes`` nearest lists of each vector, nearest first."""
+    """Adds ``probed``: the ``probes`` nearest lists of each vector, nearest first.
+
+    Vectors are compared in parts of a batch, so that what is held does not grow with the number of lists.
+    """
+    step = max(1, SIMILARITIES // max(1, len(centroids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = search.unit_rows(batch.column("vector").to_pylist())
-            if len(centroids) and x.shape[1]:
-                order = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :probes]
-            else:
-                order = np.zeros((len(x), 1), np.int64)
-            cols = {"key": batch.column("key"), "vector": pa.array(x.tolist(), pa.list_(pa.float64())), "probed": pa.array(order.tolist(), pa.list_(pa.int32()))}
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+            every = search.unit_matrix(batch.column("vector"))
+            for at in range(0, len(every), step):
+                x = every[at : at + step]
+                if not len(centroids) or not x.shape[1]:
+                    order = np.zeros((len(x), 1), np.int64)
+                elif probes == 1:
+                    order = np.argmax(x @ centroids.T, axis=1)[:, None]
+                else:
+                    order = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :probes]
+                cols = {"key": batch.column("key").slice(at, len(x)), "vector": _lists(x, pa.float64()), "probed": _lists(order, pa.int32())}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     return run
 
@@ -138,7 +154,7 @@ def _meet(k: int, schema: T.StructType):
 
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         # A side may be empty: a piece that no query probes, or a hash that leaves a piece without rows.
-        q, x = search.unit_rows(asked.column("q").to_pylist()), search.unit_rows(rows.column("vector").to_pylist())
+        q, x = search.unit_matrix(asked.column("q")), search.unit_matrix(rows.column("vector"))
         sims = np.round(q @ x.T, 9) if len(q) and len(x) else np.zeros((len(q), 0))
         keys = rows.column("key")
         found = search.best_rows(sims, keys.to_numpy(), k)
