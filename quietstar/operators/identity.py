@@ -60,11 +60,13 @@ def product_identity(
     products: DataFrame, df: DataFrame, keywords: Sequence[str] = fixed.TITLE_TYPE_KEYWORDS,
     min_share: float = fixed.BRAND_MIN_SHARE, names: Column | None = None,
 ) -> DataFrame:
-    """Identity of every listed product; only reviews of products without a brand are read for it."""
-    open_ids = products.filter(labels.known(F.col("brand")).isNull()).select("product_id")
-    unknown = df.join(open_ids, "product_id", "left_semi")
-    brands = guess_brand(unknown, min_share, names)
-    types = discovery.product_type_vote(unknown, keywords, titled=False)
+    """Identity of every listed product; guesses count only for products without a brand.
+
+    Names and type words of all reviews are counted where they lie and only counts are shuffled. To leave out the reviews of
+    products with a brand, whole texts would have to meet the products, those of a popular one in one task.
+    """
+    brands = guess_brand(df, min_share, names)
+    types = discovery.product_type_vote(df, keywords, titled=False)
     return resolve_identity(products, brands, types)
 
 
