@@ -11,6 +11,9 @@ from ..functions import fixed, maths, text
 from ..session import read_back
 from . import ranking
 
+#: Chosen sentences up to here are broadcast, more are joined by shuffle.
+BROADCAST_ROWS = 100_000
+
 
 def complaints(df: DataFrame) -> DataFrame:
     """Negative score, low stars, or a silent killer."""
@@ -78,7 +81,7 @@ def summarize(
 
     A word weighs its frequency in the group times ln(1 + N/df) over all N groups; a sentence scores the mean
     weight of its words. Equal sentences of a group are scored once, at their first place, and count as often as
-    they occur. They are written once because weights and scores both read them; ranking moves digests only.
+    they occur. They are written once, numbered, because weights and scores both read them; words and ranking move numbers only.
     A group without any sentence has an empty summary.
     """
     totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_complaints"))
@@ -86,10 +89,11 @@ def summarize(
         F.transform(F.split(text.flat_text(F.col("review_text")), r"[.!?]+"), lambda s: F.trim(s)), lambda s: s != ""
     )
     said = df.select(*by, "review_id", F.posexplode(parts).alias("sentence_no", "sentence"))
-    distinct = said.groupBy(*by, F.md5("sentence").alias("_key"), "sentence").agg(
+    distinct = said.groupBy(*by, "sentence").agg(
         F.count(F.lit(1)).alias("_times"), F.min(F.struct("review_id", "sentence_no")).alias("_place")
     )
-    lines = read_back(df.sparkSession, distinct, "sentences")
+    # Numbers of neighbours follow each other and compress, digests would not; stored, they no longer change.
+    lines = read_back(df.sparkSession, distinct.withColumn("_key", F.monotonically_increasing_id()), "sentences")
     n_groups = ranking.one_value(totals.agg(F.count(F.lit(1)).alias("n")), "n")
     words = lines.select(
         *by, "_key", "_times", F.explode(text.letter_tokens(F.col("sentence"))).alias("word")
@@ -101,7 +105,10 @@ def summarize(
     placed = lines.select(*by, "_key", "_place").join(scores, [*by, "_key"])
     order = [F.desc(F.round("score", 6)), F.asc("_place")]
     best = ranking.top_per_group(placed, by, order, sentences, spread_by=F.col("_key"))
-    joined = best.select(*by, "_key").join(lines, [*by, "_key"]).groupBy(*by).agg(
+    best = read_back(df.sparkSession, best.select(*by, "_key"), "best")
+    # The chosen few go to the sentences, which then stay where they are; very many groups meet them by shuffle.
+    best = F.broadcast(best) if best.count() <= BROADCAST_ROWS else best
+    joined = lines.join(best, [*by, "_key"]).groupBy(*by).agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("_place", "sentence"))), lambda s: s["sentence"]), ". "
         ).alias("summary")
