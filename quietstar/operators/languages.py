@@ -7,16 +7,21 @@ for a language is the sum over its words. A text of which too few trigrams are k
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..session import read_back
 
 UNKNOWN = "unknown"
+#: Texts whose words a task counts together.
+TEXTS = 500
 
 
 @dataclass
@@ -33,6 +38,24 @@ def word_counts(df: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
     return words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, tokens) a row (key, word, n) for each distinct word of each row."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            keys, tokens = (batch.column(i).slice(at, TEXTS) for i in (0, 1))
+            words = pa.table({"row": pc.list_parent_indices(tokens), "word": pc.list_flatten(tokens)})
+            words = words.filter(pc.not_equal(words["word"], "")).group_by(["row", "word"]).aggregate([("word", "count")]).combine_chunks()
+            found = pa.table({"key": keys.take(words["row"]), "word": words["word"], "n": words["word_count"]})
+            yield from found.combine_chunks().to_batches()
+
+
+def text_word_counts(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """``word_counts`` of each row by itself, counted where the text lies: rows that share a key bring a word once each."""
+    rows = df.select(F.col(key), text.letter_tokens(F.col(text_col)).alias("tokens"))
+    fields = [rows.schema[key], T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]
+    return rows.where("tokens IS NOT NULL").mapInArrow(_count_words, T.StructType(fields))
+
+
 def trigrams(word: Column) -> Column:
     """The trigrams of a word between two blanks, as many as it has letters."""
     padded = F.concat(F.lit(" "), word, F.lit(" "))
@@ -71,7 +94,7 @@ def tell_languages(
     every = df.select(F.col(key)).distinct()
     if not model.languages:
         return every.withColumn("detected_lang", F.lit(UNKNOWN))
-    words = read_back(spark, word_counts(df.select(key, text_col), [key], text_col), "word-counts")
+    words = read_back(spark, text_word_counts(df, key, text_col), "word-counts")
     scores = word_scores(words, model)
     places = range(len(model.languages))
     sums = [F.sum(F.col("n") * F.coalesce(f"s{i}", F.lit(0.0))).alias(f"s{i}") for i in places]
