@@ -146,6 +146,8 @@ def class_tfidf(
         average = F.col("_average")
     else:
         average = ranking.one_value(sizes.agg(F.avg("_size").alias("a")), "a")
+        # A row for each topic: joined by shuffle, all terms of a topic would meet in one task.
+        sizes = F.broadcast(sizes)
     share = F.col("tf") / F.col("_size")
     weight = (F.sqrt(share) if damp else share) * F.log(1 + average / F.col("_f"))
     return tf.join(sizes, [*keys, topic_col]).join(corpus, [*keys, "term"]).select(*keys, topic_col, "term", "tf", weight.alias("weight"))
