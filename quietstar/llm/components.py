@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from ..session import read_back
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, and those that have one are nobody's: another round changes nothing."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("x"))
+    met = ends.groupBy("x.node").agg(F.sum("x.up").alias("up"), F.count(F.lit(1)).alias("n")).where("up > 0 AND n > 1")
+    return met.limit(1).count() == 0
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -24,9 +26,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     ``component`` is the smallest node reachable, itself included. Nulls and loops in ``edges`` are no links.
     """
     edges = read_back(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(edges)
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b"))
-    while mark[0]:
+    while not _settled(edges):
         # Large star: every node links its larger neighbours to the smallest node it sees.
         both = edges.union(edges.select("b", "a"))
         low = read_back(spark, both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
@@ -36,8 +36,6 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         low = read_back(spark, large.groupBy("a").agg(F.min("b").alias("m")), "low")
         near = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = read_back(spark, near.union(low.select("a", F.col("m").alias("b"))).distinct(), "small")
-        was, mark, edges = mark, _mark(small), small
-        if mark == was:
-            break
+        edges = small
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots) if mark[0] else nodes.select("node", F.col("node").alias("component"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -12,7 +12,8 @@ Tokens are 5-word shingles. Three kinds of groups are used, all by the token's h
 
 The cells alone would leave all pairs of a large family of copies. So a first round links each cell's members to one of them
 (combined on the map side: a token that a third of all rows hold reaches a reducer once per task), verifies these stars and
-takes components; two more turns do so around other members. Only cells with a link that failed are then searched by R-tree, and
+takes components; up to two more turns do so around other members, while the cells that are left are so large that a member
+would meet more than ``MEETINGS`` others on average. Only cells with a link that failed are then searched by R-tree, and
 only for pairs between components. Cells above ``BLOCK`` members are dealt in blocks, each pair of blocks a task of its own. No pair is dropped, none is capped.
 
 Equal sets are one class (128-bit digest of the set), and classes, not rows, meet. Texts cross the network only for members of
@@ -40,8 +41,10 @@ COORDINATES = 128
 #: Members of a cell that one task indexes at once.
 BLOCK = 2048
 FANOUT = 16
-#: Further stars around other members, before the search.
+#: Further stars around other members, before the search, at most.
 STAR_TURNS = 2
+#: Pairs in open cells, for each of their members, up to which the cells are searched without a further star.
+MEETINGS = 128
 #: Smallest cell tokens of a class that tell whether a pair meets earlier.
 EARLY = 16
 #: Postings that a map task combines at once.
@@ -261,21 +264,25 @@ def _finely_bounded(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(pa.array(keep, pa.bool_())).select(range(4))
 
 
-def _tried(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` with ``link``: bound by points first, then by fine ones, the rest verified with the whole sets."""
-    def with_column(df: DataFrame, side: str, column: str, held: DataFrame = sets) -> DataFrame:
+def _tried(pairs: DataFrame, sets: DataFrame, bounded: bool = False) -> DataFrame:
+    """``pairs`` with ``link``: bound by points first (unless they are ``bounded``), then by fine ones, the rest verified with the
+    whole sets."""
+    def with_column(df: DataFrame, side: str, column: str, held: DataFrame) -> DataFrame:
         part = held.select(F.col("cls").alias(side), F.col("n").alias(f"{side}n"), F.col(column).alias(f"{side}_{column}"))
         return df.join(part, [side, f"{side}n"])
 
     order = ("a", "an", "b", "bn")
-    by_point = with_column(with_column(pairs, "a", "point"), "b", "point").select(*order, "a_point", "b_point")
-    near = read_back(sets.sparkSession, by_point.mapInArrow(C.per_batch(_bounded), _PAIR), "near")
-    by_fine = with_column(with_column(near, "a", "fine"), "b", "fine").select(*order, "a_fine", "b_fine")
-    near = read_back(sets.sparkSession, by_fine.mapInArrow(C.per_batch(_finely_bounded), _PAIR), "nearer")
-    # Only the sets of pairs that are near move.
+    near = pairs
+    if not bounded:
+        by_point = with_column(with_column(pairs, "a", "point", sets), "b", "point", sets).select(*order, "a_point", "b_point")
+        near = by_point.mapInArrow(C.per_batch(_bounded), _PAIR)
+    near = read_back(sets.sparkSession, near, "near")
+    # Only the fine points and sets of pairs that are near move.
     asked = near.select(F.col("a").alias("cls"), F.col("an").alias("n")).union(near.select("b", "bn")).distinct()
     asked = read_back(sets.sparkSession, asked, "asked")
     held = sets.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, ["cls", "n"], "left_semi")
+    by_fine = with_column(with_column(near, "a", "fine", held), "b", "fine", held).select(*order, "a_fine", "b_fine")
+    near = read_back(sets.sparkSession, by_fine.mapInArrow(C.per_batch(_finely_bounded), _PAIR), "nearer")
     by_set = with_column(with_column(near, "a", "tokens", held), "b", "tokens", held)
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return by_set.select(*order, ((NUM + DEN) * shared >= NUM * (F.col("an") + F.col("bn"))).alias("link"))
@@ -345,6 +352,12 @@ def _search_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield found()
 
 
+def _searchable(heads: DataFrame) -> bool:
+    """Whether the open cells (``m`` members each) have so few pairs that no further star has to join members first."""
+    members, pairs = heads.agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
+    return not members or pairs <= MEETINGS * members
+
+
 def _linked_by(spark: SparkSession, links: DataFrame) -> DataFrame:
     """``cls``, ``n``, ``comp`` (a key of the component) for each class of ``links``."""
     node = lambda c, n: F.struct(F.col(c).alias("cls"), F.col(n).alias("n"))
@@ -419,10 +432,11 @@ def _linked_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         named = inside.join(read_back(spark, _linked_by(spark, links), "comps"), ["cls", "n"], "left")
         named = named.select("token", "blocks", "cls", "n", F.xxhash64(F.coalesce("comp", "cls"), F.coalesce("compn", "n")).alias("comp"))
         heads = named.groupBy("token").agg(
-            F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("cls", "n", F.lit(turn))).alias("h"), F.min("comp").alias("low"), F.max("comp").alias("high")
-        ).where("low <> high").select("token", "h")
+            F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("cls", "n", F.lit(turn))).alias("h"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+            F.count(F.lit(1)).alias("m"),
+        ).where("low <> high").select("token", "h", "m")
         named, heads = read_back(spark, named, "named"), read_back(spark, heads, "heads")
-        if turn == STAR_TURNS:
+        if turn == STAR_TURNS or _searchable(heads):
             break
         # A star around another member of each cell, only between components, joins most of what is left of a large family.
         stars = named.join(heads, "token").where("comp <> h.comp").select(F.struct("cls", "n").alias("x"), F.struct("h.cls", "h.n").alias("y"))
@@ -445,7 +459,7 @@ def _linked_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     cells = dealt.join(about, ["cls", "n"]).select("token", "one", "two", "block", "cls", "n", "comp", "early", "point")
     cells = cells.repartition(int(parts), "token", "one", "two").sortWithinPartitions("token", "one", "two")
     more = cells.mapInArrow(_search_cells, _PAIR).distinct()
-    second = _tried(more, sets).where("link")
+    second = _tried(more, sets, bounded=True).where("link")
     links = read_back(spark, links.unionByName(second).select("a", "an", "b", "bn"), "links")
 
     comps = _linked_by(spark, links)
