@@ -8,7 +8,7 @@ from ..operators import churn, ranking
 from ..plans import models
 from ..session import read_back
 from ..sources import adapters as A
-from .common import labelled, labelled_stage, rounded
+from .common import labelled_stage, rounded
 from .sql import query, rnd
 
 
@@ -72,7 +72,7 @@ QUERIES = {
     "churn_scores": _scores,
     "churn_cv": _cv,
     "feature_importance": _importance,
-    "ml_metrics": lambda s, d: models.ml_metrics(labelled(s, d), A.table(s, d, "embeddings")),
+    "ml_metrics": lambda s, d: models.ml_metrics(labelled_stage(s, d), A.table(s, d, "embeddings")),
 }
 
 _MARKED = {"marked": "SELECT doc_id, toxic AS y, quality, round(n_chars / 1000.0::double, 1) AS v FROM labels JOIN documents USING (doc_id)"}

@@ -111,9 +111,10 @@ def drawn_rows(own: np.ndarray, rows: np.ndarray, share: float, *salts: int) ->
     """How many of a cell's rows take part, each with chance ``share``: counted up to eight rows, by the normal law beyond."""
     if share >= 1:
         return rows
-    out = np.zeros(len(rows), np.int64)
+    out, some = np.zeros(len(rows), np.int64), np.arange(len(rows))
     for i in range(min(8, int(rows.max(initial=0)))):
-        out += (rows > i) & (_uniform(own, *salts, i) < share)
+        some = some[rows[some] > i]
+        out[some] += _uniform(own[some], *salts, i) < share
     many = rows > 8
     normal = np.sqrt(-2 * np.log(_uniform(own[many], *salts, 8))) * np.cos(2 * np.pi * _uniform(own[many], *salts, 9))
     out[many] = np.clip(np.rint(rows[many] * share + normal * np.sqrt(rows[many] * share * (1 - share))), 0, rows[many])
@@ -187,6 +188,49 @@ def _histograms(tree: Tree, level: int, bins: int, gradients: list[tuple[np.ndar
     return out
 
 
+def _node_sums(node: np.ndarray, nodes: int, bins: int, codes: np.ndarray, sums: Sequence[np.ndarray]) -> np.ndarray:
+    """Sums by node, feature and bin."""
+    out = np.zeros((nodes, len(codes), bins, len(sums)))
+    for f, code in enumerate(codes):
+        key = node * bins + code
+        for j, x in enumerate(sums):
+            out[:, f, :, j] = np.bincount(key, x, minlength=nodes * bins).reshape(-1, bins)
+    return out
+
+
+def _level_sums(bins: int, gradients: tuple[np.ndarray, np.ndarray, np.ndarray], block: dict) -> Callable[[Tree, int], np.ndarray]:
+    """What ``_histograms`` gives for one model, called level by level as its tree grows.
+
+    Cells move down with the tree. Of two children the one with fewer cells is added up and the other is what their parent has
+    besides, which is exact because gradients lie on the grain.
+    """
+    some, *sums = gradients
+    codes, at, above = block["bins"][:, some], np.zeros(len(some), np.int64), None
+
+    def run(tree: Tree, level: int) -> np.ndarray:
+        nonlocal codes, at, sums, above
+        if above is None:
+            above = _node_sums(at, 1, bins, codes, sums)
+            return above[None]
+        by = tree.feature[0][at]
+        moving = by >= 0
+        if not moving.all():
+            codes, at, by, sums = codes[:, moving], at[moving], by[moving], [x[moving] for x in sums]
+        at = 2 * at + 1 + (codes[by, np.arange(len(at))] > tree.threshold[0][at])
+        node, nodes = at - (2**level - 1), 2**level
+        cells = np.bincount(node, minlength=nodes).reshape(-1, 2)
+        fewer = cells.argmin(axis=1)
+        less = np.flatnonzero(node & 1 == fewer[node >> 1])
+        part = _node_sums(node[less] >> 1, nodes // 2, bins, codes[:, less], [x[less] for x in sums])
+        out, each = np.zeros((nodes, *above.shape[1:])), np.arange(nodes // 2)
+        out[2 * each + fewer] = part
+        out[2 * each + 1 - fewer] = np.where(cells.any(axis=1)[:, None, None, None], above - part, 0)
+        above = out
+        return above[None]
+
+    return run
+
+
 def _block_sums(tree: Tree, level: int, bins: int, models: Models, share: float, salts: tuple[int, int], block: dict) -> np.ndarray:
     return _histograms(tree, level, bins, _gradients(models, share, salts, block), block)
 
@@ -294,6 +338,8 @@ class GBTClassifier:
             return model
         parts = -(-totals[0] // CELLS)
         alone = parts == 1
+        if not alone:  # blocks of half the size or more where that keeps more cores busy
+            parts = min(2 * parts, max(parts, spark.sparkContext.defaultParallelism))
         laid = cells.repartition(parts, *[c for c in cells.columns if c != "rows"])
         blocks = read_back(spark, laid.mapInArrow(_to_block(1 if alone else models), "block binary"), "blocks")
         grow = self._in_one_task if alone else self._over_tasks
@@ -315,8 +361,7 @@ class GBTClassifier:
     def _rounds(self, numbers: range, models: Models, bins: int, model: int, block: dict) -> tuple[list[tuple], dict]:
         trees: list[Tree] = []
         for number in numbers:
-            gradients = _gradients([models[model]], self.row_share, (self.seed, number), block)
-            sums = lambda tree, level, block=block, gradients=gradients: _histograms(tree, level, bins, gradients, block)
+            sums = _level_sums(bins, _gradients([models[model]], self.row_share, (self.seed, number), block)[0], block)
             trees.append(self._grow(sums, number, len(models), [model]))
             block = _advance(trees[-1], self.depth, block)
         return [(t.feature, t.threshold, t.value, t.gain) for t in trees], block
