@@ -56,7 +56,7 @@ def _topic_labels(spark, sf):
 
 
 def _topics(spark, sf):
-    _, assigned = aspects.fit_topics(aspects.with_clean_text(A.reviews(spark, sf)), k=5)
+    _, assigned = aspects.fit_topics(aspects.with_clean_text(A.reviews(spark, sf)).select("review_id", "clean_text"), k=5)
     return assigned.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
 
 
