@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW = "carried_row"
+#: Rows that a task of a step with few rows takes at least: narrow ones, and ones that hold sets of tokens.
+TASK_ROWS = 20_000
+TASK_SETS = 1_000
+#: Narrow rows up to here are broadcast, more are joined by shuffle.
+FEW_ROWS = 100_000
 
 
 def carried(docs: DataFrame, *extra: Column) -> DataFrame:
@@ -28,16 +33,32 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
+def in_few_tasks(df: DataFrame, rows: int, least: int = TASK_ROWS) -> DataFrame:
+    """``df``, which holds about ``rows`` rows or fewer, in tasks of about ``least`` rows, and at least one for each core.
+
+    Where many shuffle partitions are set, tasks and files of a few rows cost more than the rows. A large table keeps its tasks.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // least)))
+
+
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of ``rows`` narrow rows as a join side: broadcast where they are few."""
+    return F.broadcast(df) if rows <= FEW_ROWS else df
+
+
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of ``rows`` for the jobs run inside: whole texts make batches large on both sides of the pipe."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 20) -> Iterator[None]:
+    """Arrow batches of ``rows``, and of about ``size`` bytes, for the jobs run inside: whole texts make batches large on both
+    sides of the pipe, and large buffers leave holes in an executor's memory that it keeps."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    was = {key: spark.conf.get(key) for key in limits}
+    for key, limit in limits.items():
+        spark.conf.set(key, str(limit))
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        for key, limit in was.items():
+            spark.conf.set(key, limit)
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:

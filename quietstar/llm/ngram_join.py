@@ -264,28 +264,34 @@ def _finely_bounded(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(pa.array(keep, pa.bool_())).select(range(4))
 
 
-def _tried(pairs: DataFrame, sets: DataFrame, bounded: bool = False) -> DataFrame:
-    """``pairs`` with ``link``: bound by points first (unless they are ``bounded``), then by fine ones, the rest verified with the
-    whole sets."""
+def _tried(pairs: DataFrame, sets: DataFrame, most: int, bounded: bool = False) -> tuple[DataFrame, int]:
+    """``pairs``, ``most`` of them about, with ``link``: bound by points first (unless they are ``bounded``), then by fine ones, the
+    rest verified with the whole sets. Also how many are left to verify.
+
+    Pairs that are few go to the sets by broadcast, so that only points or sets of the pairs' second members are shuffled."""
     def with_column(df: DataFrame, side: str, column: str, held: DataFrame) -> DataFrame:
         part = held.select(F.col("cls").alias(side), F.col("n").alias(f"{side}n"), F.col(column).alias(f"{side}_{column}"))
         return df.join(part, [side, f"{side}n"])
 
     order = ("a", "an", "b", "bn")
-    near = pairs
+    near = C.in_few_tasks(pairs, most)
     if not bounded:
-        by_point = with_column(with_column(pairs, "a", "point", sets), "b", "point", sets).select(*order, "a_point", "b_point")
-        near = by_point.mapInArrow(C.per_batch(_bounded), _PAIR)
+        pairs = read_back(sets.sparkSession, near, "pairs")
+        most = pairs.count()
+        by_point = with_column(with_column(C.sent(pairs, most), "a", "point", sets), "b", "point", sets).select(*order, "a_point", "b_point")
+        near = C.in_few_tasks(by_point, most).mapInArrow(C.per_batch(_bounded), _PAIR)
     near = read_back(sets.sparkSession, near, "near")
+    most = near.count()
     # Only the fine points and sets of pairs that are near move.
     asked = near.select(F.col("a").alias("cls"), F.col("an").alias("n")).union(near.select("b", "bn")).distinct()
-    asked = read_back(sets.sparkSession, asked, "asked")
+    asked = read_back(sets.sparkSession, C.in_few_tasks(asked, 2 * most), "asked")
     held = sets.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, ["cls", "n"], "left_semi")
-    by_fine = with_column(with_column(near, "a", "fine", held), "b", "fine", held).select(*order, "a_fine", "b_fine")
-    near = read_back(sets.sparkSession, by_fine.mapInArrow(C.per_batch(_finely_bounded), _PAIR), "nearer")
-    by_set = with_column(with_column(near, "a", "tokens", held), "b", "tokens", held)
+    by_fine = with_column(with_column(C.sent(near, most), "a", "fine", held), "b", "fine", held).select(*order, "a_fine", "b_fine")
+    near = read_back(sets.sparkSession, C.in_few_tasks(by_fine, most, C.TASK_SETS).mapInArrow(C.per_batch(_finely_bounded), _PAIR), "nearer")
+    most = near.count()
+    by_set = C.in_few_tasks(with_column(with_column(C.sent(near, most), "a", "tokens", held), "b", "tokens", held), most, C.TASK_SETS)
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return by_set.select(*order, ((NUM + DEN) * shared >= NUM * (F.col("an") + F.col("bn"))).alias("link"))
+    return by_set.select(*order, ((NUM + DEN) * shared >= NUM * (F.col("an") + F.col("bn"))).alias("link")), most
 
 
 class Tree:
@@ -352,16 +358,17 @@ def _search_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield found()
 
 
-def _searchable(heads: DataFrame) -> bool:
-    """Whether the open cells (``m`` members each) have so few pairs that no further star has to join members first."""
-    members, pairs = heads.agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
-    return not members or pairs <= MEETINGS * members
+def _searchable(heads: DataFrame) -> tuple[bool, int, int]:
+    """Whether the open cells (``m`` members each) have so few pairs that no further star has to join members first; how many cells
+    and how many members there are."""
+    cells, members, pairs = heads.agg(F.count(F.lit(1)), F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
+    return not members or pairs <= MEETINGS * members, cells, members or 0
 
 
-def _linked_by(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """``cls``, ``n``, ``comp`` (a key of the component) for each class of ``links``."""
+def _linked_by(spark: SparkSession, links: DataFrame, most: int) -> DataFrame:
+    """``cls``, ``n``, ``comp`` (a key of the component) for each class of ``links``, ``most`` of them about."""
     node = lambda c, n: F.struct(F.col(c).alias("cls"), F.col(n).alias("n"))
-    found = components(spark, links.select(node("a", "an").alias("a"), node("b", "bn").alias("b")))
+    found = components(spark, links.select(node("a", "an").alias("a"), node("b", "bn").alias("b")), most)
     return found.select("node.cls", "node.n", F.col("component.cls").alias("comp"), F.col("component.n").alias("compn"))
 
 
@@ -412,41 +419,49 @@ def _linked_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if sets.groupBy("cls", "n").count().where("count > 1").limit(1).count():
         sets = read_back(spark, sets.dropDuplicates(["cls", "n"]), "sets")
 
+    starred = stars.count()
     pairs = stars.select("a", "an", "b", "bn").distinct()
     near_in_size = (F.col("an") * DEN >= F.col("bn") * NUM) & (F.col("bn") * DEN >= F.col("an") * NUM)
-    first = read_back(spark, _tried(pairs.where(near_in_size), sets).where("link"), "first")
+    tried, linked = _tried(pairs.where(near_in_size), sets, starred)
+    first = read_back(spark, tried.where("link"), "first")
 
-    failed = stars.join(first, ["a", "an", "b", "bn"], "left_anti").select("token").distinct()
-    failed = read_back(spark, failed, "failed")
-    open_cells = stars.join(failed, "token", "left_semi")
+    failed = stars.join(C.sent(first, linked), ["a", "an", "b", "bn"], "left_anti").select("token").distinct()
+    failed = read_back(spark, C.in_few_tasks(failed, starred), "failed")
+    open_cells = stars.join(C.sent(failed, failed.count()), "token", "left_semi")
     inside = open_cells.select("token", F.col("a").alias("cls"), F.col("an").alias("n")).union(open_cells.select("token", "b", "bn")).distinct()
     # Cells of the same members are searched once; cells of two members have been tried.
-    inside = read_back(spark, inside, "inside")
+    inside = read_back(spark, C.in_few_tasks(inside, 2 * starred), "inside")
+    met = inside.count()
     sign = inside.groupBy("token").agg(
         F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("cls", "n").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("n", "cls")).alias("s2")
     ).where("m > 2").groupBy("m", "s1", "s2").agg(F.min("token").alias("token"))
-    sign = read_back(spark, sign.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "cells")
-    inside = read_back(spark, inside.join(sign, "token"), "searched")
+    sign = read_back(spark, C.in_few_tasks(sign.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), met), "cells")
+    inside = read_back(spark, C.in_few_tasks(inside.join(C.sent(sign, sign.count()), "token"), met), "searched")
     links = first
     for turn in range(STAR_TURNS + 1):
-        named = inside.join(read_back(spark, _linked_by(spark, links), "comps"), ["cls", "n"], "left")
+        comps = read_back(spark, _linked_by(spark, links, linked), "comps")
+        named = inside.join(C.sent(comps, comps.count()), ["cls", "n"], "left")
         named = named.select("token", "blocks", "cls", "n", F.xxhash64(F.coalesce("comp", "cls"), F.coalesce("compn", "n")).alias("comp"))
+        named = read_back(spark, C.in_few_tasks(named, met), "named")
         heads = named.groupBy("token").agg(
             F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("cls", "n", F.lit(turn))).alias("h"), F.min("comp").alias("low"), F.max("comp").alias("high"),
             F.count(F.lit(1)).alias("m"),
         ).where("low <> high").select("token", "h", "m")
-        named, heads = read_back(spark, named, "named"), read_back(spark, heads, "heads")
-        if turn == STAR_TURNS or _searchable(heads):
+        heads = read_back(spark, C.in_few_tasks(heads, met), "heads")
+        searchable, cells, members = _searchable(heads)
+        if turn == STAR_TURNS or searchable:
             break
         # A star around another member of each cell, only between components, joins most of what is left of a large family.
-        stars = named.join(heads, "token").where("comp <> h.comp").select(F.struct("cls", "n").alias("x"), F.struct("h.cls", "h.n").alias("y"))
+        stars = named.join(C.sent(heads, cells), "token").where("comp <> h.comp").select(F.struct("cls", "n").alias("x"), F.struct("h.cls", "h.n").alias("y"))
         stars = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().select(
             F.col("x.cls").alias("a"), F.col("x.n").alias("an"), F.col("y.cls").alias("b"), F.col("y.n").alias("bn")
         ).where(near_in_size)
-        links = read_back(spark, links.unionByName(_tried(stars, sets).where("link")), "turn")
+        tried, more = _tried(stars, sets, members)
+        links, linked = read_back(spark, links.unionByName(tried.where("link")), "turn"), linked + more
 
     # What is left is searched: each member meets the members of its own and of every other block of its cell.
-    dealt = read_back(spark, named.join(heads.select("token"), "token", "left_semi"), "dealt")
+    dealt = read_back(spark, C.in_few_tasks(named.join(C.sent(heads.select("token"), cells), "token", "left_semi"), members), "dealt")
+    meetings = dealt.agg(F.sum("blocks")).first()[0] or 0
     early = dealt.groupBy("cls", "n").agg(F.slice(F.array_sort(F.collect_set("token")), 1, EARLY).alias("early"))
     # Padded to one width with the largest number, which no token is before.
     early = early.select("cls", "n", F.concat("early", F.array_repeat(F.lit((1 << 63) - 1), EARLY - F.size("early"))).alias("early"))
@@ -455,16 +470,18 @@ def _linked_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token", F.least("block", F.col("other").cast("long")).alias("one"), F.greatest("block", F.col("other").cast("long")).alias("two"), "block", "cls", "n", "comp"
     )
-    about = read_back(spark, early.join(sets.select("cls", "n", "point"), ["cls", "n"]), "about")
+    about = read_back(spark, C.in_few_tasks(early.join(sets.select("cls", "n", "point"), ["cls", "n"]), members), "about")
     cells = dealt.join(about, ["cls", "n"]).select("token", "one", "two", "block", "cls", "n", "comp", "early", "point")
     cells = cells.repartition(int(parts), "token", "one", "two").sortWithinPartitions("token", "one", "two")
-    more = cells.mapInArrow(_search_cells, _PAIR).distinct()
-    second = _tried(more, sets, bounded=True).where("link")
-    links = read_back(spark, links.unionByName(second).select("a", "an", "b", "bn"), "links")
-
-    comps = _linked_by(spark, links)
-    least = comps.join(classes, ["cls", "n"]).groupBy("comp", "compn").agg(F.min("least").alias("least"))
-    reached = comps.join(least, ["comp", "compn"]).select("cls", "n", F.col("least").alias("linked"))
+    found = cells.mapInArrow(_search_cells, _PAIR).distinct()
+    tried, more = _tried(found, sets, meetings, bounded=True)
+    links = read_back(spark, links.unionByName(tried.where("link")).select("a", "an", "b", "bn"), "links")
+
+    comps = read_back(spark, _linked_by(spark, links, linked + more), "comps")
+    joined = comps.count()
+    least = C.sent(comps, joined).join(classes, ["cls", "n"]).groupBy("comp", "compn").agg(F.min("least").alias("least"))
+    reached = C.sent(comps, joined).join(C.in_few_tasks(least, joined), ["comp", "compn"]).select("cls", "n", F.col("least").alias("linked"))
+    reached = C.sent(read_back(spark, C.in_few_tasks(reached, joined), "reached"), joined)
     labels = read_back(spark, classes.join(reached, ["cls", "n"], "left").select("cls", "n", F.coalesce("linked", "least").alias("keep")), "labels")
     return rows.join(labels, ["cls", "n"], "left").select("id", "own", "n", "keep")
 
