@@ -16,6 +16,8 @@ TASK_ROWS = 20_000
 TASK_SETS = 1_000
 #: Narrow rows up to here are broadcast, more are joined by shuffle.
 FEW_ROWS = 100_000
+#: Bytes of a batch of whole texts.
+TEXT_BYTES = 1 << 20
 
 
 def carried(docs: DataFrame, *extra: Column) -> DataFrame:
@@ -47,10 +49,10 @@ def sent(df: DataFrame, rows: int) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 20) -> Iterator[None]:
-    """Arrow batches of ``rows``, and of about ``size`` bytes, for the jobs run inside: whole texts make batches large on both
-    sides of the pipe, and large buffers leave holes in an executor's memory that it keeps."""
-    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+def small_batches(spark: SparkSession, rows: int = 1000, size: int | None = None) -> Iterator[None]:
+    """Arrow batches of ``rows``, and of about ``size`` bytes where given, for the jobs run inside: whole texts make batches large
+    on both sides of the pipe, and large buffers leave holes in an executor's memory that it keeps."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows} | ({"spark.sql.execution.arrow.maxBytesPerBatch": size} if size else {})
     was = {key: spark.conf.get(key) for key in limits}
     for key, limit in limits.items():
         spark.conf.set(key, str(limit))

@@ -281,7 +281,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     out = spark.createDataFrame([], _HIT)
     for part in parts:
         out = out.unionByName(part)
-    return read_back(spark, out.distinct(), "leaks")
+    with C.small_batches(spark, size=C.TEXT_BYTES):
+        return read_back(spark, out.distinct(), "leaks")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

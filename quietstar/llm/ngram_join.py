@@ -385,7 +385,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _near_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per document: ``id``, ``own`` (digest of the text), ``n`` and ``keep`` (id and digest of the first row of its component)."""
-    with C.small_batches(docs.sparkSession):
+    with C.small_batches(docs.sparkSession, size=C.TEXT_BYTES):
         return _linked_rows(docs, id_col, text_col)
 
 

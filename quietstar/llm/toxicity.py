@@ -38,6 +38,8 @@ SIGNIFICANT = 32.0
 LEAST_WEIGHT = 4.5
 STEMS = (4, 5, 6)
 FLUSH = 400_000
+#: Digests up to here (32 bytes each) are broadcast, more are joined by shuffle.
+BROADCAST_TEXTS = 500_000
 
 INSULTS = frozenset("idiot moron scum loser pathetic worthless stupid trash clown disgusting".split())
 THREATS = frozenset("kill hurt murder stab shoot destroy burn beat".split())
@@ -180,7 +182,11 @@ def _outputs_of(lexicon: dict[str, float]):
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, bound: int = LEARN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """The model: lexicon (from seven tenths of the sample) and calibration (from the rest)."""
     rows = learning_rows(docs, labels, "toxic", learnable, bound, id_col, text_col)
-    rows = read_back(docs.sparkSession, one_of_family(rows), "sample")
+    with C.small_batches(docs.sparkSession, size=C.TEXT_BYTES):
+        return _learned(read_back(docs.sparkSession, one_of_family(rows), "sample"))
+
+
+def _learned(rows: DataFrame) -> dict:
     part = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(10))
     lexicon = _learn_lexicon(rows.where(part < 7).select("text", "label"))
     shape = "label int, " + ", ".join(f"{c} double" for c in OUTPUTS)
@@ -207,16 +213,26 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """The documents scored under 0.5, with the columns of ``docs``; nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The documents scored under 0.5, with the columns of ``docs``.
+
+    Every whole text is scored, in small batches without the other columns; a score hangs on the text alone, so digests of the
+    toxic texts say which rows go. They are broadcast while they are few.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar, calibration = Grammar(shared.value["lexicon"]), shared.value["calibration"]
         for batch in batches:
-            texts = batch.column(1)
-            rows = np.array([grammar.outputs(t.as_py()) for t in texts], float).reshape(-1, len(OUTPUTS))
-            keep = predict_logistic(calibration, rows) < 0.5
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], [C.ROW])
-
-    packed = C.carried(docs, F.col(text_col).alias("text"))
-    return C.released(packed.mapInArrow(run, packed.select(C.ROW).schema))
+            rows = np.array([grammar.outputs(t.as_py()) for t in batch.column(1)], float).reshape(-1, len(OUTPUTS))
+            toxic = predict_logistic(calibration, rows) >= 0.5
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(toxic))], ["toxic"])
+
+    # A null text scores as an empty one.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    digest = F.unhex(F.sha2(text, 256))
+    with C.small_batches(spark, size=C.TEXT_BYTES):
+        toxic = read_back(spark, docs.select(digest.alias("own"), text.alias("text")).mapInArrow(run, "toxic binary").distinct(), "toxic")
+    rows = C.carried(docs, digest.alias("own"))
+    few = toxic.count() <= BROADCAST_TEXTS
+    return C.released(rows.join(F.broadcast(toxic) if few else toxic, F.col("own") == F.col("toxic"), "left_anti"))
